@@ -28,7 +28,7 @@ def large_enough(df: DataFrame, minimum: int, by: str = "system") -> DataFrame:
 def topic_spine(systems: DataFrame) -> DataFrame:
     """Every topic 0..k-1 of every system, from a table ``system, k``."""
     return systems.where("k > 0").select(
-        "system", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).cast("int").alias("topic")
+        "system", F.explode(F.sequence(F.lit(0), F.col("k").cast("int") - 1)).alias("topic")
     )
 
 

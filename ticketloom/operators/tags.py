@@ -43,7 +43,7 @@ def tag_string(tags: Column) -> Column:
 def tag_list(tags: Column) -> Column:
     """Tags from the string form; no tags for NULL and the unclassified marker."""
     classified = tags.isNotNull() & (tags != names.UNCLASSIFIED)
-    return F.when(classified, F.transform(F.split(tags, ","), F.trim)).otherwise(
+    return F.when(classified, F.transform(F.split(tags, ","), lambda t: F.trim(t))).otherwise(
         F.array().cast("array<string>")
     )
 
