@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterable, Mapping
 from dataclasses import dataclass
+from multiprocessing.pool import ThreadPool
 
 from pyspark.ml import PipelineModel
 from pyspark.ml.clustering import KMeans, KMeansModel
@@ -14,12 +14,14 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
+from pyspark.util import inheritable_thread_target
 
 from ticketloom import names
 from ticketloom.functions.text import words
 
 GRID_COMPONENTS = (5, 10, 15)
 GRID_METRICS = ("cosine", "euclidean")
+PARALLEL_FITS = 8
 
 
 def text_encoder(documents: DataFrame, text: str = "text", features: int = 512) -> PipelineModel:
@@ -61,16 +63,29 @@ def reduce_vectors(
     return model.transform(raw).drop("_raw", "_unit"), model
 
 
+def _fits(features: DataFrame, settings: list[tuple[int, int]]) -> list[KMeansModel]:
+    """One k-means per (k, seed). Several run at once, as Spark's own cross-validator
+    does: a single fit is a chain of short jobs that leaves most of a cluster idle."""
+
+    def fit(k: int, seed: int) -> KMeansModel:
+        return KMeans(k=k, seed=seed, initMode="k-means||", featuresCol="features").fit(features)
+
+    session = features.sparkSession
+    with ThreadPool(min(PARALLEL_FITS, len(settings))) as pool:
+        return pool.starmap(inheritable_thread_target(session)(fit), settings)
+
+
+def _cheapest(models: list[KMeansModel]) -> tuple[KMeansModel, float]:
+    """The first model with the lowest cost."""
+    best = min(models, key=lambda model: model.summary.trainingCost)
+    return best, float(best.summary.trainingCost)
+
+
 def best_kmeans(
     features: DataFrame, k: int, n_init: int = 10, seed: int = names.SEED
 ) -> tuple[KMeansModel, float]:
     """k-means with several starts; the lowest cost wins, the first on a tie."""
-    best, cost = None, math.inf
-    for start in range(n_init):
-        model = KMeans(k=k, seed=seed + start, initMode="k-means||", featuresCol="features").fit(features)
-        if model.summary.trainingCost < cost:
-            best, cost = model, model.summary.trainingCost
-    return best, cost
+    return _cheapest(_fits(features, [(k, seed + start) for start in range(n_init)]))
 
 
 def renumbered(clustered: DataFrame, label: str = "prediction") -> DataFrame:
@@ -144,7 +159,12 @@ def elbow_curve(
     """Cost per number of topics: ``k, wcss``. The reduced vectors are kept for all fits."""
     reduced, _ = reduce_vectors(vectors, components)
     reduced = reduced.select("features").persist(StorageLevel.MEMORY_AND_DISK)
-    rows = [(k, float(best_kmeans(reduced, k, n_init)[1])) for k in ks]
+    settings = [(k, names.SEED + start) for k in ks for start in range(n_init)]
+    models = _fits(reduced, settings)
+    rows = [
+        (k, _cheapest([m for m, (own, _) in zip(models, settings) if own == k])[1])
+        for k in dict.fromkeys(k for k, _ in settings)
+    ]
     reduced.unpersist()
     return vectors.sparkSession.createDataFrame(rows, "k int, wcss double")
 

@@ -137,7 +137,7 @@ def raw_tickets(spark: SparkSession, folder: str) -> DataFrame:
 def name_words(spark: SparkSession, folder: str) -> DataFrame:
     """Raw name list: the words of the benchmark passages."""
     return table(spark, folder, "benchmark").select(
-        F.explode(F.split("text", " ")).alias("name")
+        F.explode(F.split("text", r"\P{L}+")).alias("name")
     )
 
 

@@ -56,7 +56,7 @@ _RULES = (
 _NAMES = f"""names AS (
   SELECT DISTINCT name FROM (
     SELECT trim({_fold("name")}) AS name FROM (
-      SELECT DISTINCT unnest(string_split(text, ' ')) AS name FROM benchmark))
+      SELECT DISTINCT unnest(regexp_split_to_array(text, '\\P{{L}}+')) AS name FROM benchmark))
   WHERE name <> 'nao' AND length(name) > 2)"""
 
 
