@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -42,21 +42,41 @@ ACCENTED = "".join(_ACCENTS)
 PLAIN = "".join(_ACCENTS.values())
 
 # Python counts the four ASCII separators as white space; Java's \s does not.
+SEPARATORS = "\x1c\x1d\x1e\x1f"
 WHITESPACE = r"[\s\x1c-\x1f]"
 _WORD_RUN = r"[\p{L}\p{N}_]{2,}"
 
-# An address is a run of non-blanks with an @ that is neither first nor last in it.
-# The run is entered only at its start and read once, so long runs stay linear.
-EMAIL = r"(?<![^\s\x1c-\x1f])[^\s\x1c-\x1f][^\s\x1c-\x1f@]*+@[^\s\x1c-\x1f]+"
-URL = r"http[^\s\x1c-\x1f]+|www[^\s\x1c-\x1f]+"
+# An address is a run of non-blanks with an @ that is neither first nor last in it. The
+# pattern enters a run only at its start and reads it once, so long runs stay linear.
+EMAIL = r"(?:^|\s)\S[^\s@]*+@\S+"
+URL = r"http\S+|www\S+"
 FIRST_URL = r'https?://[^\s<>"]+|www\.[^\s<>"]+'
 
 
-def to_ascii(text: Column) -> Column:
-    """Transliterate to ASCII. Signs of other scripts are dropped."""
+def _only_if(text: Column, present: Callable[[Column], Column], step: Callable[[Column], Column]) -> Column:
+    """Apply a costly step only to texts that can be changed by it.
+
+    The text is bound once, as the element of a one-element array: naming it in the
+    test and in both branches would compute all steps before it three times.
+    """
+    changed = F.transform(F.array(text), lambda t: F.when(present(t), step(t)).otherwise(t))
+    return changed[0]
+
+
+def _expand(text: Column) -> Column:
     for sign, plain in _EXPANSIONS.items():
         text = F.replace(text, F.lit(sign), F.lit(plain))
-    return F.regexp_replace(F.translate(text, ACCENTED, PLAIN), r"[^\x00-\x7F]", "")
+    return text
+
+
+def to_ascii(text: Column, *, blanks: str = "") -> Column:
+    """Transliterate to ASCII. Signs of other scripts are dropped, ``blanks`` become ' '.
+
+    Signs that need more than one letter are rare: texts without any skip that step.
+    """
+    text = _only_if(text, lambda t: t.rlike("[" + "".join(_EXPANSIONS) + "]"), _expand)
+    text = F.translate(text, ACCENTED + blanks, PLAIN + " " * len(blanks))
+    return F.regexp_replace(text, r"[^\x00-\x7F]+", "")
 
 
 def normalize(text: Column) -> Column:
@@ -95,11 +115,15 @@ def raw_tokens(text: Column) -> Column:
     white space: the underscore stays inside tokens, and the text is ASCII here.
     The result may hold '' at either end; the length rule removes it.
     """
-    text = normalize(F.coalesce(text, F.lit("")))
+    text = to_ascii(F.lower(F.coalesce(text, F.lit(""))), blanks=SEPARATORS)
     for greeting in wordlists.GREETINGS:
         text = F.replace(text, F.lit(greeting), F.lit(" "))
-    text = F.regexp_replace(text, EMAIL, " ")
-    text = F.regexp_replace(text, URL, " ")
+    text = _only_if(text, lambda t: t.contains("@"), lambda t: F.regexp_replace(t, EMAIL, " "))
+    text = _only_if(
+        text,
+        lambda t: t.contains("http") | t.contains("www"),
+        lambda t: F.regexp_replace(t, URL, " "),
+    )
     return F.split(text, r"\W+")
 
 
@@ -152,11 +176,11 @@ def first_url(text: Column) -> Column:
 
 def full_text(title: Column, description: Column) -> Column:
     """Title and description in one line; an empty part leaves no trace."""
-    title, description = collapse(title), collapse(description)
+    empty = F.lit("")
     return F.concat_ws(
         " | ",
-        F.when(title != "", F.concat(F.lit("Título: "), title)),
-        F.when(description != "", F.concat(F.lit("Descrição: "), description)),
+        F.concat(F.lit("Título: "), F.nullif(collapse(title), empty)),
+        F.concat(F.lit("Descrição: "), F.nullif(collapse(description), empty)),
     )
 
 

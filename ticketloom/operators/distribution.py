@@ -10,32 +10,41 @@ from pyspark.sql import functions as F
 
 from ticketloom.functions.text import words
 from ticketloom.functions.vectors import round4
-from ticketloom.operators.scale import salted_join
+from ticketloom.operators.scale import salted_join, stored
 
 
 def term_directory(weights: DataFrame) -> DataFrame:
     """One row per word of a system: its idf, its share in every topic, its count.
 
-    ``shares`` has one entry per topic the word occurs in: idf * weight / norm of the
-    topic, so that a window's cosine is a sum of shares over the window's norm.
+    ``shares[t]`` is idf * weight / norm of topic t, 0 where the word does not occur, so
+    that a window's cosine is a sum of shares over the window's norm. Topics are
+    numbered from 0; outliers (-1) count for the idf only.
     """
     norms = weights.groupBy("system", "topic").agg(
-        F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("norm")
+        F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("norm"),
+        F.sum("tf").alias("topic_words"),
+    )
+    scale = norms.groupBy("system").agg(
+        F.floor(F.avg("topic_words")).cast("double").alias("mean_words"),
+        F.max("topic").alias("last"),
     )
-    sizes = weights.groupBy("system", "topic").agg(F.sum("tf").alias("topic_words"))
-    means = sizes.groupBy("system").agg(F.floor(F.avg("topic_words")).cast("double").alias("mean_words"))
-    scale = norms.join(means, "system")
     idf = F.log1p(F.col("mean_words") / F.col("f"))
     share = F.struct("topic", (idf * F.col("weight") / F.col("norm")).alias("share"))
-    return (
-        weights.join(scale, ["system", "topic"])
+    per_word = (
+        weights.join(norms.join(scale, "system"), ["system", "topic"])
         .groupBy("system", "term")
         .agg(
-            F.first(idf).alias("idf"),
-            F.collect_list(share).alias("shares"),
-            F.first("f").alias("f"),
+            F.max(idf).alias("idf"),
+            F.map_from_entries(F.collect_list(share)).alias("by_topic"),
+            F.max("last").alias("last"),
+            F.max("f").alias("f"),
         )
     )
+    dense = F.transform(
+        F.sequence(F.lit(0), F.col("last")),
+        lambda t: F.coalesce(F.try_element_at("by_topic", t), F.lit(0.0)),
+    )
+    return per_word.where("last >= 0").select("system", "term", "idf", dense.alias("shares"), "f")
 
 
 def topic_distribution(
@@ -61,7 +70,9 @@ def topic_distribution(
     flat = tokens.select("system", "id", F.size("tokens").alias("n"), F.posexplode("tokens")).select(
         "system", "id", "n", F.col("pos"), F.col("col").alias("term")
     )
-    known = salted_join(flat, term_directory(weights), ["system", "term"], "f", ["id"], "left")
+    # The join reads the directory three times: for the rows, the hot words, the total.
+    directory = stored(term_directory(weights))
+    known = salted_join(flat, directory, ["system", "term"], "f", ["id"], "left")
 
     ticket = ["system", "id"]
     order = Window.partitionBy(*ticket).orderBy("pos")
@@ -81,11 +92,13 @@ def topic_distribution(
         for b in slots[i + 1 :]
     ]
     length = F.sqrt(reduce(add, squares + repeats))
-    shares = F.flatten(F.filter(F.array(*[F.col(f"{s}.shares") for s in slots]), lambda x: x.isNotNull()))
+    topics = F.sequence(F.lit(0), F.greatest(*[F.size(f"{s}.shares") for s in slots]) - 1)
+    dot = reduce(
+        add, [F.coalesce(F.get(F.col(f"{s}.shares"), F.col("topic")), F.lit(0.0)) for s in slots]
+    )
     cosines = (
-        placed.select(*ticket, "pos", length.alias("length"), F.explode(shares).alias("s"))
-        .groupBy(*ticket, "pos", F.col("s.topic").alias("topic"))
-        .agg((F.sum("s.share") / F.first("length")).alias("cosine"))
+        placed.select(*ticket, *slots, length.alias("length"), F.explode(topics).alias("topic"))
+        .select(*ticket, "topic", (dot / F.col("length")).alias("cosine"))
         .where(F.col("cosine") >= floor)
     )
     summed = cosines.groupBy(*ticket, "topic").agg(F.sum("cosine").alias("mass"))

@@ -86,3 +86,15 @@ def shared_folder(spark: SparkSession) -> str:
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder all executors share")
     return tempfile.mkdtemp(prefix="ticketloom-")
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """The table written once to the shared folder and read back.
+
+    For a table several branches of a plan use: it is computed once, its lineage ends
+    here, a lost executor costs no recomputation of what led to it, and Spark knows its
+    true size when it picks join strategies.
+    """
+    folder = shared_folder(df.sparkSession)
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)

@@ -18,8 +18,11 @@ def term_weights(documents: DataFrame, text: str = "text") -> DataFrame:
     shuffle that sees single words is the count, which shrinks on the map side first;
     the sums over topics and words run on the counted table.
     """
+    # Rows without a topic are dropped here, not by the joins below: all uses of the
+    # count then have the same plan and Spark runs it once.
+    known = documents.where(F.col("system").isNotNull() & F.col("topic").isNotNull())
     counted = (
-        documents.select("system", "topic", F.explode(words(F.col(text))).alias("term"))
+        known.select("system", "topic", F.explode(words(F.col(text))).alias("term"))
         .groupBy("system", "topic", "term")
         .agg(F.count(F.lit(1)).alias("tf"))
     )

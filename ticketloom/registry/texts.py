@@ -8,7 +8,7 @@ from ticketloom import names
 from ticketloom.functions import text, vectors, wordlists
 from ticketloom.operators import cleaning, clusters, distribution, selection, terms
 from ticketloom.operators.counts import topic_spine
-from ticketloom.operators.scale import spread
+from ticketloom.operators.scale import spread, stored
 from ticketloom.plans import prepare, summaries
 from ticketloom.registry import bindings as b
 from ticketloom.registry.core import (
@@ -198,7 +198,7 @@ dist AS (
 def _distribution(spark, sf):
     documents = _documents(spark, sf)
     return distribution.topic_distribution(
-        documents.select("system", "id", "text"), terms.term_weights(documents)
+        documents.select("system", "id", "text"), stored(terms.term_weights(documents))
     )
 
 
