@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ticketloom.functions import text, wordlists
 from ticketloom.operators.columns import quoted
-from ticketloom.operators.scale import salted_join
+from ticketloom.operators.scale import one_row_each, salted_join
 
 # Names that fit into one in-memory set per task.
 MAX_IN_SET = 50_000
@@ -98,8 +98,10 @@ def _anti_join(
     tokens never leave the row. Tokens that occur in very many texts are sliced.
     """
     rows = df.withColumn("_tokens", tokens)
-    pairs = rows.select(
-        F.col(id_col).alias("_id"), F.explode(F.array_distinct("_tokens")).alias("name")
+    pairs = one_row_each(
+        rows.select(F.col(id_col).alias("_id"), F.array_distinct("_tokens").alias("_words")),
+        "_words",
+        "name",
     )
     listed = (
         pairs.groupBy("name")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ticketloom.functions.text import words
 from ticketloom.functions.vectors import round4
-from ticketloom.operators.scale import salted_join, stored
+from ticketloom.operators.scale import one_row_each, salted_join, stored
 
 
 def term_directory(weights: DataFrame) -> DataFrame:
@@ -67,9 +67,7 @@ def topic_distribution(
     neighbours of a word, the windows and the sums need no further shuffle.
     """
     tokens = documents.select("system", "id", words(F.col(text)).alias("tokens"))
-    flat = tokens.select("system", "id", F.size("tokens").alias("n"), F.posexplode("tokens")).select(
-        "system", "id", "n", F.col("pos"), F.col("col").alias("term")
-    )
+    flat = one_row_each(tokens, "tokens", "term", "pos")
     # The join reads the directory three times: for the rows, the hot words, the total.
     directory = stored(term_directory(weights))
     known = salted_join(flat, directory, ["system", "term"], "f", ["id"], "left")
@@ -79,9 +77,10 @@ def topic_distribution(
     item = F.struct("term", F.coalesce("idf", F.lit(0.0)).alias("idf"), "shares")
     members = [item if i == 0 else F.lead(item, i).over(order) for i in range(window)]
     slots = [f"_w{i}" for i in range(window)]
-    placed = known.select(*ticket, "n", "pos", *[m.alias(s) for m, s in zip(members, slots)])
-    whole = (F.col("pos") + window <= F.col("n")) & (F.col("pos") % stride == 0)
-    placed = placed.where(whole | ((F.col("n") < window) & (F.col("pos") == 0)))
+    placed = known.select(*ticket, "pos", *[m.alias(s) for m, s in zip(members, slots)])
+    # A window is whole if its last word exists; a ticket without any starts its only one.
+    whole = F.col(slots[-1]).isNotNull()
+    placed = placed.where(F.when(whole, F.col("pos") % stride == 0).otherwise(F.col("pos") == 0))
 
     # |window|^2: a word that occurs twice weighs four times, hence the cross terms.
     idfs = [F.coalesce(F.col(f"{s}.idf"), F.lit(0.0)) for s in slots]

@@ -27,6 +27,22 @@ def spread(scan: DataFrame, *keys: str) -> DataFrame:
     return scan.repartition(cores, *keys)
 
 
+def one_row_each(
+    df: DataFrame, array: str, name: str, position: str | None = None
+) -> DataFrame:
+    """One row per element of a computed array; NULL elements count as none.
+
+    The outer form with a filter behind it: for the inner form Spark adds a size test
+    in front, which it pushes to the scan and which computes the array a second time.
+    """
+    kept = [F.col(c) for c in df.columns if c != array]
+    if position is None:
+        flat = df.select(*kept, F.explode_outer(array).alias(name))
+    else:
+        flat = df.select(*kept, F.posexplode_outer(array).alias(position, name))
+    return flat.where(F.col(name).isNotNull())
+
+
 def small_rows(df: DataFrame, limit: int = SMALL_ROWS):
     """The rows of a side as an Arrow table if it has at most ``limit``, else None."""
     table = df.limit(limit + 1).toArrow()

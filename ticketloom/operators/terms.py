@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ticketloom import names
 from ticketloom.functions.text import words
-from ticketloom.operators.scale import top_per_group
+from ticketloom.operators.scale import one_row_each, top_per_group
 
 
 def term_weights(documents: DataFrame, text: str = "text") -> DataFrame:
@@ -22,7 +22,7 @@ def term_weights(documents: DataFrame, text: str = "text") -> DataFrame:
     # count then have the same plan and Spark runs it once.
     known = documents.where(F.col("system").isNotNull() & F.col("topic").isNotNull())
     counted = (
-        known.select("system", "topic", F.explode(words(F.col(text))).alias("term"))
+        one_row_each(known.select("system", "topic", words(F.col(text)).alias("words")), "words", "term")
         .groupBy("system", "topic", "term")
         .agg(F.count(F.lit(1)).alias("tf"))
     )

@@ -8,7 +8,7 @@ from ticketloom import names
 from ticketloom.functions import text, vectors, wordlists
 from ticketloom.operators import cleaning, clusters, distribution, selection, terms
 from ticketloom.operators.counts import topic_spine
-from ticketloom.operators.scale import spread, stored
+from ticketloom.operators.scale import one_row_each, spread, stored
 from ticketloom.plans import prepare, summaries
 from ticketloom.registry import bindings as b
 from ticketloom.registry.core import (
@@ -98,7 +98,9 @@ SELECT t AS word, count(*) AS n FROM (SELECT unnest({_tokens("text")}) AS t FROM
 WHERE t IN ({_STOPS}) GROUP BY t""")
 def stopword_hits(spark, sf):
     documents = spread(b.table(spark, sf, "documents").select("text"))
-    tokens = documents.select(F.explode(text.raw_tokens(F.col("text"))).alias("word"))
+    tokens = one_row_each(
+        documents.select(text.raw_tokens(F.col("text")).alias("tokens")), "tokens", "word"
+    )
     return (
         tokens.where(F.col("word").isin(sorted(text.stopwords())))
         .groupBy("word")
