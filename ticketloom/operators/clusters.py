@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ticketloom.functions import vectors
+from ticketloom.operators.scale import held_if_small
 
 
 def topic_centroids(labelled: DataFrame, by: tuple[str, ...] = ("system", "topic")) -> DataFrame:
@@ -26,7 +27,7 @@ def inertia(labelled: DataFrame, by: str = "system") -> DataFrame:
     Sum |x|^2 - n |mean|^2 per topic would need one pass only, but loses digits for
     tight topics far from the origin; the distance itself is summed instead.
     """
-    centroids = topic_centroids(labelled, (by, "topic"))
+    centroids = held_if_small(topic_centroids(labelled, (by, "topic")))
     return (
         labelled.join(centroids, [by, "topic"])
         .withColumn("gap", vectors.squared_distance(F.col("embedding"), F.col("centroid")))
@@ -77,7 +78,7 @@ def silhouette_sq(labelled: DataFrame, by: str = "system") -> DataFrame:
         .otherwise((F.col("b") - F.col("a")) / F.greatest("a", "b"))
     )
     return (
-        labelled.join(sums, by)
+        labelled.join(held_if_small(sums), by)
         .withColumn("square", square)
         .withColumn("gaps", gaps)
         .select(by, a.alias("a"), b.alias("b"))

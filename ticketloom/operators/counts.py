@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ticketloom.functions import keys, times
 from ticketloom.operators.columns import quoted
+from ticketloom.operators.scale import held_if_small
 
 
 def tickets_per_topic(assignments: DataFrame) -> DataFrame:
@@ -22,7 +23,7 @@ def large_enough(df: DataFrame, minimum: int, by: str = "system") -> DataFrame:
     window count would bring every row of a system into one task.
     """
     passing = df.groupBy(by).count().where(F.col("count") >= minimum).select(by)
-    return df.join(passing, by, "left_semi")
+    return df.join(held_if_small(passing), by, "left_semi")
 
 
 def topic_spine(systems: DataFrame) -> DataFrame:
@@ -89,12 +90,15 @@ def monthly_total(monthly: DataFrame) -> DataFrame:
 
 
 def monthly_rollup(dated: DataFrame) -> DataFrame:
-    """Month totals (topic NULL) and month-topic counts in one aggregation."""
+    """Month totals (topic NULL) and month-topic counts.
+
+    Tickets are counted once; the roll-up repeats rows per level and works on the counts.
+    """
     month = times.month_of(F.col("opened"))
+    monthly = dated.groupBy("system", month.alias("month"), "topic").count()
     return (
-        dated.select("system", month.alias("month"), "topic")
-        .rollup("system", "month", "topic")
-        .agg(F.count(F.lit(1)).alias("n_tickets"), F.grouping_id().alias("level"))
+        monthly.rollup("system", "month", "topic")
+        .agg(F.sum("count").alias("n_tickets"), F.grouping_id().alias("level"))
         .where("level < 2")
         .select("system", "month", "topic", "n_tickets")
     )

@@ -22,7 +22,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ticketloom.operators.scale import SMALL_ROWS, small_rows, top_per_group
+from ticketloom.operators.scale import SMALL_ROWS, held_if_small, small_rows, top_per_group
 
 # The task functions travel with the job: executors need not have this package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -241,8 +241,7 @@ def _block_pairs(
     chunks = asked.groupBy("group").agg(
         F.ceil(F.count(F.lit(1)) / chunk_rows).cast("int").alias("n_chunks")
     )
-    # One row per group; Spark broadcasts it or not by its size.
-    plan = blocks.join(chunks, "group")
+    plan = held_if_small(blocks.join(chunks, "group"))
     upto = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     asked = (
         asked.join(plan, "group")

@@ -8,8 +8,9 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Rows a side may have to be handed to every task.
+# Rows and bytes a side may have to be handed to every task.
 SMALL_ROWS = 20_000
+SMALL_BYTES = 128 * 1024 * 1024
 # A key is hot when it holds more than 1/HOT_SHARES of all rows, so there are
 # never more than HOT_SHARES hot keys, whatever the data.
 HOT_SHARES = 4_000
@@ -44,9 +45,22 @@ def one_row_each(
 
 
 def small_rows(df: DataFrame, limit: int = SMALL_ROWS):
-    """The rows of a side as an Arrow table if it has at most ``limit``, else None."""
+    """The rows of a side as an Arrow table if they are few and light, else None."""
     table = df.limit(limit + 1).toArrow()
-    return table if table.num_rows <= limit else None
+    return table if table.num_rows <= limit and table.nbytes <= SMALL_BYTES else None
+
+
+def held_if_small(df: DataFrame, limit: int = SMALL_ROWS) -> DataFrame:
+    """The side as a broadcast table if it turns out small, else as it is.
+
+    For sides with a row per topic or system. Joined by key with one row per ticket they
+    would otherwise be shuffled, and a key that holds a third of all tickets would end
+    in one task. Past the limit Spark joins the two sides by its own statistics.
+    """
+    table = small_rows(df, limit)
+    if table is None:
+        return df
+    return F.broadcast(df.sparkSession.createDataFrame(table, df.schema))
 
 
 def salted_join(

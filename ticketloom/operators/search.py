@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from ticketloom import names
 from ticketloom.operators.columns import same_system, team_contains
 from ticketloom.operators.nearest import top_matches
+from ticketloom.operators.scale import stored
 
 
 def _wanted(queries: DataFrame, column: str) -> Column:
@@ -179,8 +180,12 @@ def similar_tickets(
     still end up with fewer than k.
     """
     with_team = "team_filter" in queries.columns
-    fetched = hierarchical_search(
-        queries, topics, tickets, k_topics, k * names.OVERFETCH if with_team else k, topic_floor
+    # Stored, because several results are read from the matches, and because Spark then
+    # knows how few they are when it looks up their tickets.
+    fetched = stored(
+        hierarchical_search(
+            queries, topics, tickets, k_topics, k * names.OVERFETCH if with_team else k, topic_floor
+        )
     )
     columns = tuple(dict.fromkeys(("team", *attributes)))
     rows = with_attributes(fetched.where(F.col("score") >= floor), tickets, *columns)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ticketloom import names
 from ticketloom.functions.keys import seeded_order
-from ticketloom.operators.scale import top_per_group
+from ticketloom.operators.scale import held_if_small, top_per_group
 
 TOPIC = ["system", "topic"]
 
@@ -70,7 +70,7 @@ def select_tickets(
         unranked = assignments
         ranked_choice = None
     else:
-        ranked_systems = distribution.select("system").distinct()
+        ranked_systems = held_if_small(distribution.select("system").distinct())
         own = assignments.join(ranked_systems, "system", "left_semi").join(
             distribution.select("system", "id", "topic", "prob"), ["system", "id", "topic"], "left"
         )
@@ -79,15 +79,16 @@ def select_tickets(
         periphery = periphery_tickets(probabilities).select(
             *TOPIC, "id", F.lit("periphery").alias("part")
         )
-        # At most core + periphery rows per topic: small enough to go to every task.
-        ranked_choice = texts.join(F.broadcast(core.unionByName(periphery)), ["system", "id"])
+        # At most core + periphery rows per topic, so the texts need not be shuffled.
+        chosen_ids = held_if_small(core.unionByName(periphery))
+        ranked_choice = texts.join(chosen_ids, ["system", "id"])
         unranked = assignments.join(ranked_systems, "system", "left_anti")
     drawn = fallback_tickets(
         unranked.join(texts.where(F.col("text").isNotNull()), ["system", "id"]).select(
             *TOPIC, "id", "position"
         )
     )
-    chosen = texts.join(F.broadcast(drawn.select(*TOPIC, "id", "part")), ["system", "id"])
+    chosen = texts.join(held_if_small(drawn.select(*TOPIC, "id", "part")), ["system", "id"])
     if ranked_choice is not None:
         chosen = ranked_choice.unionByName(chosen.select(*ranked_choice.columns))
     chosen = chosen.where(F.col("text").isNotNull())

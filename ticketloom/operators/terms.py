@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ticketloom import names
 from ticketloom.functions.text import words
-from ticketloom.operators.scale import one_row_each, top_per_group
+from ticketloom.operators.scale import held_if_small, one_row_each, stored, top_per_group
 
 
 def term_weights(documents: DataFrame, text: str = "text") -> DataFrame:
@@ -18,10 +18,9 @@ def term_weights(documents: DataFrame, text: str = "text") -> DataFrame:
     shuffle that sees single words is the count, which shrinks on the map side first;
     the sums over topics and words run on the counted table.
     """
-    # Rows without a topic are dropped here, not by the joins below: all uses of the
-    # count then have the same plan and Spark runs it once.
+    # The texts are read and cut into words once; all else works on the stored counts.
     known = documents.where(F.col("system").isNotNull() & F.col("topic").isNotNull())
-    counted = (
+    counted = stored(
         one_row_each(known.select("system", "topic", words(F.col(text)).alias("words")), "words", "term")
         .groupBy("system", "topic", "term")
         .agg(F.count(F.lit(1)).alias("tf"))
@@ -30,8 +29,8 @@ def term_weights(documents: DataFrame, text: str = "text") -> DataFrame:
     means = sizes.groupBy("system").agg(
         F.floor(F.avg("topic_words")).cast("double").alias("mean_words")
     )
-    # One row per topic and system: as long as there are topics, whatever the corpus.
-    scale = sizes.join(means, "system")
+    # One row per topic, whatever the corpus.
+    scale = held_if_small(sizes.join(means, "system"))
     over_topics = Window.partitionBy("system", "term")
     weighted = counted.withColumn("f", F.sum("tf").over(over_topics)).join(
         scale, ["system", "topic"]

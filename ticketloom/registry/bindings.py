@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ticketloom import names
 from ticketloom.functions import vectors
 from ticketloom.operators import clusters, selection
-from ticketloom.operators.scale import spread
+from ticketloom.operators.scale import held_if_small, spread
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -146,7 +146,7 @@ def own_cosine(spark: SparkSession, folder: str) -> DataFrame:
     rows = assigned(spark, folder).select("system", "id", "topic", "embedding")
     centroids = clusters.topic_centroids(rows).select("system", "topic", "centroid")
     cosine = vectors.dot(F.col("embedding"), vectors.unit(F.col("centroid")))
-    return rows.join(centroids, ["system", "topic"]).select(
+    return rows.join(held_if_small(centroids), ["system", "topic"]).select(
         "system", "topic", "id", F.round(cosine, 6).alias("prob")
     )
 
