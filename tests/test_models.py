@@ -51,6 +51,8 @@ def test_grid_prefers_first_best(blobs):
     assert choice.silhouette == max(r.silhouette for r in runs)
     best = modeling.best_run(choice.runs).first()
     assert (best.n_components, best.metric) == (choice.components, choice.metric)
+    plain = modeling.grid_search(blobs, 3, components=(3,), metrics=("euclidean",), n_init=2, plain_distances=True)
+    assert 0.8 < plain.silhouette < 1
 
 
 def test_silhouette_equals_the_evaluator(spark, blobs):
@@ -67,6 +69,30 @@ def test_silhouette_equals_the_evaluator(spark, blobs):
     assert 0 < clusters.silhouette_sq(lonely).first()["silhouette"] < 1
 
 
+def test_plain_silhouette_equals_definition(spark):
+    rng = np.random.default_rng(5)
+    points = [("s" if i % 4 else "t", str(i), int(i % 3 if i % 4 else i % 2), rng.normal(size=4)) for i in range(40)]
+    labelled = spark.createDataFrame(
+        [(s, i, t, v.tolist()) for s, i, t, v in points], "system string, id string, topic int, embedding array<double>"
+    )
+    expected = {}
+    for system in ("s", "t"):
+        own = [p for p in points if p[0] == system]
+        scores = []
+        for _, i, t, v in own:
+            means = {}
+            for other in {p[2] for p in own}:
+                gaps = [np.linalg.norm(v - p[3]) for p in own if p[2] == other and p[1] != i]
+                if gaps:
+                    means[other] = np.mean(gaps)
+            rest = [m for k, m in means.items() if k != t]
+            scores.append((min(rest) - means[t]) / max(min(rest), means[t]) if rest and t in means else 0.0)
+        expected[system] = np.mean(scores)
+    for small, block in ((1000, 100), (1, 7)):
+        got = clusters.silhouette_euclidean(labelled, small=small, block_rows=block).collect()
+        assert {r.system: round(r.silhouette, 9) for r in got} == {k: round(v, 9) for k, v in expected.items()}
+
+
 def test_too_few_topics_have_no_map(spark):
     centroids = spark.createDataFrame(
         [("s", -1, [1.0, 0.0], 5), ("s", 0, [0.0, 1.0], 5), ("s", 1, [1.0, 1.0], 5)],

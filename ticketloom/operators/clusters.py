@@ -2,13 +2,25 @@
 
 from __future__ import annotations
 
+import sys
+from collections.abc import Iterable, Iterator
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ticketloom.functions import vectors
-from ticketloom.operators.scale import held_if_small
+from ticketloom.operators.scale import SMALL_ROWS, held_if_small, small_rows
+
+# The task functions travel with the job: executors need not have this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+BLOCK_ROWS = 8_192
 
 
 def topic_centroids(labelled: DataFrame, by: tuple[str, ...] = ("system", "topic")) -> DataFrame:
@@ -85,3 +97,121 @@ def silhouette_sq(labelled: DataFrame, by: str = "system") -> DataFrame:
         .groupBy(by)
         .agg(F.avg(score).alias("silhouette"), F.count(F.lit(1)).alias("n_documents"))
     )
+
+
+def silhouette_euclidean(
+    labelled: DataFrame, by: str = "system", small: int = SMALL_ROWS, block_rows: int = BLOCK_ROWS
+) -> DataFrame:
+    """Mean silhouette per system with plain distances.
+
+    The definition needs the distance of every two tickets of a system, so the work is
+    quadratic; :func:`silhouette_sq` is the one for large labellings. Distances are
+    summed per topic inside Arrow tasks: a block gives out one row per ticket and topic,
+    never a pair. ``labelled`` has ``id, topic, embedding`` and the system; ids are
+    unique within a system.
+    """
+    points = labelled.where(F.col("embedding").isNotNull()).select(
+        F.col(by).cast("string").alias("system"),
+        F.col("id").cast("string").alias("id"),
+        F.col("topic").cast("int").alias("topic"),
+        vectors.doubles(F.col("embedding")).alias("vector"),
+    )
+    result = "system string, id string, topic int, other int, total double, n long"
+    held = small_rows(points, small)
+    if held is not None:
+        partial = points.mapInArrow(_gaps_to_held(points.sparkSession, held), result)
+    else:
+        partial = _gaps_by_blocks(points, block_rows, result)
+    per_topic = partial.groupBy("system", "id", "topic", "other").agg(
+        F.sum("total").alias("total"), F.sum("n").alias("n")
+    )
+    mean = F.when(F.col("n") > 0, F.col("total") / F.col("n"))
+    own = F.col("topic") == F.col("other")
+    sides = per_topic.groupBy("system", "id").agg(
+        F.max(F.when(own, mean)).alias("a"), F.min(F.when(~own, mean)).alias("b")
+    )
+    undefined = F.col("a").isNull() | F.col("b").isNull() | (F.greatest("a", "b") == 0)
+    score = F.when(undefined, F.lit(0.0)).otherwise((F.col("b") - F.col("a")) / F.greatest("a", "b"))
+    return sides.groupBy(F.col("system").alias(by)).agg(
+        F.avg(score).alias("silhouette"), F.count(F.lit(1)).alias("n_documents")
+    )
+
+
+def _gap_sums(left: pa.Table | pa.RecordBatch, right: pa.Table) -> pd.DataFrame:
+    """Summed distances of every left ticket to the right tickets of each topic."""
+    ours, theirs = ({c: t.column(c) for c in ("system", "id", "topic", "vector")} for t in (left, right))
+    ours, theirs = (
+        {c: v.combine_chunks() if isinstance(v, pa.ChunkedArray) else v for c, v in side.items()}
+        for side in (ours, theirs)
+    )
+    parts = []
+    matrices = [
+        side["vector"].flatten().to_numpy(zero_copy_only=False).reshape(len(side["id"]), -1)
+        for side in (ours, theirs)
+    ]
+    frames = [
+        pd.DataFrame({c: side[c].to_pandas() for c in ("system", "id", "topic")}) for side in (ours, theirs)
+    ]
+    for (system, topic), others in frames[1].groupby(["system", "topic"]):
+        mine = frames[0].index[frames[0]["system"] == system].to_numpy()
+        if len(mine) == 0:
+            continue
+        b = matrices[1][others.index.to_numpy()]
+        step = max(1, 4_000_000 // len(b))
+        for start in range(0, len(mine), step):
+            rows = mine[start : start + step]
+            a = matrices[0][rows]
+            squares = (a * a).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2 * (a @ b.T)
+            gaps = np.sqrt(np.maximum(squares, 0))
+            same = frames[0]["id"].to_numpy()[rows][:, None] == others["id"].to_numpy()[None, :]
+            gaps[same] = 0
+            block = frames[0].loc[rows].copy()
+            block["other"] = topic
+            block["total"] = gaps.sum(1)
+            block["n"] = (~same).sum(1)
+            parts.append(block)
+    return pd.concat(parts) if parts else pd.DataFrame()
+
+
+def _gap_schema() -> pa.Schema:
+    return pa.schema(
+        [("system", pa.string()), ("id", pa.string()), ("topic", pa.int32()), ("other", pa.int32()),
+         ("total", pa.float64()), ("n", pa.int64())]
+    )
+
+
+def _gaps_to_held(spark, held: pa.Table):
+    shared = spark.sparkContext.broadcast(held)
+
+    def measure(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sums = _gap_sums(batch, shared.value) if batch.num_rows else pd.DataFrame()
+            if len(sums):
+                yield from pa.Table.from_pandas(sums, schema=_gap_schema(), preserve_index=False).to_batches()
+
+    return measure
+
+
+def _gaps_by_blocks(points: DataFrame, block_rows: int, result: str) -> DataFrame:
+    """Every block of a system's tickets meets every other one in a task of its own."""
+    blocks = points.groupBy("system").agg(
+        F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias("n_blocks")
+    )
+    placed = points.join(held_if_small(blocks), "system").withColumn(
+        "own", F.pmod(F.xxhash64("id"), F.col("n_blocks")).cast("int")
+    )
+    every = F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1))
+    columns = ["system", "id", "topic", "vector"]
+    left = placed.select(*columns, F.col("own").alias("i"), every.alias("j"))
+    # New names for the other side: both sides are the same table.
+    renamed = [F.col(c).alias(c) for c in columns]
+    right = placed.select(*renamed, F.col("own").alias("j"), every.alias("i"))
+
+    def measure(ours: pa.Table, theirs: pa.Table) -> pa.Table:
+        sums = _gap_sums(ours, theirs) if ours.num_rows and theirs.num_rows else pd.DataFrame()
+        if not len(sums):
+            return _gap_schema().empty_table()
+        return pa.Table.from_pandas(sums, schema=_gap_schema(), preserve_index=False)
+
+    keys = ["system", "i", "j"]
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(measure, result)

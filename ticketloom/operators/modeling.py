@@ -18,6 +18,7 @@ from pyspark.util import inheritable_thread_target
 
 from ticketloom import names
 from ticketloom.functions.text import words
+from ticketloom.operators import clusters
 from ticketloom.operators.scale import held_if_small
 
 GRID_COMPONENTS = (5, 10, 15)
@@ -113,9 +114,13 @@ def grid_search(
     components: Iterable[int] = GRID_COMPONENTS,
     metrics: Iterable[str] = GRID_METRICS,
     n_init: int = 10,
+    plain_distances: bool = False,
 ) -> GridChoice:
     """Every setting is fitted and scored; the first best silhouette wins.
 
+    The score is the squared-Euclidean silhouette, linear in the tickets; with
+    ``plain_distances`` it is the quadratic plain one, for tables with a unique ``id``.
+
     Each fit is a Spark job over the whole table. The reduction is nested: principal
     components are ordered, so the widest fit of a metric holds the narrower ones and
     each metric is reduced once.
@@ -125,14 +130,18 @@ def grid_search(
     rows = []
     for metric in metrics:
         widest, _ = reduce_vectors(vectors, sizes[-1], metric)
-        widest = widest.select("features").persist(StorageLevel.MEMORY_AND_DISK)
+        kept = ["id", "features"] if plain_distances else ["features"]
+        widest = widest.select(*kept).persist(StorageLevel.MEMORY_AND_DISK)
         for size in sizes:
-            features = widest.select(
-                array_to_vector(F.slice(vector_to_array("features"), 1, size)).alias("features")
+            features = widest.withColumn(
+                "features", array_to_vector(F.slice(vector_to_array("features"), 1, size))
             )
-            model, _ = best_kmeans(features, k, n_init)
-            score = round(evaluator.evaluate(model.transform(features)), 4)
-            rows.append((size, metric, float(score)))
+            clustered = best_kmeans(features, k, n_init)[0].transform(features)
+            if plain_distances:
+                score = _plain_silhouette(clustered)
+            else:
+                score = evaluator.evaluate(clustered)
+            rows.append((size, metric, round(float(score), 4)))
         widest.unpersist()
     runs = vectors.sparkSession.createDataFrame(
         [(i, *row) for i, row in enumerate(rows)],
@@ -142,6 +151,16 @@ def grid_search(
     return GridChoice(*winner, runs)
 
 
+def _plain_silhouette(clustered: DataFrame) -> float:
+    labelled = clustered.select(
+        F.lit("all").alias("system"),
+        "id",
+        F.col("prediction").alias("topic"),
+        vector_to_array("features").alias("embedding"),
+    )
+    return clusters.silhouette_euclidean(labelled).first()["silhouette"]
+
+
 def best_run(runs: DataFrame) -> DataFrame:
     """The first run with the highest silhouette of a results table."""
     best = F.max_by(

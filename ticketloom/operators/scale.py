@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import functools
+import shutil
 import tempfile
 import uuid
 
@@ -104,18 +107,28 @@ def top_per_group(
     return df.withColumn(rank, F.row_number().over(window)).where(F.col(rank) <= k)
 
 
+@functools.cache
+def _local_folder() -> str:
+    """The machine's own scratch of this process, gone when it ends."""
+    folder = tempfile.mkdtemp(prefix="ticketloom-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    return folder
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """A fresh folder every executor can reach.
+    """Path of a folder, not there yet, that every executor can reach.
 
-    The cluster names its shared folder in ``spark.checkpoint.dir``. Only a local
-    master may fall back to the machine's own temporary folder.
+    The cluster names its shared folder in ``spark.checkpoint.dir``; a checkpoint folder
+    set on the context counts too. Only a local master may fall back to the machine's
+    own temporary folder.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if base:
-        return f"{base.rstrip('/')}/ticketloom-{uuid.uuid4().hex}"
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-    return tempfile.mkdtemp(prefix="ticketloom-")
+    context = spark.sparkContext
+    base = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not base:
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder all executors share")
+        base = _local_folder()
+    return f"{base.rstrip('/')}/ticketloom-{uuid.uuid4().hex}"
 
 
 def stored(df: DataFrame) -> DataFrame:

@@ -264,6 +264,23 @@ def silhouette_sq(spark, sf):
     return scored.withColumn("silhouette", F.round("silhouette", 6))
 
 
+@query(with_(ASSIGN) + """
+, gaps AS (
+  SELECT p.system, p.id, p.topic, q.topic AS other, count(*) FILTER (p.id <> q.id) AS n,
+    sum(list_distance(p.embedding, q.embedding)) AS total
+  FROM assign p JOIN assign q ON p.system = q.system GROUP BY p.system, p.id, p.topic, q.topic),
+ab AS (
+  SELECT system, id, max(total / n) FILTER (topic = other AND n > 0) AS a,
+    min(total / n) FILTER (topic <> other) AS b
+  FROM gaps GROUP BY system, id)
+SELECT system, round(avg(CASE WHEN a IS NULL OR b IS NULL OR greatest(a, b) = 0 THEN 0
+  ELSE (b - a) / greatest(a, b) END), 6) AS silhouette, count(*) AS n_documents
+FROM ab GROUP BY system""")
+def silhouette_euclidean(spark, sf):
+    scored = clusters.silhouette_euclidean(_labelled(spark, sf))
+    return scored.withColumn("silhouette", F.round("silhouette", 6))
+
+
 @query(with_(ASSIGN) + """
 SELECT id, unnest(range(len(embedding))) AS d,
   round(unnest(embedding) * 3 / (3 * sqrt(list_dot_product(embedding, embedding))), 6) + 0 AS value
