@@ -144,8 +144,10 @@ def name_words(spark: SparkSession, folder: str) -> DataFrame:
 def own_cosine(spark: SparkSession, folder: str) -> DataFrame:
     """``system, topic, id, prob``: cosine of a ticket to the centroid of its topic."""
     rows = assigned(spark, folder).select("system", "id", "topic", "embedding")
-    centroids = clusters.topic_centroids(rows).select("system", "topic", "centroid")
-    cosine = vectors.dot(F.col("embedding"), vectors.unit(F.col("centroid")))
+    centroids = clusters.topic_centroids(rows).select(
+        "system", "topic", vectors.unit(F.col("centroid")).alias("centroid")
+    )
+    cosine = vectors.dot(F.col("embedding"), F.col("centroid"))
     return rows.join(held_if_small(centroids), ["system", "topic"]).select(
         "system", "topic", "id", F.round(cosine, 6).alias("prob")
     )
