@@ -5,7 +5,7 @@ from __future__ import annotations
 from functools import reduce
 from operator import add
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ticketloom.functions.text import words
@@ -92,14 +92,20 @@ def topic_distribution(
     ]
     length = F.sqrt(reduce(add, squares + repeats))
     topics = F.sequence(F.lit(0), F.greatest(*[F.size(f"{s}.shares") for s in slots]) - 1)
-    dot = reduce(
-        add, [F.coalesce(F.get(F.col(f"{s}.shares"), F.col("topic")), F.lit(0.0)) for s in slots]
-    )
-    cosines = (
-        placed.select(*ticket, *slots, length.alias("length"), F.explode(topics).alias("topic"))
-        .select(*ticket, "topic", (dot / F.col("length")).alias("cosine"))
-        .where(F.col("cosine") >= floor)
+
+    # As an array, not as arithmetic behind the explode: that would become one generated
+    # method too long for the JVM to compile, which then runs interpreted. The length is
+    # bound once per window, by the outer array of one.
+    def dot(topic: Column) -> Column:
+        return reduce(
+            add, [F.coalesce(F.get(F.col(f"{s}.shares"), topic), F.lit(0.0)) for s in slots]
+        )
+
+    cosine_row = F.transform(
+        F.array(length), lambda size: F.transform(topics, lambda t: dot(t) / size)
     )
+    measured = placed.select(*ticket, cosine_row[0].alias("cosines"))
+    cosines = one_row_each(measured, "cosines", "cosine", "topic").where(F.col("cosine") >= floor)
     summed = cosines.groupBy(*ticket, "topic").agg(F.sum("cosine").alias("mass"))
     total = F.sum("mass").over(Window.partitionBy(*ticket))
     return summed.select(*ticket, "topic", round4(F.col("mass") / total).alias("prob"))

@@ -66,6 +66,12 @@ def held_if_small(df: DataFrame, limit: int = SMALL_ROWS) -> DataFrame:
     return F.broadcast(df.sparkSession.createDataFrame(table, df.schema))
 
 
+def computed_if_small(df: DataFrame, limit: int = SMALL_ROWS) -> DataFrame:
+    """A result several branches use, computed once here if it turns out small."""
+    table = small_rows(df, limit)
+    return df if table is None else df.sparkSession.createDataFrame(table, df.schema)
+
+
 def salted_join(
     rows: DataFrame,
     lookup: DataFrame,

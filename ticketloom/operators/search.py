@@ -4,7 +4,9 @@ Inputs, all as DataFrames:
 
 * queries: ``query_id, embedding`` and optionally ``system_filter, team_filter``;
 * topics: ``topic_uid, system, embedding``, one row per topic;
-* tickets: ``id, topic_uids`` (array), ``embedding`` and the attributes to report.
+* tickets: ``id, topic_uids`` (array), ``embedding``;
+* details: ``id`` and the attributes to report, looked up for the few tickets found; the
+  tickets table itself if not given.
 """
 
 from __future__ import annotations
@@ -159,9 +161,9 @@ def hierarchical_search(
     return tickets_in_topics(queries, chosen, tickets, k_tickets)
 
 
-def with_attributes(matches: DataFrame, tickets: DataFrame, *columns: str) -> DataFrame:
+def with_attributes(matches: DataFrame, details: DataFrame, *columns: str) -> DataFrame:
     """Ticket attributes next to the matches. Matches are few, so only ids are looked up."""
-    return matches.join(tickets.select("id", *columns), "id")
+    return matches.join(details.select("id", *columns), "id")
 
 
 def similar_tickets(
@@ -173,6 +175,7 @@ def similar_tickets(
     k_topics: int = 5,
     topic_floor: float = names.SUPPORT_FLOOR,
     attributes: tuple[str, ...] = ("team",),
+    details: DataFrame | None = None,
 ) -> DataFrame:
     """Similar tickets for support: score floor, team filter, then the cut to k.
 
@@ -188,7 +191,8 @@ def similar_tickets(
         )
     )
     columns = tuple(dict.fromkeys(("team", *attributes)))
-    rows = with_attributes(fetched.where(F.col("score") >= floor), tickets, *columns)
+    source = tickets if details is None else details
+    rows = with_attributes(fetched.where(F.col("score") >= floor), source, *columns)
     if with_team:
         wanted = queries.select("query_id", _wanted(queries, "team_filter").alias("_team"))
         rows = (
@@ -261,10 +265,11 @@ def recommend(
     topics: DataFrame,
     tickets: DataFrame,
     k: int = 3,
+    details: DataFrame | None = None,
 ) -> DataFrame:
     """One row per query: tier, best score, tickets in rank order and their pattern."""
     results = similar_tickets(
-        queries, topics, tickets, k, attributes=("team", "category", "hours")
+        queries, topics, tickets, k, attributes=("team", "category", "hours"), details=details
     )
     lists = results.groupBy("query_id").agg(
         F.max("score").alias("best_score"),

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ticketloom import names
 from ticketloom.functions.keys import seeded_order
-from ticketloom.operators.scale import held_if_small, top_per_group
+from ticketloom.operators.scale import computed_if_small, held_if_small, top_per_group
 
 TOPIC = ["system", "topic"]
 
@@ -26,6 +26,7 @@ def periphery_tickets(
     core_size: int = names.CORE_SIZE,
     size: int = names.PERIPHERY_SIZE,
     seed: int = names.SEED,
+    core: DataFrame | None = None,
 ) -> DataFrame:
     """A seeded draw from the tickets outside the core.
 
@@ -33,7 +34,8 @@ def periphery_tickets(
     a topic at most ``core_size`` belong to the core, so the ``size`` lowest of the rest
     are among them: neither step has to order a whole topic.
     """
-    core = core_tickets(probabilities, core_size).select(*TOPIC, "id")
+    core = core_tickets(probabilities, core_size) if core is None else core
+    core = core.select(*TOPIC, "id")
     keyed = probabilities.select(*TOPIC, "id", seeded_order(seed, F.col("id")).alias("draw"))
     order = [F.col("draw"), F.col("id")]
     lowest = top_per_group(keyed, TOPIC, order, core_size + size, "_place").drop("_place")
@@ -75,8 +77,10 @@ def select_tickets(
             distribution.select("system", "id", "topic", "prob"), ["system", "id", "topic"], "left"
         )
         probabilities = own.select(*TOPIC, "id", F.coalesce("prob", F.lit(0.0)).alias("prob"))
-        core = core_tickets(probabilities).select(*TOPIC, "id", F.lit("core").alias("part"))
-        periphery = periphery_tickets(probabilities).select(
+        core = computed_if_small(
+            core_tickets(probabilities).select(*TOPIC, "id", F.lit("core").alias("part"))
+        )
+        periphery = periphery_tickets(probabilities, core=core).select(
             *TOPIC, "id", F.lit("periphery").alias("part")
         )
         # At most core + periphery rows per topic, so the texts need not be shuffled.

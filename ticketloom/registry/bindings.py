@@ -174,11 +174,20 @@ def search_topics(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def search_tickets(spark: SparkSession, folder: str) -> DataFrame:
-    """Tickets of the search: two tags each, team, category and hours.
+    """Tickets of the search with two tags each.
 
-    The second tag is the same topic number in the next language system, as a ticket may
+    The second tag is the same topic number in another language system, as a ticket may
     be in its own system and in the one over all.
     """
+    second = F.when(F.col("system") == "en", F.lit("FR")).otherwise(F.lit("EN"))
+    tag = lambda s: F.concat(s, F.lit("_"), F.col("topic").cast("string"))
+    return assigned(spark, folder).select(
+        "id", "embedding", F.array(tag(F.upper("system")), tag(second)).alias("topic_uids")
+    )
+
+
+def search_details(spark: SparkSession, folder: str) -> DataFrame:
+    """Team, category and hours of every ticket."""
     category = table(spark, folder, "customer").select(
         F.col("c_custkey").cast("string").alias("id"), F.col("c_mktsegment").alias("category")
     )
@@ -195,12 +204,8 @@ def search_tickets(spark: SparkSession, folder: str) -> DataFrame:
             hours_between(F.col("o_orderdate"), F.col("solved")).alias("hours"),
         )
     )
-    second = F.when(F.col("system") == "en", F.lit("FR")).otherwise(F.lit("EN"))
-    tag = lambda s: F.concat(s, F.lit("_"), F.col("topic").cast("string"))
-    base = assigned(spark, folder).select(
-        "id", "system", "team", "embedding", F.array(tag(F.upper("system")), tag(second)).alias("topic_uids")
-    )
-    return base.join(category, "id", "left").join(hours, "id", "left")
+    teams = tickets(spark, folder).select("id", "team")
+    return teams.join(category, "id", "left").join(hours, "id", "left")
 
 
 def search_queries(spark: SparkSession, folder: str, filters: bool = False) -> DataFrame:

@@ -130,7 +130,10 @@ def hierarchical_search(spark, sf):
 @query(_search_sql(5, 0.2, filters=True) + _SIMILAR.format(k=10) + "SELECT query_id, rank, id, score, team FROM kept")
 def similar_tickets(spark, sf):
     return search.similar_tickets(
-        b.search_queries(spark, sf, filters=True), b.search_topics(spark, sf), b.search_tickets(spark, sf)
+        b.search_queries(spark, sf, filters=True),
+        b.search_topics(spark, sf),
+        b.search_tickets(spark, sf),
+        details=b.search_details(spark, sf),
     )
 
 
@@ -143,7 +146,10 @@ def more_like_id(spark, sf):
         F.concat(F.lit(" "), F.col("doc_id").cast("string")).alias("id")
     )
     return search.similar_tickets(
-        search.tickets_as_queries(ids, tickets), b.search_topics(spark, sf), tickets
+        search.tickets_as_queries(ids, tickets),
+        b.search_topics(spark, sf),
+        tickets,
+        details=b.search_details(spark, sf),
     )
 
 
@@ -187,6 +193,7 @@ def result_pattern(spark, sf):
         b.search_topics(spark, sf),
         b.search_tickets(spark, sf),
         attributes=("team", "category", "hours"),
+        details=b.search_details(spark, sf),
     )
     pattern = search.result_pattern(results)
     return _rounded(pattern)
@@ -203,7 +210,10 @@ FROM queries q LEFT JOIN figures USING (query_id) LEFT JOIN team_mode USING (que
 LEFT JOIN category_mode USING (query_id)""")
 def recommend(spark, sf):
     answers = search.recommend(
-        b.search_queries(spark, sf, filters=True), b.search_topics(spark, sf), b.search_tickets(spark, sf)
+        b.search_queries(spark, sf, filters=True),
+        b.search_topics(spark, sf),
+        b.search_tickets(spark, sf),
+        details=b.search_details(spark, sf),
     )
     return _rounded(answers).withColumn("tickets", F.array_join("tickets", ","))
 
