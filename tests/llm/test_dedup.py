@@ -71,16 +71,15 @@ def test_near_documents(small, words):
     }
 
 
-def test_near_groups_in_one_entry(spark, monkeypatch):
+def test_near_groups_in_one_entry(spark):
     """A large group of near copies and many texts that share half of their shingles."""
-    monkeypatch.setattr(tensor_minhash, "LARGE_ENTRY", 8)
     rng = random.Random(5)
     word = lambda: f"w{rng.randrange(10**6)}"
     base, common = [word() for _ in range(120)], [word() for _ in range(60)]
     texts = {}
     for i in range(60):
         copy = list(base)
-        for _ in range(rng.randrange(5)):
+        for _ in range(rng.randrange(9)):
             copy[rng.randrange(120)] = word()
         texts[i] = " ".join(copy)
         texts[100 + i] = " ".join(common + [word() for _ in range(rng.randrange(5, 60))])

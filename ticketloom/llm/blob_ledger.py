@@ -13,8 +13,8 @@ ends count code points, ends are exclusive and spans cover the whole match.
 
 Defined cases: a null text is an empty blob without findings; a null id is a path like any
 other; repeated rows each get the findings of their text; an empty table gives an empty
-result and leaves the ledger as it is. An append repeated after a lost driver does no harm,
-since the ledger is read once for each pair.
+result and leaves the ledger as it is. A pair that was appended twice, by a repeated row or
+after a lost driver, does no harm, since the ledger is read once for each pair.
 """
 
 from __future__ import annotations
