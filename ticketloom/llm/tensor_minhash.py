@@ -7,12 +7,14 @@ of minhashes grows with the root of the number of tables. Texts with equal sets
 to one class before. At similarity 0.8 a link is missed by all tables with probability
 2 * (1 - 0.8^2)^8 = 6e-4, at 0.9 with 3e-6.
 
-Candidates never are all pairs of a table entry. First every class is compared with one
-partner, the entry's smallest class that it shares most keys with. Only entries whose classes
-then still are in different components are looked at again: pairs from different components
-meet there, by a third collection of groups too where an entry is large, and pairs whose
-sizes or minhashes rule out the threshold are left out. All pairs compared are confirmed on
-the full shingle sets, and components are taken over the confirmed links.
+Candidates never are all pairs of a table entry. The head of an entry is its class that
+meets most others over all tables, the likely centre of a group; first every class is
+compared with the HEADS heads it shares most keys with. Only entries whose classes then
+still are in different components are looked at again. Shingles that no other class of these
+entries has bound what a class can share with any partner, exactly, and rule out nearly all
+of them: both edited copies too far from their group and texts that only share a passage.
+What is left meets across components, each pair once, in the first key it shares. All pairs
+compared are confirmed on the full shingle sets, and components are taken over these links.
 
 Sets hold 64-bit hashes of shingles; classes are told apart by 128 bits.
 
@@ -39,14 +41,12 @@ from ticketloom.operators.scale import salted_join
 
 GROUPS = 8
 WIDTH = 2
-COLLECTIONS = 3
-MINHASHES = COLLECTIONS * GROUPS * WIDTH
-LARGE_ENTRY = 64  # classes of an entry above which the third collection divides it
+HEADS = 2
+MINHASHES = 2 * GROUPS * WIDTH
 BATCH_SHINGLES = 1 << 18  # shingles hashed at a time
 CACHE_SHINGLES = 4_000_000  # of sets that a verifying task remembers
 PERCENT = 80
-# Of 48 minhashes a pair at 0.8 shares 38; fewer than this many with probability 1e-7.
-LEAST_EQUAL = 22
+CARRIED = 4  # differences of up to 1 / CARRIED of both sizes are carried along
 
 _random = np.random.default_rng(20240229)
 _FACTORS = _random.integers(1, 2**63, MINHASHES, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -132,8 +132,23 @@ def _keys() -> Column:
     )
 
 
-def verified(pairs: DataFrame, texts: DataFrame, words: int) -> DataFrame:
-    """The pairs (a, b) of nodes whose full sets are similar enough."""
+def _groups() -> Column:
+    """All minhash groups, folded to 31 bits."""
+    return F.array(
+        *[F.pmod(_group(c, i), F.lit(1 << 31)).cast("int") for c in range(2) for i in range(GROUPS)]
+    )
+
+
+def _first_shared(a: Column, b: Column) -> Column:
+    """The first table in which two classes have the same key."""
+    equal = F.zip_with(a, b, lambda x, y: x == y)
+    of = lambda c: F.array_position(F.slice(equal, c * GROUPS + 1, GROUPS), F.lit(True)) - 1
+    return of(0) * GROUPS + of(1)
+
+
+def verified(pairs: DataFrame, texts: DataFrame, words: int, differences: bool = False) -> DataFrame:
+    """For each pair (a, b) of nodes what their full sets share, and whether it is enough;
+    on demand, of pairs that are not too far apart, the shingles of only one of the two."""
     left = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
     right = texts.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
     joined = pairs.select("a", "b").join(left, "a").join(right, "b")
@@ -154,17 +169,27 @@ def verified(pairs: DataFrame, texts: DataFrame, words: int) -> DataFrame:
 
         for batch in batches:
             nodes_a, nodes_b = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            similar = []
+            shared, similar, changed = [], [], []
             for row in range(batch.num_rows):
                 x = of(nodes_a[row], batch.column(2)[row].as_py())
                 y = of(nodes_b[row], batch.column(3)[row].as_py())
                 both = len(np.intersect1d(x, y, assume_unique=True))
+                shared.append(both)
                 similar.append(100 * both >= PERCENT * (len(x) + len(y) - both))
-            yield pa.RecordBatch.from_arrays(
-                [c.filter(pa.array(similar, pa.bool_())) for c in (batch.column(0), batch.column(1))], names=["a", "b"]
-            )
-
-    return joined.select("a", "b", "text_a", "text_b").mapInArrow(compared, "a long, b long")
+                if differences:
+                    by = len(x) + len(y) - 2 * both
+                    near = CARRIED * by <= len(x) + len(y)
+                    changed.append((np.setxor1d(x, y, assume_unique=True) >> np.uint64(33)).astype(np.int32) if near else None)
+            columns = [batch.column(0), batch.column(1), pa.array(shared, pa.int64()), pa.array(similar, pa.bool_())]
+            names = ["a", "b", "shared", "similar"]
+            if differences:
+                columns.append(pa.array(changed, pa.list_(pa.int32())))
+                names.append("diff")
+            yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    return joined.select("a", "b", "text_a", "text_b").mapInArrow(
+        compared, "a long, b long, shared long, similar boolean" + (", diff array<int>" if differences else "")
+    )
 
 
 def _texts(docs: DataFrame, nodes: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
@@ -184,9 +209,36 @@ def _texts(docs: DataFrame, nodes: DataFrame, words: int, id_col: str, text_col:
     return joined.select("node", "digest", "text").mapInArrow(own, "node long, text binary")
 
 
-def _fits(n: Column, m: Column) -> Column:
-    """Sizes that the threshold allows."""
-    return F.least(n, m) * 100 >= F.greatest(n, m) * PERCENT
+def _fits(most: Column, n: Column, m: Column) -> Column:
+    """Whether sets of n and m shingles that share ``most`` at best can reach the threshold."""
+    return most * (100 + PERCENT) >= (n + m) * PERCENT
+
+
+def _apart(most: Column, n: Column, m: Column) -> Column:
+    """Whether sets that differ in ``most`` shingles or more miss the threshold."""
+    return most * (100 + PERCENT) > (n + m) * (100 - PERCENT)
+
+
+def _unshared(texts: DataFrame, words: int) -> DataFrame:
+    """node and the number of its shingles that no other of the texts has."""
+
+    def exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for node, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+                found = shingles(text.as_py(), words).view(np.int64)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(len(found), node)), pa.array(found)], names=["node", "shingle"]
+                )
+
+    return (
+        texts.select("node", "text")
+        .mapInArrow(exploded, "node long, shingle long")
+        .groupBy("shingle")
+        .agg(F.min("node").alias("node"), F.max("node").alias("other"))
+        .where("node = other")
+        .groupBy("node")
+        .agg(F.count(F.lit(1)).alias("unshared"))
+    )
 
 
 def near_dedup(docs: DataFrame, words: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -205,60 +257,93 @@ def near_dedup(docs: DataFrame, words: int = 5, id_col: str = "doc_id", text_col
         .withColumn("node", F.conv(F.substring(F.hex("digest"), 1, 16), 16, -10).cast("long")),
         "classes",
     )
-    keyed = classes.select("node", F.explode(_keys()).alias("key"))
-    entries = keyed.groupBy("key").agg(F.min("node").alias("head"), F.count(F.lit(1)).alias("held")).where("held > 1")
+    keyed = classes.select("node", F.posexplode(_keys()).alias("table", "key"))
+    entries = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("held")).where("held > 1")
     members = stored(keyed.join(entries, "key"), "members")
     sizes = classes.select("node", "n")
-    of_head = sizes.select(F.col("node").alias("head"), F.col("n").alias("m"))
 
-    # First round: every class and one head.
-    votes = members.where("node <> head").groupBy("node", "head").agg(F.count(F.lit(1)).alias("votes"))
-    votes = votes.join(sizes, "node").join(of_head, "head").where(_fits(F.col("n"), F.col("m")))
+    # First round: every class and the heads it shares most keys with.
+    centrality = members.groupBy("node").agg(F.sum("held").alias("met"))
+    scored = members.select("key", "node").join(centrality, "node")
+    heads = scored.groupBy("key").agg(F.max(F.struct("met", "node")).alias("head")).select("key", F.col("head.node").alias("head"))
+    votes = (
+        members.select("key", "node")
+        .join(heads, "key")
+        .where("node <> head")
+        .groupBy("node", "head")
+        .agg(F.count(F.lit(1)).alias("votes"))
+    )
+    of_head = sizes.select(F.col("node").alias("head"), F.col("n").alias("m"))
+    votes = votes.join(sizes, "node").join(of_head, "head").where(_fits(F.least("n", "m"), F.col("n"), F.col("m")))
     best = Window.partitionBy("node").orderBy(F.desc("votes"), "head")
-    pairs = votes.withColumn("place", F.row_number().over(best)).where("place = 1")
-    pairs = stored(pairs.select(F.col("head").alias("a"), F.col("node").alias("b")), "pairs")
+    pairs = votes.withColumn("place", F.row_number().over(best)).where(F.col("place") <= HEADS)
+    pairs = stored(pairs.select(F.col("head").alias("a"), F.col("node").alias("b"), "n", "m", "place"), "pairs")
     needed = members.select("node").distinct().join(classes.select("node", "doc_id", "digest"), "node")
     texts = stored(_texts(docs, needed, words, id_col, text_col), "texts")
-    links = stored(verified(pairs, texts, words).distinct(), "links")
-    tied = components(links)
+    compared = stored(verified(pairs, texts, words, differences=True).distinct(), "compared")
+    links = compared.where("similar").select("a", "b")
+    tied = stored(components(links), "tied")
+    # By how many shingles, and which, a class differs from the head that it is nearest to.
+    differs = compared.join(pairs.where("place = 1"), ["a", "b"]).select(
+        F.col("b").alias("node"), F.col("a").alias("head"), (F.col("n") + F.col("m") - 2 * F.col("shared")).alias("by"), "diff"
+    )
 
     # Second round: pairs of one entry that are in different components by now.
-    tied = stored(tied, "tied")
     placed = (
-        members.select("key", "node", "held")
+        members.select("key", "table", "node")
         .join(tied, "node", "left")
         .withColumn("component", F.coalesce("component", "node"))
     )
-    open_ = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high")
-    still = stored(
-        placed.join(open_.select("key"), "key").join(classes.select("node", "n", "minima"), "node"), "still"
+    mixed = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high")
+    open_ = stored(placed.join(mixed.select("key"), "key"), "open")
+    open_texts = texts.join(open_.select("node").distinct(), "node", "left_semi")
+    bounded = (
+        open_.join(sizes, "node")
+        .join(_unshared(open_texts, words), "node", "left")
+        .withColumn("most", F.col("n") - F.coalesce("unshared", F.lit(0)))
     )
-    small = still.where(F.col("held") <= LARGE_ENTRY).select("key", "node", "component", "n", "minima")
-    large = still.where(F.col("held") > LARGE_ENTRY).select(
-        F.explode(F.transform(F.array(*[_group(2, i) for i in range(GROUPS)]), lambda c: F.xxhash64("key", c))).alias("key"),
-        "node",
-        "component",
-        "n",
-        "minima",
+    bounded = stored(bounded.drop("unshared"), "bounded")
+    smallest = bounded.groupBy("key").agg(F.min("n").alias("least"))
+    able = bounded.join(smallest, "key").where(_fits(F.col("most"), F.col("n"), F.greatest("least", F.col("n") * PERCENT / 100)))
+    able = stored(able.drop("least"), "able")
+    # All classes of an entry meet those outside its largest component.
+    mixed = (
+        able.groupBy("key", "component")
+        .agg(F.count(F.lit(1)).alias("held"))
+        .groupBy("key")
+        .agg(F.max(F.struct("held", "component")).alias("main"), F.count(F.lit(1)).alias("parts"))
+        .where("parts > 1")
+        .select("key", F.col("main.component").alias("main"))
     )
-    left = small.unionByName(large)
-    right = left.select("key", *[F.col(c).alias(f"{c}_b") for c in ("node", "component", "n", "minima")])
-    equal = F.size(
-        F.filter(F.zip_with("minima", "minima_b", lambda x, y: x == y), lambda same: same)
+    still = (
+        able.join(mixed, "key")
+        .join(classes.select("node", _groups().alias("groups")), "node")
+        .join(differs, "node", "left")
     )
-    more = (
-        left.join(
-            right,
-            (left["key"] == right["key"])
-            & (F.col("component") < F.col("component_b"))
-            & _fits(F.col("n"), F.col("n_b"))
-            & (equal >= LEAST_EQUAL),
-        )
-        .select(F.col("node").alias("a"), F.col("node_b").alias("b"))
-        .distinct()
+    right = stored(still, "still")
+    left = right.where("component <> main").select(
+        *[F.col(c).alias(f"{c}_b") for c in ("key", "node", "component", "n", "most", "groups", "head", "by", "diff")]
     )
-    more = stored(more, "more")
-    links = links.unionByName(verified(more, texts, words).distinct())
+    # Through a common head: what two classes share of their differences from it is at most
+    # the smaller one's, less the shingles that nobody else has; where the differences are at
+    # hand, it is what they have in common.
+    n, n_b = F.col("n"), F.col("n_b")
+    able_to_share = F.least(F.col("by") - n + F.col("most"), F.col("by_b") - n_b + F.col("most_b"))
+    at_least = F.col("by") + F.col("by_b") - 2 * able_to_share
+    exactly = F.col("by") + F.col("by_b") - 2 * F.size(F.array_intersect("diff", "diff_b"))
+    same_head = F.col("head") == F.col("head_b")
+    component, component_b, main = F.col("component"), F.col("component_b"), F.col("main")
+    more = right.join(
+        left,
+        (F.col("key") == F.col("key_b"))
+        & ((component < component_b) | ((component == main) & (component > component_b)))
+        & _fits(F.least("most", "most_b"), n, n_b)
+        & ~F.coalesce(same_head & _apart(at_least, n, n_b), F.lit(False))
+        & (_first_shared(F.col("groups"), F.col("groups_b")) == F.col("table"))
+        & ~F.coalesce(same_head & _apart(exactly, n, n_b), F.lit(False)),
+    ).select(F.least("node", "node_b").alias("a"), F.greatest("node", "node_b").alias("b"))
+    more = stored(more.distinct(), "more")
+    links = links.unionByName(verified(more, texts, words).where("similar").select("a", "b").distinct())
     tied = components(links)
 
     # Back to the rows: the smallest id of the component of the row's class.
