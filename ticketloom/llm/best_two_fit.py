@@ -8,7 +8,8 @@ last bins part full, so thousands of bins share that loss.
 
 The tokenizer works on one word at a time here, words being what ASCII white space parts:
 its normaliser never joins letters over white space and its patterns never cross it, so the
-ids of a text are those of its words in a row. Distinct words of a task are encoded once.
+ids of a text are those of its words in a row. A worker encodes a word once while it
+remembers it.
 
 Defined cases: a null or empty text is the end id alone. Rows repeated under one id are
 packed like others. Empty tables give an empty result. A word of any length is encoded whole.
@@ -17,10 +18,11 @@ packed like others. Empty tables give an empty result. A word of any length is e
 from __future__ import annotations
 
 import functools
+import re
+import struct
 import zlib
 from bisect import bisect_right, insort
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -32,33 +34,62 @@ from pyspark.sql import functions as F
 from ticketloom.llm.storage import stored
 
 CAPACITY = 4096
-END_ID = 1
+END = struct.pack("<I", 1)
+WIDTH = len(END)  # bytes of an id
 GROUP_PIECES = 65_536  # pieces a task packs, on average
-KNOWN_WORDS = 250_000  # words a worker remembers before it starts anew
+KNOWN_WORDS = 500_000  # words of a generation, about 100 MB
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 PIECES = "piece int, start long, length long, ids_crc32 long"
 
 
 class Words(dict):
-    """Ids of words, by word; encodes those it does not know yet."""
+    """Ids of a word as little-endian bytes; encodes a word when it is first asked for.
+
+    Words of two generations are remembered, so that frequent ones outlast the rare. A word of
+    plain letters goes through the normaliser and the patterns as one lower-case token, so it
+    is handed to the model directly, if the tokenizer is found to treat it so.
+    """
+
+    PLAIN = re.compile(r"([A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u00FF]+)([.,]*)\Z")
 
     def __init__(self, path: str):
         super().__init__()
         from tokenizers import Tokenizer
 
         self.encoder = Tokenizer.from_file(path)
-
-    def ids(self, text: bytes) -> np.ndarray:
-        words = text.split()
-        unknown = [w for w in set(words) if w not in self]
-        if unknown:
-            if len(self) > KNOWN_WORDS:
-                self.clear()
-                unknown = list(set(words))
-            encoded = self.encoder.encode_batch_fast([w.decode() for w in unknown], add_special_tokens=False)
-            self.update(zip(unknown, (e.ids for e in encoded)))
-        parts = chain.from_iterable(map(self.__getitem__, words))
-        return np.fromiter(chain(parts, (END_ID,)), np.uint32)
+        self.model = self.encoder.model
+        self.older: dict[bytes, bytes] = {}
+        self.direct = False
+        letters = [chr(c) for c in range(0x61, 0x100) if self.PLAIN.match(chr(c)) and chr(c).islower()]
+        written = {c: self.encoder.pre_tokenizer.pre_tokenize_str(c) for c in letters}
+        self.alphabet = str.maketrans({c: parts[0][0] for c, parts in written.items() if parts})
+        probes = [a + b for a in letters for b in letters] + ["The", "ÉCOLE", "Straße.", "naïve,", "Ñ.,"]
+        self.direct = all(self.plain(w) == self.whole(w) for w in probes)
+
+    def whole(self, word: str) -> bytes:
+        return np.array(self.encoder.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def plain(self, word: str) -> bytes | None:
+        parts = self.PLAIN.match(word)
+        if not parts:
+            return None
+        ids = [token.id for token in self.model.tokenize(parts[1].lower().translate(self.alphabet))]
+        return struct.pack(f"<{len(ids)}I", *ids) + (self[parts[2].encode()] if parts[2] else b"")
+
+    def __missing__(self, word: bytes) -> bytes:
+        ids = self.older.get(word)
+        if ids is None:
+            text = word.decode()
+            ids = (self.plain(text) if self.direct else None) or self.whole(text)
+        if len(self) >= KNOWN_WORDS:
+            self.older = dict(self)
+            self.clear()
+        self[word] = ids
+        return ids
+
+    def ids(self, text: bytes) -> bytes:
+        """The ids of a text and the end id."""
+        return b"".join(map(self.__getitem__, text.split())) + END
 
 
 @functools.cache
@@ -75,9 +106,9 @@ def cut(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokeniz
             rows = []
             for row, text in enumerate(batch.column(1).to_pylist()):
                 ids = words.ids(text or b"")
-                for piece, start in enumerate(range(0, len(ids), CAPACITY)):
-                    part = ids[start : start + CAPACITY]
-                    rows.append((row, piece, start, len(part), zlib.crc32(part.astype("<u4").tobytes())))
+                for piece, start in enumerate(range(0, len(ids) // WIDTH, CAPACITY)):
+                    part = ids[start * WIDTH : (start + CAPACITY) * WIDTH]
+                    rows.append((row, piece, start, len(part) // WIDTH, zlib.crc32(part)))
             at, piece, start, length, crc = (np.array(c, np.int64) for c in zip(*rows)) if rows else [np.zeros(0, np.int64)] * 5
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).take(pa.array(at)), pa.array(piece.astype(np.int32)), pa.array(start), pa.array(length), pa.array(crc)],
