@@ -29,7 +29,7 @@ WEIGHTS = (5, 2, 1)
 SLOPES = (0.5, 0.0, -0.5)  # a by source, in turn: early or late in training
 SHARE = 1.5
 MOST_REPEATS = 2
-SLICE_ROWS = 20_000  # documents in a slice of a source, on average
+SLICE_ROWS = 4_000  # documents in a slice of a source, on average
 
 
 def word_count(text: Column) -> Column:
