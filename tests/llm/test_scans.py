@@ -244,7 +244,7 @@ def test_mix_odd_rows(monkeypatch, odd, none, odd_rows, slice_rows):
 def test_schedule_is_inverted(spark):
     rows = spark.range(0, 101).select((F.col("id") / 100).alias("y")).withColumn("slope", F.explode(F.array(*map(F.lit, (0.5, 0.0, -0.5)))))
     for r in rows.withColumn("t", curriculum.when(F.col("y"), F.col("slope"))).collect():
-        assert (1 - r["slope"]) * r["t"] + r["slope"] * r["t"] ** 2 == pytest.approx(r["y"], abs=1e-8)
+        assert (1 - r["slope"]) * r["t"] + r["slope"] * r["t"] ** 2 == pytest.approx(r["y"], abs=2e-6)
 
 
 def test_tool_calls(spark):

@@ -169,7 +169,7 @@ def plan(
 def when(share: Column, slope: Column) -> Column:
     """The time by which the schedule 1 - a + 2 a t has asked for this share of its demand."""
     start = F.lit(1.0) - slope
-    return decimals(share * 2 / (start + F.sqrt(start * start + slope * 4 * share)), 9)
+    return decimals(share * 2 / (start + F.sqrt(start * start + slope * 4 * share)), 6)
 
 
 def decimals(number: Column, places: int) -> Column:

@@ -207,7 +207,7 @@ timed AS (
   FROM taken)
 SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, floor(target * 1e6::DOUBLE + 0.5::DOUBLE) / 1e6::DOUBLE AS target, CAST(copies * size AS BIGINT) AS taken,
        CASE WHEN copies > 0 THEN
-         floor(y * 2 / ((1 - slope) + sqrt((1 - slope) * (1 - slope) + slope * 4 * y)) * 1e9::DOUBLE + 0.5::DOUBLE) / 1e9::DOUBLE END AS position
+         floor(y * 2 / ((1 - slope) + sqrt((1 - slope) * (1 - slope) + slope * 4 * y)) * 1e6::DOUBLE + 0.5::DOUBLE) / 1e6::DOUBLE END AS position
 FROM timed
 """
 
