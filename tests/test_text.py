@@ -72,6 +72,20 @@ def test_long_name_list_takes_the_join(spark, monkeypatch):
     assert inside == [brute_clean(c, text.stopwords() | set(names)) for c in values]
 
 
+def test_names_go_from_rows_without_an_own_id(spark, monkeypatch):
+    """Missing and repeated ids, repeated rows, null and empty texts, on both paths."""
+    table = spark.createDataFrame([("maria",), ("joana",)], "name string")
+    data = [(None, "maria pediu acesso"), (None, "joana pediu senha"), (None, None), (1, "maria caiu"), (1, "joana caiu sistema")]
+    data += [(1, "maria caiu"), (2, ""), (3, "pediu acesso")]
+    df = spark.createDataFrame(data, "i int, t string")
+    expected = ["", "", "caiu", "caiu", "caiu sistema", "pediu acesso", "pediu acesso", "pediu senha"]
+    for limit in (50_000, 1):
+        monkeypatch.setattr(cleaning, "MAX_IN_SET", limit)
+        got = cleaning.clean_column(df, "t", table, id_col="i")
+        assert got.columns == ["i", "t"]
+        assert sorted(r.t for r in got.collect()) == expected
+
+
 @settings(max_examples=15, deadline=None)
 @given(st.lists(st.text("abx1@ .:/_éãç\n", max_size=40), min_size=1, max_size=30))
 def test_cleaning_property(spark, values):

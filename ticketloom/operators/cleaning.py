@@ -55,8 +55,8 @@ def clean_column(
     """Cleaned, anonymised text in ``output``; NULL becomes ''.
 
     A name list of usual size is probed inside the row, without any shuffle. A list
-    too long for that is joined instead (see :func:`_anti_join`). ``id_col`` has to
-    be unique and is only used by the join.
+    too long for that is joined instead (see :func:`_anti_join`). The texts are the same
+    either way; ``id_col`` only spreads the rows of the join and may hold nulls or repeats.
     """
     return clean_columns(
         df, {column: output or column}, name_table, id_col=id_col, stopwords=stopwords
@@ -95,14 +95,17 @@ def _anti_join(
 
     Each text sends its distinct tokens once; what is found in the list goes back to
     the text as an array and is taken out in place, so order and repeats of the kept
-    tokens never leave the row. Tokens that occur in very many texts are sliced.
+    tokens never leave the row. Tokens that occur in very many texts are sliced. Rows
+    meet what was found by a digest of id and tokens, which no missing or repeated id
+    can make null or ambiguous: what is found depends on the tokens alone.
     """
-    rows = df.withColumn("_tokens", tokens)
+    key = F.sha2(F.concat_ws("\n", F.col(id_col).cast("string"), F.array_join("_tokens", " ")), 256)
+    rows = df.withColumn("_tokens", tokens).withColumn("_row", key)
     pairs = one_row_each(
-        rows.select(F.col(id_col).alias("_id"), F.array_distinct("_tokens").alias("_words")),
+        rows.select(F.col("_row").alias("_id"), F.array_distinct("_tokens").alias("_words")),
         "_words",
         "name",
-    )
+    ).distinct()
     listed = (
         pairs.groupBy("name")
         .agg(F.count(F.lit(1)).alias("_texts"))
@@ -113,8 +116,8 @@ def _anti_join(
         .groupBy("_id")
         .agg(F.collect_list("name").alias("_found"))
     )
-    joined = rows.join(found, rows[id_col] == found["_id"], "left")
+    joined = rows.join(found, F.col("_row") == F.col("_id"), "left")
     kept = F.when(F.col("_found").isNull(), F.col("_tokens")).otherwise(
         F.filter("_tokens", lambda t: ~F.array_contains("_found", t))
     )
-    return joined.withColumn(output, F.array_join(kept, " ")).drop("_id", "_tokens", "_found")
+    return joined.withColumn(output, F.array_join(kept, " ")).drop("_id", "_row", "_tokens", "_found")
