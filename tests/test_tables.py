@@ -157,6 +157,18 @@ def test_selection_paths_and_prompts(spark):
     assert {r.system for r in none.collect()} == {"A", "B"}
 
 
+def test_drawn_tickets_are_numbered_in_the_order_of_the_draw(spark):
+    import hashlib
+
+    tickets = spark.createDataFrame(
+        [("A", str(i), i, f"t{i}") for i in range(50)], "system string, id string, position int, text string"
+    )
+    chosen = selection.select_tickets(tickets, tickets.select("system", "id", F.lit(0).alias("topic")), None)
+    drawn = sorted(map(str, range(50)), key=lambda i: hashlib.md5(f"42|{i}".encode()).hexdigest())
+    got = {part: [r.id for r in chosen.where(F.col("part") == part).orderBy("number").collect()] for part in ("core", "periphery")}
+    assert got == {"core": drawn[:30], "periphery": drawn[30:45]}
+
+
 def test_salted_join_keeps_every_row(spark, monkeypatch):
     monkeypatch.setattr(scale, "HOT_SHARES", 8)
     many = spark.range(3000).select(

@@ -65,7 +65,8 @@ def select_tickets(
     ``tickets`` has ``system, id, position, text``; ``assignments`` has ``system, id,
     topic``; ``distribution`` has ``system, id, topic, prob``. Systems that have a
     distribution are ranked by it and lose missing texts after the choice; the others
-    draw among tickets that have a text. Numbers follow the source order.
+    draw among tickets that have a text. Numbers follow the source order where tickets
+    are ranked and the order of the draw where they are drawn.
     """
     texts = tickets.select("system", "id", "position", "text")
     if distribution is None:
@@ -85,18 +86,19 @@ def select_tickets(
         )
         # At most core + periphery rows per topic, so the texts need not be shuffled.
         chosen_ids = held_if_small(core.unionByName(periphery))
-        ranked_choice = texts.join(chosen_ids, ["system", "id"])
+        ranked_choice = texts.join(chosen_ids, ["system", "id"]).withColumn("_place", F.col("position"))
         unranked = assignments.join(ranked_systems, "system", "left_anti")
     drawn = fallback_tickets(
         unranked.join(texts.where(F.col("text").isNotNull()), ["system", "id"]).select(
             *TOPIC, "id", "position"
         )
     )
-    chosen = texts.join(held_if_small(drawn.select(*TOPIC, "id", "part")), ["system", "id"])
+    places = drawn.select(*TOPIC, "id", "part", F.col("rank").cast("long").alias("_place"))
+    chosen = texts.join(held_if_small(places), ["system", "id"])
     if ranked_choice is not None:
         chosen = ranked_choice.unionByName(chosen.select(*ranked_choice.columns))
     chosen = chosen.where(F.col("text").isNotNull())
-    numbered = Window.partitionBy(*TOPIC, "part").orderBy("position", "id")
+    numbered = Window.partitionBy(*TOPIC, "part").orderBy("_place", "id")
     return chosen.withColumn("number", F.row_number().over(numbered)).select(
         *TOPIC, "part", "number", "id", "text"
     )

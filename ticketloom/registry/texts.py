@@ -313,14 +313,14 @@ _FALLBACK = """fallback AS (
       row_number() OVER (PARTITION BY system, topic ORDER BY md5('42|' || id), id) AS rank
     FROM assign WHERE text IS NOT NULL) WHERE rank <= 45)"""
 _SELECTED = """chosen AS (
-  SELECT system, topic, id, position, text, 'core' AS part FROM core WHERE system IN ('en', 'es')
+  SELECT system, topic, id, position AS place, text, 'core' AS part FROM core WHERE system IN ('en', 'es')
   UNION ALL
   SELECT system, topic, id, position, text, 'periphery' FROM periphery WHERE system IN ('en', 'es')
   UNION ALL
-  SELECT system, topic, id, position, text, part FROM fallback WHERE system NOT IN ('en', 'es')),
+  SELECT system, topic, id, rank, text, part FROM fallback WHERE system NOT IN ('en', 'es')),
 selected AS (
   SELECT system, topic, part, id, text,
-    CAST(row_number() OVER (PARTITION BY system, topic, part ORDER BY position, id) AS INTEGER) AS number
+    CAST(row_number() OVER (PARTITION BY system, topic, part ORDER BY place, id) AS INTEGER) AS number
   FROM chosen WHERE text IS NOT NULL)"""
 _CHOICE = with_(ASSIGN, CENTROIDS, _COSINE, _CORE, _PERIPHERY, _FALLBACK, _SELECTED)
 
