@@ -67,6 +67,26 @@ def test_fewer_items_than_k_and_missing_vectors(spark, sides):
         assert got.groupBy("query_id").count().where("count = 2").count() == 23
 
 
+@pytest.mark.parametrize("small", [1000, 4, 1], ids=["items held", "queries held", "blocks"])
+def test_repeated_ids_count_once(spark, small):
+    items = [("t1", [1.0, 0.0]), ("t1", [1.0, 0.0]), ("t1", [0.0, 1.0]), ("t2", [0.9, 0.0]), ("t3", [0.8, 0.0])]
+    queries = [("q", [1.0, 0.0]), ("q", [0.5, 0.0]), ("p", [0.0, 1.0])]
+    q = spark.createDataFrame(queries, "query_id string, embedding array<double>").repartition(3)
+    i = spark.createDataFrame(items, "item_id string, embedding array<double>").repartition(2)
+    got = nearest.top_matches(q, i, 2, small=small, block_rows=2, chunk_rows=1)
+    assert sorted(map(tuple, got.collect())) == [
+        ("p", "t1", 1.0, 1), ("p", "t2", 0.0, 2), ("q", "t1", 1.0, 1), ("q", "t2", 0.9, 2)
+    ]
+
+
+def test_vectors_of_any_length_and_scores_that_are_no_numbers(spark):
+    items = [("a", [4e6, 0.0]), ("b", [4e6, 1.0]), ("c", [float("nan"), 0.0])]
+    q = spark.createDataFrame([("q", [4e6, 4e6])], "query_id string, embedding array<double>")
+    i = spark.createDataFrame(items, "item_id string, embedding array<double>")
+    got = nearest.top_matches(q, i, 3)
+    assert sorted(map(tuple, got.collect())) == [("q", "a", 1.6e13, 2), ("q", "b", 1.6e13 + 4e6, 1)]
+
+
 def topic_rows(spark, rows):
     return spark.createDataFrame(rows, "query_id string, topic_uid string, system string, topic_score double, rank int")
 

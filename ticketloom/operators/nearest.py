@@ -4,10 +4,11 @@ Scores are computed block by block as matrix products inside Arrow tasks, and a
 only ever gives out its k best per query. The way the blocks are formed depends on the
 measured size of the two sides; the result does not.
 
-* few items: the items go to every task, queries are read in place, nothing is shuffled;
-* few queries: the queries go to every task, items are read in place, and the k best per
-  query of each task are merged;
+* few items: the items go to every task and queries are read in place;
+* few queries: the queries go to every task and items are read in place;
 * neither: both sides are cut into blocks and every pair of blocks meets in one task.
+
+In each case the k best per query of every task are merged at the end.
 """
 
 from __future__ import annotations
@@ -54,38 +55,40 @@ def _members(groups: pa.Array) -> dict[str, np.ndarray]:
 
 
 def _block_best(
-    queries: np.ndarray, items: np.ndarray, item_order: np.ndarray, k: int
+    queries: np.ndarray, items: np.ndarray, ids: np.ndarray, k: int
 ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """k best items per query row: (query rows, item rows, scores).
+    """k best ids per query row: (query rows, ids, scores).
 
-    Score and place in id order are packed into one integer, so that equal scores are
-    decided by id and a partial sort gives exactly the wanted rows.
+    Columns are put in id order and those of one id become one, with its best score,
+    before anything is cut. All that reach the k-th score of a query are gathered, and
+    equal scores are decided by id. An item whose score is not a number is not ranked.
     """
-    n = len(items)
+    by_id = np.argsort(ids, kind="stable")
+    ids, items = ids[by_id], items[by_id]
+    firsts = np.flatnonzero(np.concatenate(([True], ids[1:] != ids[:-1]))) if len(ids) else np.zeros(0, np.int64)
+    n = len(firsts)
     k = min(k, n)
     if k == 0 or len(queries) == 0:
-        empty = np.zeros(0, dtype=np.int64)
-        return empty, empty, np.zeros(0)
+        return np.zeros(0, dtype=np.int64), ids[:0], np.zeros(0)
     found = []
-    step = max(1, _TILE_CELLS // n)
+    step = max(1, _TILE_CELLS // len(items))
     for start in range(0, len(queries), step):
-        scores = queries[start : start + step] @ items.T
-        packed = np.rint(scores * 10**DECIMALS).astype(np.int64) * n + (n - 1 - item_order)
-        best = np.argpartition(packed, n - k, axis=1)[:, n - k :]
-        rows = np.repeat(np.arange(len(scores)), k)
-        cols = best.ravel()
-        whole = (packed[rows, cols] - (n - 1 - item_order[cols])) // n
-        found.append((rows + start, cols, whole / 10**DECIMALS))
+        scores = np.round(queries[start : start + step] @ items.T, DECIMALS) + 0.0
+        scores[np.isnan(scores)] = -np.inf
+        if n < len(items):
+            scores = np.maximum.reduceat(scores, firsts, axis=1)
+        least = np.partition(scores, n - k, axis=1)[:, n - k]
+        rows, cols = np.nonzero((scores >= least[:, None]) & (scores > -np.inf))
+        values = scores[rows, cols]
+        order = np.lexsort((cols, -values, rows))
+        rows, cols, values = rows[order], cols[order], values[order]
+        held = np.bincount(rows, minlength=len(scores))
+        place = np.arange(len(rows)) - np.repeat(np.cumsum(held) - held, held)
+        best = place < k
+        found.append((rows[best] + start, ids[firsts[cols[best]]], values[best]))
     return tuple(np.concatenate(part) for part in zip(*found))
 
 
-def _places(ids: np.ndarray) -> np.ndarray:
-    """Place of every id in ascending order."""
-    places = np.empty(len(ids), dtype=np.int64)
-    places[np.argsort(ids, kind="stable")] = np.arange(len(ids))
-    return places
-
-
 def _pruned(found: list[pd.DataFrame], k: int) -> pd.DataFrame:
     """k best per query of what was found so far; an item counts once."""
     merged = pd.concat(found, ignore_index=True) if found else pd.DataFrame(
@@ -115,13 +118,8 @@ def _pairs_best(queries, items, k: int, grouped: bool) -> pd.DataFrame:
         found.append((np.arange(len(query_ids)), np.arange(len(item_ids))))
     parts = []
     for asking, rows in found:
-        places = _places(item_ids[rows])
-        q, i, score = _block_best(query_vectors[asking], item_vectors[rows], places, k)
-        parts.append(
-            pd.DataFrame(
-                {"query_id": query_ids[asking][q], "item_id": item_ids[rows][i], "score": score}
-            )
-        )
+        q, best, score = _block_best(query_vectors[asking], item_vectors[rows], item_ids[rows], k)
+        parts.append(pd.DataFrame({"query_id": query_ids[asking][q], "item_id": best, "score": score}))
     return _pruned(parts, k)
 
 
@@ -154,7 +152,8 @@ def top_matches(
 
     Both tables have their id and ``embedding``. With ``grouped`` they also have
     ``groups``, an array, and an item is eligible if it shares a group with the query.
-    Scores have six decimals; equal scores are ordered by id.
+    Scores have six decimals; equal scores are ordered by id. An item or query id that
+    several rows carry is one item or query, with the best score of its rows.
     """
     asked = _sides(queries, query_id, "query", grouped)
     offered = _sides(items, item_id, "item", grouped)
@@ -163,16 +162,16 @@ def top_matches(
 
     held = small_rows(offered, small)
     if held is not None:
-        ranked = asked.mapInArrow(_with_held_items(asked.sparkSession, held, k, grouped), result)
+        partial = asked.mapInArrow(_with_held_items(asked.sparkSession, held, k, grouped), result)
     else:
         held = small_rows(asked, small)
         if held is not None:
             partial = offered.mapInArrow(_with_held_queries(asked.sparkSession, held, k, grouped), result)
         else:
             partial = _block_pairs(asked, offered, k, grouped, block_rows, chunk_rows, result)
-        best = partial.groupBy("query_id", "item_id").agg(F.max("score").alias("score"))
-        order = [F.col("score").desc(), F.col("item_id")]
-        ranked = top_per_group(best, ["query_id"], order, k)
+    # One shuffle by query serves both steps; every task gives out k rows per query at most.
+    best = partial.repartition("query_id").groupBy("query_id", "item_id").agg(F.max("score").alias("score"))
+    ranked = top_per_group(best, ["query_id"], [F.col("score").desc(), F.col("item_id")], k)
     return ranked.select(
         F.col("query_id").alias(query_id), F.col("item_id").alias(item_id), "score", "rank"
     )
