@@ -186,6 +186,22 @@ def test_topic_texts_by_file_name(spark, tmp_path):
         (tmp_path / system / f"summary_topic_{topic}.txt").write_text("x", encoding="utf-8")
     got = readers.read_topic_texts(spark, str(tmp_path), "titulo_topic_").orderBy("system", "topic").collect()
     assert [tuple(r) for r in got][:2] == [("A", 0, "um"), ("A", 11, "dois")]
+    topics = spark.createDataFrame([("A", 0), ("C", 1)], "system string, topic int")
+    for prefix, expected in (("titulo_topic_", "um"), ("nothing_", None)):
+        found = readers.read_topic_texts(spark, str(tmp_path), prefix)
+        joined = topics.join(found, ["system", "topic"], "left").orderBy("system").collect()
+        assert [r.text for r in joined] == [expected, None]
+
+
+def test_tickets_without_a_topic_do_not_count_in_the_silhouette(spark):
+    points = [("A", str(i), i % 2, [float(i % 2), i / 100]) for i in range(12)]
+    schema = "system string, id string, topic int, embedding array<double>"
+    without = clusters.silhouette_euclidean(spark.createDataFrame(points, schema)).collect()
+    more = spark.createDataFrame(points + [("A", "x", None, [9.0, 9.0])], schema)
+    for small in (1000, 1):
+        got = clusters.silhouette_euclidean(more, small=small).collect()
+        assert got[0].n_documents == 12
+        assert got[0].silhouette == pytest.approx(without[0].silhouette)
 
 
 def test_topic_json_with_mixed_pairs(spark, tmp_path):

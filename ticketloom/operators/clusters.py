@@ -108,9 +108,9 @@ def silhouette_euclidean(
     quadratic; :func:`silhouette_sq` is the one for large labellings. Distances are
     summed per topic inside Arrow tasks: a block gives out one row per ticket and topic,
     never a pair. ``labelled`` has ``id, topic, embedding`` and the system; ids are
-    unique within a system.
+    unique within a system. Tickets without a topic or a vector do not count.
     """
-    points = labelled.where(F.col("embedding").isNotNull()).select(
+    points = labelled.where(F.col("embedding").isNotNull() & F.col("topic").isNotNull()).select(
         F.col(by).cast("string").alias("system"),
         F.col("id").cast("string").alias("id"),
         F.col("topic").cast("int").alias("topic"),

@@ -71,14 +71,22 @@ def read_topic_terms(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_topic_texts(spark: SparkSession, path: str, prefix: str) -> DataFrame:
-    """One text per topic from ``<system>/<prefix><topic>.txt`` files."""
+    """One text per topic from ``<system>/<prefix><topic>.txt`` files; no files, no rows.
+
+    Joined to the topics from the left, a topic without a file so gets a null text.
+    """
     file_path = F.col("_metadata.file_path")
-    texts = spark.read.text(f"{path}/*/{prefix}*.txt", wholetext=True).select(
+    try:
+        files = spark.read.text(f"{path}/*/{prefix}*.txt", wholetext=True)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], "system string, topic int, text string")
+    return files.select(
         F.regexp_extract(file_path, r"([^/]+)/[^/]+$", 1).alias("system"),
         F.regexp_extract(file_path, rf"{prefix}(-?\d+)\.txt$", 1).cast("int").alias("topic"),
         strip(F.col("value")).alias("text"),
     )
-    return texts
 
 
 def read_vectors(spark: SparkSession, path: str, id_col: str = "id") -> DataFrame:
