@@ -305,3 +305,16 @@ def test_digest_of_spans(spark):
     got = rows.select(blob_ledger.rendered(F.col("findings")).alias("s"), F.sha2("s", 256).alias("h")).collect()
     assert [r["s"] for r in got] == ["assign:3:9,hex:3:40", ""]
     assert got[1]["h"] == hashlib.sha256(b"").hexdigest()
+
+
+def test_batches_are_light(spark):
+    setting = storage._BATCH_SETTING
+    try:
+        spark.conf.unset(setting)
+        storage.light_batches(spark)
+        assert int(spark.conf.get(setting).rstrip("b")) == storage.BATCH_BYTES
+        spark.conf.set(setting, "8m")
+        storage.light_batches(spark)
+        assert spark.conf.get(setting) == "8m"
+    finally:
+        spark.conf.unset(setting)

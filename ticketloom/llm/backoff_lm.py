@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ticketloom.llm.storage import crc_fold, stored
+from ticketloom.llm.storage import crc_fold, light_batches, stored
 
 HEAD = 1 << 20
 ARCS = 1 << 16
@@ -159,6 +159,7 @@ def _slices(batches: Iterator[pa.RecordBatch], most: int = 256) -> Iterator[pa.R
 def learn(training: DataFrame, text_col: str = "text") -> tuple[Automaton, DataFrame, int]:
     """The automaton, the table (word, n) of all words, and the number of tokens."""
     context = training.sparkSession.sparkContext
+    light_batches(training.sparkSession)
     texts = training.select(F.col(text_col).cast("binary").alias("text"))
     counts = stored(
         texts.mapInArrow(_word_counts, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")), "words"

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ticketloom.llm.storage import stored
+from ticketloom.llm.storage import light_batches, stored
 
 CAPACITY = 4096
 END = struct.pack("<I", 1)
@@ -115,6 +115,7 @@ def cut(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokeniz
                 names=["doc_id", "piece", "start", "length", "ids_crc32"],
             )
 
+    light_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
     return rows.mapInArrow(pieces, f"doc_id {dict(rows.dtypes)['doc_id']}, {PIECES}")
 

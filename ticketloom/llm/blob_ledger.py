@@ -28,7 +28,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ticketloom.llm.storage import shared_path, stored
+from ticketloom.llm.storage import light_batches, shared_path, stored
 from ticketloom.operators.scale import salted_join
 
 # What is asked for.
@@ -89,6 +89,7 @@ def scan(
 ) -> DataFrame:
     """doc_id, blob and findings of every row; ``ledger`` is the folder that lasts between runs."""
     spark = docs.sparkSession
+    light_batches(spark)
     ledger = ledger or shared_path(spark, "ledger")
     text = F.coalesce(F.col(text_col), F.lit(""))
     paths = docs.select(F.col(id_col).alias("doc_id"), F.unhex(F.sha2(text, 256)).alias("blob"))

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ticketloom.llm.storage import crc_fold
+from ticketloom.llm.storage import crc_fold, light_batches
 
 BINS = 1 << 15
 MAX_LANGUAGES = 512
@@ -85,6 +85,7 @@ class Model:
 
 
 def learn(training: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Model:
+    light_batches(training.sparkSession)
     rows = training.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).dropna()
     counted = (
         rows.mapInArrow(_counted, "lang string, bin int, n long").groupBy("lang", "bin").agg(F.sum("n").alias("n"))

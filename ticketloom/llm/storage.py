@@ -7,9 +7,23 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+BATCH_BYTES = 4 * 1024 * 1024
+_BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
+_BATCH_DEFAULT = "67108864b"
 _WRITTEN: dict[str, list[str]] = {}
 
 
+def light_batches(spark: SparkSession) -> None:
+    """Let whole texts reach Python in batches of BATCH_BYTES; a session's own limit stays.
+
+    Rows are counted in thousands by default, whatever their length, and every batch is held
+    by the executor, on the way and in Python, beside a heap that is full anyway. A text that
+    is longer than a batch is one by itself.
+    """
+    if spark.conf.get(_BATCH_SETTING) == _BATCH_DEFAULT:
+        spark.conf.set(_BATCH_SETTING, str(BATCH_BYTES))
+
+
 def shared_path(spark: SparkSession, name: str) -> str:
     """A new path below ``spark.checkpoint.dir``, which driver and executors share.
 

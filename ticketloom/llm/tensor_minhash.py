@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ticketloom.llm.links import components
-from ticketloom.llm.storage import stored
+from ticketloom.llm.storage import light_batches, stored
 from ticketloom.operators.scale import salted_join
 
 GROUPS = 8
@@ -243,6 +243,7 @@ def _unshared(texts: DataFrame, words: int) -> DataFrame:
 
 def near_dedup(docs: DataFrame, words: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every row."""
+    light_batches(docs.sparkSession)
     rows = stored(sketches(docs, words, id_col, text_col), "sketches")
     # One class per set. Its node is half of its digest.
     classes = stored(
