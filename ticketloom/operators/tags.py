@@ -92,8 +92,8 @@ def with_valid_tag(tickets: DataFrame, topics: DataFrame) -> DataFrame:
         .distinct()
         .withColumn("valid", F.lit(True))
     )
-    return tickets.join(valid, "topic_tags", "left").withColumn(
-        "valid", F.coalesce("valid", F.lit(False))
+    return tickets.join(valid, "topic_tags", "left").select(
+        *tickets.columns, F.coalesce("valid", F.lit(False)).alias("valid")
     )
 
 
