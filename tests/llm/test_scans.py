@@ -203,6 +203,17 @@ def test_scores(spark, monkeypatch):
     assert sum(r["score"] for r in got.values()) > sum(r["base_score"] for r in got.values())
 
 
+def test_scores_keep_rare_arcs(spark):
+    """With more than 65,536 tokens, too, pairs and triples that occur once are arcs."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
+    want = Backoff([t for i, t in rows if zlib.crc32(str(i).encode()) % 5 != 1], float("inf"))
+    assert want.total > 1 << 16 and min(want.arcs[3].values()) == 1
+    got = {r["doc_id"]: r["score"] for r in backoff_lm.scores(docs).collect()}
+    for i, text in rows:
+        assert got[i] == pytest.approx(want.score(text)[1])
+
+
 def test_scores_odd_rows(odd, none, odd_rows):
     got = backoff_lm.scores(odd).collect()
     assert len(got) == len(odd_rows)

@@ -4,13 +4,14 @@ States are the empty context, words and word pairs. An arc from a state carries
 discounted log-probability of a next word; a state without the arc follows its failure arc,
 which carries the state's backoff weight, to the state of its shorter context, and the empty
 context has an arc for every word. Reading a text from left to right, the state after a token
-is set by the last two tokens alone, so the states of a whole batch are looked up at once.
+is set by the last two tokens alone, so every token meets its arc by a join on its triple.
 
-What is counted covers all training texts. The counts of all words are a table, which grows
-with the corpus, and are joined. Two parts are held by every task, and their size is bounded
-by their definition: words that make up more than 1 / HEAD of all tokens (at most HEAD), and
-arcs used by more than 1 / ARCS of all tokens (at most ARCS of each order). Other pairs and
-triples back off; other words meet the word table by a join on the words of each text.
+What is counted covers all training texts: words, pairs and triples are tables, which grow
+with the corpus, and none is left out however rare (ARCS, if finite, drops the arcs used by at
+most 1 / ARCS of all tokens). The only part held by every task is bounded by its definition:
+words that make up more than 1 / HEAD of all tokens (at most HEAD). They go by their place,
+others by 63 bits of a hash whose seed is changed until no two training words share one; a
+word seen in no training text takes the hash of one that is with probability V / 2^63.
 
 Probabilities are P(w) = (c + 0.5) / (N + 0.5 (V + 1)) without context, (c(s, w) - D) / c(s)
 for an arc, and a backoff weight that makes every state sum to one.
@@ -22,6 +23,7 @@ of one half, that is 1 of V + 1 = 1, and all scores are 0. Only the named column
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 from collections.abc import Iterator
 from itertools import repeat
@@ -29,19 +31,20 @@ from itertools import repeat
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ticketloom.llm.storage import crc_fold, light_batches, stored
 
 HEAD = 1 << 20
-ARCS = 1 << 16
-ORDER = 3
+ARCS = math.inf
 DISCOUNT = 0.5
 ADDED = 0.5
 END = b""
+START = -(1 << 63)  # stands before the first word of a text; no word has it
 FOLDS, HELD_OUT = 5, 1
-FLUSH = 500_000  # distinct words or arcs a task counts before it gives them out
+FLUSH = 500_000  # distinct words a task counts before it gives them out
+SPAN = 1_000_000  # tokens whose equal triples a task counts together
 
 
 def tokens(text: bytes | None) -> list[bytes]:
@@ -67,87 +70,52 @@ def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield out()
 
 
-class Automaton:
-    """States, arcs and failure arcs, as sorted arrays."""
+class Words:
+    """Ids of words: the place of those that are held, a negative hash of the others."""
 
-    def __init__(self, words: list[bytes], counts: np.ndarray, total: int, distinct: int):
-        self.words = {word: i for i, word in enumerate(words)}
-        self.size = max(1, len(words))
-        self.counts = counts.astype(np.float64)
-        self.below = total + ADDED * (distinct + 1)
-        self.logs = np.log10((self.counts + ADDED) / self.below) if len(words) else np.zeros(1)
-        # By order from 2 on: arc key = state * size + word, its log, and the failure weight by state.
-        self.keys: list[np.ndarray] = []
-        self.arc_logs: list[np.ndarray] = []
-        self.failures: list[np.ndarray] = []
-        self.held = self.counts  # tokens that were read in each state of the last order
+    def __init__(self, words: list[bytes], counts: np.ndarray, below: float, seed: int):
+        self.places = {word: i for i, word in enumerate(words)}
+        self.logs = np.log10((counts + ADDED) / below)
+        self.seed = seed
+
+    def hashed(self, word: bytes) -> int:
+        return -1 - xxhash.xxh3_64_intdigest(word, self.seed) % ((1 << 63) - 1)
 
     def ids(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.words.get, words, repeat(-1)), np.int64, len(words))
-
-    def arcs(self, order: int, states: np.ndarray, ids: np.ndarray) -> np.ndarray:
-        """Places of the arcs from states on words; -1 where there is none."""
-        keys = self.keys[order - 2]
-        if not len(keys):
-            return np.full(len(ids), -1)
-        wanted = states * self.size + ids
-        at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
-        return np.where((states >= 0) & (ids >= 0) & (keys[at] == wanted), at, -1)
-
-    def walk(self, ids: np.ndarray, first: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
-        """For each order above one the state before each token and the arc taken from it."""
-        states, taken = [], []
-        reached = ids
-        for order in range(2, len(self.keys) + 2):
-            state = np.concatenate(([-1], reached[:-1]))
-            state[first] = -1
-            arc = self.arcs(order, state, ids)
-            states.append(state)
-            taken.append(arc)
-            reached = arc
-        return states, taken
-
-    def add_order(self, keys: np.ndarray, counts: np.ndarray) -> None:
-        """Take the arcs (sorted keys, counts) of the next order in."""
-        order = len(self.keys) + 2
-        states, ids = np.divmod(keys, self.size)
-        kept = (counts - DISCOUNT) / self.held[states] if len(keys) else np.zeros(0)
-        lower = 10.0 ** self.logs[ids] if len(keys) else np.zeros(0)
-        if order > 2 and len(keys):
-            # The shorter context of a state is the last word on its own arc.
-            shorter = self.keys[-1][states] % self.size
-            for below in range(2, order):
-                arc = self.arcs(below, shorter, ids)
-                failure = 10.0 ** self.failures[below - 2][shorter]
-                lower = np.where(arc >= 0, 10.0 ** self.arc_logs[below - 2][arc], failure * lower)
-        n_states = len(self.held)
-        left = 1.0 - np.bincount(states, kept, n_states)
-        rest = 1.0 - np.bincount(states, lower, n_states)
-        self.keys.append(keys)
-        self.arc_logs.append(np.log10(kept))
-        self.failures.append(np.log10(np.maximum(left, 1e-300) / np.maximum(rest, 1e-300)))
-        self.held = counts.astype(np.float64)
-
-    def score(self, ids: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Log-probability of each token without context and in its state; the word part of
-        words that are not held is missing from both."""
-        alone = np.where(ids >= 0, self.logs[np.maximum(ids, 0)], 0.0)
-        found = alone.copy()
-        for order, (state, arc) in enumerate(zip(*self.walk(ids, first)), 2):
-            if not len(self.keys[order - 2]):
-                continue
-            failing = self.failures[order - 2][np.maximum(state, 0)]
-            found = np.where(
-                arc >= 0, self.arc_logs[order - 2][np.maximum(arc, 0)], found + np.where(state >= 0, failing, 0.0)
-            )
-        return alone, found
+        found = np.fromiter(map(self.places.get, words, repeat(-1)), np.int64, len(words))
+        for at in np.flatnonzero(found < 0):
+            found[at] = self.hashed(words[at])
+        return found
 
 
-def _sequence(texts: list, model: Automaton) -> tuple[np.ndarray, np.ndarray, list[list[bytes]]]:
+def _sequence(texts: list, own: Words) -> tuple[np.ndarray, np.ndarray, list[list[bytes]]]:
     """Ids of all tokens of a batch, the place of each text's first one, and the words."""
     words = [tokens(text) for text in texts]
     first = np.concatenate(([0], np.cumsum([len(w) for w in words])[:-1])).astype(np.int64)
-    return np.concatenate([model.ids(w) for w in words]), first, words
+    return own.ids([w for of in words for w in of]), first, words
+
+
+def _triples(ids: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The place of every token but a text's first, and it with the two before it."""
+    one = np.concatenate(([START], ids[:-1]))
+    two = np.concatenate(([START, START], ids[:-2]))[: len(ids)]
+    later = np.ones(len(ids), bool)
+    later[first] = False
+    second = first + 1
+    two[second[second < len(ids)]] = START
+    at = np.flatnonzero(later)
+    return at, two[at], one[at], ids[at]
+
+
+def _counted(*columns: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+    """Distinct rows of the columns and how often each occurs."""
+    order = np.lexsort(columns)
+    ordered = [c[order] for c in columns]
+    new = np.ones(len(order), bool)
+    if len(order):
+        new[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in ordered])
+    starts = np.flatnonzero(new)
+    return [c[starts] for c in ordered], np.diff(np.append(starts, len(order)))
 
 
 def _slices(batches: Iterator[pa.RecordBatch], most: int = 256) -> Iterator[pa.RecordBatch]:
@@ -156,8 +124,34 @@ def _slices(batches: Iterator[pa.RecordBatch], most: int = 256) -> Iterator[pa.R
             yield batch.slice(at, most)
 
 
-def learn(training: DataFrame, text_col: str = "text") -> tuple[Automaton, DataFrame, int]:
-    """The automaton, the table (word, n) of all words, and the number of tokens."""
+def _text_hash(text: bytes | None) -> int:
+    return xxhash.xxh3_64_intdigest(text or b"") - (1 << 63)
+
+
+def _word_ids(counts: DataFrame, shared) -> DataFrame:
+    """The table (id, c) of all training words."""
+
+    def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = shared.value.ids(batch.column(0).to_pylist())
+            yield pa.RecordBatch.from_arrays([pa.array(ids), batch.column(1)], names=["id", "c"])
+
+    return counts.select("word", "n").mapInArrow(numbered, "id long, c long")
+
+
+def _weight(kept: str, lower: str) -> Column:
+    """Log of the backoff weight of a state with these arcs."""
+    left, rest = (F.greatest(1 - F.sum(name), F.lit(1e-300)) for name in (kept, lower))
+    return F.log10(left / rest)
+
+
+def learn(training: DataFrame, text_col: str = "text"):
+    """The shared word ids, the table (word, n) of all words, the number of tokens and of words, and the arcs.
+
+    The arcs are four tables: pairs (b, w, gain) and triples (a, b, w, gain), where gain is
+    the log-probability of the arc less that of w alone, and the weights of their states,
+    (b, weight) and (a, b, weight).
+    """
     context = training.sparkSession.sparkContext
     light_batches(training.sparkSession)
     texts = training.select(F.col(text_col).cast("binary").alias("text"))
@@ -166,58 +160,112 @@ def learn(training: DataFrame, text_col: str = "text") -> tuple[Automaton, DataF
     )
     total, distinct = counts.agg(F.sum("n"), F.count(F.lit(1))).first()
     total = total or 0
-    held = counts.where(F.col("n") * HEAD > total).toArrow()  # at most HEAD rows, by definition
-    held = held.sort_by("word")
-    model = Automaton(held["word"].to_pylist(), held["n"].to_numpy(), total, distinct)
-    for _ in range(2, ORDER + 1):
-        shared = context.broadcast(model)
-
-        def arcs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            own, pending, waiting = shared.value, [], 0
-
-            def out() -> pa.RecordBatch:
-                keys, numbers = np.unique(np.concatenate(pending), return_counts=True)
-                return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(numbers, pa.int64())], names=["arc", "n"])
-
-            for batch in _slices(batches):
-                ids, first, _ = _sequence(batch.column(0).to_pylist(), own)
-                reached = own.walk(ids, first)[1][-1] if own.keys else ids
-                state = np.concatenate(([-1], reached[:-1]))
-                state[first] = -1
-                # An arc that is frequent enough starts in a frequent state and ends in a frequent word.
-                frequent = own.counts * ARCS > total
-                fine = (state >= 0) & (ids >= 0) & frequent[np.maximum(ids, 0)]
-                fine &= (own.held * ARCS > total)[np.maximum(state, 0)]
-                pending.append(state[fine] * own.size + ids[fine])
-                waiting += len(pending[-1])
-                if waiting > 8 * FLUSH:
-                    yield out()
-                    pending, waiting = [], 0
-            if waiting:
+    below = total + ADDED * (distinct + 1)
+    held = counts.where(F.col("n") * HEAD > total).toArrow().sort_by("word")  # at most HEAD rows, by definition
+    names, numbers = held["word"].to_pylist(), held["n"].to_numpy().astype(np.float64)
+    for seed in range(64):
+        shared = context.broadcast(Words(names, numbers, below, seed))
+        words = stored(_word_ids(counts, shared), "word-ids")
+        if words.select("id").distinct().count() == distinct:
+            break
+        shared.unpersist()
+    else:
+        raise ValueError("no seed tells all words apart")
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pending, waiting = [], 0
+
+        def out() -> pa.RecordBatch:
+            (w, b, a), n = _counted(*(np.concatenate(c) for c in zip(*pending)))
+            return pa.RecordBatch.from_arrays([*map(pa.array, (a, b, w)), pa.array(n, pa.int64())], names=["a", "b", "w", "n"])
+
+        for batch in _slices(batches):
+            _, a, b, w = _triples(*_sequence(batch.column(0).to_pylist(), shared.value)[:2])
+            pending.append((w, b, a))
+            waiting += len(w)
+            if waiting > SPAN:
                 yield out()
+                pending, waiting = [], 0
+        if waiting:
+            yield out()
+
+    threes = stored(
+        texts.mapInArrow(counted, "a long, b long, w long, n long").groupBy("a", "b", "w").agg(F.sum("n").alias("n")),
+        "triples",
+    )
+    frequent = F.col("n") * F.lit(float(ARCS)) > total
+    pairs = threes.groupBy("b", "w").agg(F.sum("n").alias("n")).where(frequent)
+    pairs = stored(
+        pairs.join(words.select(F.col("id").alias("w"), F.col("c").alias("_last")), "w")
+        .join(words.select(F.col("id").alias("b"), F.col("c").alias("_state")), "b")
+        .select(
+            "b",
+            "w",
+            "n",
+            ((F.col("n") - DISCOUNT) / F.col("_state")).alias("p"),
+            ((F.col("_last") + ADDED) / below).alias("alone"),
+        ),
+        "pairs",
+    )
+    # A triple is at most as frequent as the pair it ends in, so that pair is an arc.
+    triples = stored(
+        threes.where((F.col("a") != START) & frequent)
+        .join(pairs.select("b", "w", F.col("p").alias("lower"), "alone"), ["b", "w"])
+        .join(pairs.select(F.col("b").alias("a"), F.col("w").alias("b"), F.col("n").alias("_state")), ["a", "b"])
+        .select("a", "b", "w", ((F.col("n") - DISCOUNT) / F.col("_state")).alias("p"), "lower", "alone"),
+        "arcs",
+    )
+    gain = (F.log10("p") - F.log10("alone")).alias("gain")
+    arcs = (
+        pairs.select("b", "w", gain),
+        triples.select("a", "b", "w", gain),
+        pairs.groupBy("b").agg(_weight("p", "alone").alias("weight")),
+        triples.groupBy("a", "b").agg(_weight("p", "lower").alias("weight")),
+    )
+    return shared, counts, total, distinct, arcs
+
 
-        if not total or not len(model.held):
-            found = np.zeros(0, np.int64), np.zeros(0)
-        else:
-            table = (
-                texts.mapInArrow(arcs, "arc long, n long")
-                .groupBy("arc")
-                .agg(F.sum("n").alias("n"))
-                .where(F.col("n") * ARCS > total)  # at most ARCS rows, by definition
-                .toArrow()
-                .sort_by("arc")
+def _gains(texts: DataFrame, shared, arcs: tuple, kind: str) -> DataFrame:
+    """By id and text hash, what the states add to the log-probability without context, over all copies.
+
+    A token takes the gain of its triple; without that arc the weight of the pair before it,
+    if that is a state, and the gain of the pair it ends, and without that the word's weight.
+    """
+    pairs, triples, of_word, of_pair = arcs
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _slices(batches):
+            texts = batch.column(1).to_pylist()
+            ids, first, _ = _sequence(texts, shared.value)
+            at, a, b, w = _triples(ids, first)
+            row = np.searchsorted(first, at, "right") - 1
+            (w, b, a, row), times = _counted(w, b, a, row)
+            hashes = np.array([_text_hash(t) for t in texts], np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).take(pa.array(row)), *map(pa.array, (hashes[row], a, b, w)), pa.array(times, pa.int64())],
+                names=["doc_id", "hash", "a", "b", "w", "times"],
             )
-            found = table["arc"].to_numpy().astype(np.int64), table["n"].to_numpy().astype(np.float64)
-        model.add_order(*found)
-        shared.unpersist()
-    return model, counts, total
+
+    found = texts.mapInArrow(spread, f"doc_id {kind}, hash long, a long, b long, w long, times long")
+    missed = (
+        found.join(triples.select("a", "b", "w"), ["a", "b", "w"], "left_anti")
+        .join(of_pair.withColumnRenamed("weight", "_pair"), ["a", "b"], "left")
+        .join(pairs, ["b", "w"], "left")
+        .join(of_word.withColumnRenamed("weight", "_word"), "b", "left")
+        .withColumn("gain", F.coalesce("_pair", F.lit(0.0)) + F.coalesce("gain", "_word", F.lit(0.0)))
+    )
+    each = ["doc_id", "hash", (F.col("times") * F.col("gain")).alias("gain")]
+    return (
+        found.join(triples, ["a", "b", "w"]).select(*each).unionByName(missed.select(*each))
+        .groupBy(F.col("doc_id").alias("_gain_id"), F.col("hash").alias("_gain_hash"))
+        .agg(F.sum("gain").alias("gain"))
+    )
 
 
 def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row."""
     held = crc_fold(F.col(id_col), FOLDS) == HELD_OUT
-    model, counts, total = learn(docs.where(~held), text_col)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared, counts, total, distinct, arcs = learn(docs.where(~held), text_col)
     kind = dict(docs.select(F.col(id_col)).dtypes)[id_col]
     rare_kind = pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int64())]))
 
@@ -226,36 +274,35 @@ def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
         for batch in _slices(batches):
             texts = batch.column(2).to_pylist()
             ids, first, words = _sequence(texts, own)
-            alone, found = own.score(ids, first)
+            alone = np.append(own.logs, 0.0)[np.maximum(ids, -1)]  # that of other words is missing
             rare = [
-                [{"word": w, "n": n} for w, n in Counter(w for w in of if w not in own.words).items()] for of in words
+                [{"word": w, "n": n} for w, n in Counter(w for w in of if w not in own.places).items()] for of in words
             ]
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0),
                     batch.column(1),
-                    pa.array([xxhash.xxh3_64_intdigest(t or b"") - (1 << 63) for t in texts], pa.int64()),
+                    pa.array([_text_hash(t) for t in texts], pa.int64()),
                     pa.array([len(w) for w in words], pa.int64()),
                     pa.array(np.add.reduceat((ids >= 0).astype(np.int64), first)),
                     pa.array(np.add.reduceat(alone, first)),
-                    pa.array(np.add.reduceat(found, first)),
                     pa.array(rare, rare_kind),
                 ],
-                names=["doc_id", "held_out", "hash", "n_tokens", "held", "alone", "found", "rare"],
+                names=["doc_id", "held_out", "hash", "n_tokens", "held", "alone", "rare"],
             )
 
     texts = docs.select(F.col(id_col).alias("doc_id"), held.alias("held_out"), F.col(text_col).cast("binary").alias("text"))
     rows = stored(
         texts.mapInArrow(
             scored,
-            f"doc_id {kind}, held_out boolean, hash long, n_tokens long, held long, alone double, found double, "
+            f"doc_id {kind}, held_out boolean, hash long, n_tokens long, held long, alone double, "
             "rare array<struct<word: binary, n: long>>",
         ),
         "scored",
     )
     # Words that no task holds meet their counts by a join; equal rows give one sum.
     each = rows.select("doc_id", "hash", F.posexplode("rare").alias("place", "item"))
-    below = total + ADDED * (counts.count() + 1)
+    below = total + ADDED * (distinct + 1)
     log = F.log10((F.coalesce(F.col("n"), F.lit(0)) + ADDED) / below)
     rest = (
         each.select("doc_id", "hash", "place", F.col("item.word").alias("word"), F.col("item.n").alias("times"))
@@ -267,8 +314,18 @@ def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
             F.sum((F.col("place") == 0).cast("int")).alias("copies"),
         )
     )
-    both = rows.drop("rare").join(
-        rest, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("hash") == F.col("_hash")), "left"
+    # What the states add covers all copies of a row, of which each takes its part.
+    copies = rows.groupBy(F.col("doc_id").alias("_gain_id"), F.col("hash").alias("_gain_hash")).agg(
+        F.count(F.lit(1)).alias("_rows")
+    )
+    same = lambda ids, hashes: F.col("doc_id").eqNullSafe(F.col(ids)) & (F.col("hash") == F.col(hashes))
+    gains = _gains(texts.select("doc_id", "text"), shared, arcs, kind)
+    gains = gains.select(F.col("_gain_id").alias("_sum_id"), F.col("_gain_hash").alias("_sum_hash"), "gain")
+    both = (
+        rows.drop("rare")
+        .join(rest, same("_id", "_hash"), "left")
+        .join(copies, same("_gain_id", "_gain_hash"))
+        .join(gains, same("_sum_id", "_sum_hash"), "left")
     )
     more = F.coalesce("rest", F.lit(0.0))
     return both.select(
@@ -278,5 +335,5 @@ def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
         (F.col("held") + F.coalesce((F.col("seen") / F.col("copies")).cast("long"), F.lit(0))).alias("n_known"),
         F.lit(total).cast("long").alias("train_tokens"),
         (F.col("alone") + more).alias("base_score"),
-        (F.col("found") + more).alias("score"),
+        (F.col("alone") + more + F.coalesce(F.col("gain") / F.col("_rows"), F.lit(0.0))).alias("score"),
     )
