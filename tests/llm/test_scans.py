@@ -258,6 +258,28 @@ def test_schedule_is_inverted(spark):
         assert (1 - r["slope"]) * r["t"] + r["slope"] * r["t"] ** 2 == pytest.approx(r["y"], abs=2e-6)
 
 
+def test_positions_are_whole(spark):
+    """As the twin has them before it rounds, and in that order."""
+    import duckdb
+
+    from ticketloom.llm.queries import MIX_SQL
+
+    folder = "/root/testdata/sf0.01"
+    connection = duckdb.connect()
+    connection.execute(f"CREATE VIEW documents AS SELECT * FROM '{folder}/documents.parquet'")
+    twin = MIX_SQL[: MIX_SQL.rindex("SELECT doc_id")]
+    time = "y * 2 / ((1 - slope) + sqrt((1 - slope) * (1 - slope) + slope * 4 * y))"
+    want = dict(connection.execute(f"{twin} SELECT doc_id, {time} FROM timed WHERE copies > 0").fetchall())
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    got = {r["doc_id"]: r["positions"][0] for r in curriculum.plan(docs).where("taken > 0").collect()}
+    assert got == pytest.approx(want, rel=1e-13, abs=0)
+    placed = [r["doc_id"] for r in curriculum.mix(docs).where("taken > 0").collect()]
+    assert sorted(placed, key=lambda i: (got[i], i)) == placed
+    rows = spark.range(0, 101).select((F.col("id") / 100).alias("y")).withColumn("slope", F.explode(F.array(*map(F.lit, (0.5, 0.0, -0.5)))))
+    for r in rows.withColumn("t", curriculum.when(F.col("y"), F.col("slope"))).collect():
+        assert (1 - r["slope"]) * r["t"] + r["slope"] * r["t"] ** 2 == pytest.approx(r["y"], abs=1e-12)
+
+
 def test_tool_calls(spark):
     schema = "conv_id long, turn long, call_id string, name string, arguments string, after array<string>, level int"
     calls = [

@@ -155,13 +155,14 @@ def plan(
         F.col("copies") > 0,
         F.transform(F.sequence(F.lit(0), F.col("copies") - 1), lambda k: when(share(k), F.col("slope"))),
     ).otherwise(F.array().cast("array<double>"))
-    return rows.withColumn("copies", copies).select(
+    # Before the select: a lambda in it would meet the rounded target under the same name.
+    return rows.withColumn("copies", copies).withColumn("positions", times).select(
         "doc_id",
         "size",
         "source_size",
         decimals(F.col("target"), 6).alias("target"),
         (F.col("copies") * F.col("size")).cast("long").alias("taken"),
-        times.alias("positions"),
+        "positions",
         *more,
     )
 
@@ -169,7 +170,7 @@ def plan(
 def when(share: Column, slope: Column) -> Column:
     """The time by which the schedule 1 - a + 2 a t has asked for this share of its demand."""
     start = F.lit(1.0) - slope
-    return decimals(share * 2 / (start + F.sqrt(start * start + slope * 4 * share)), 6)
+    return share * 2 / (start + F.sqrt(start * start + slope * 4 * share))
 
 
 def decimals(number: Column, places: int) -> Column:
@@ -179,12 +180,14 @@ def decimals(number: Column, places: int) -> Column:
 
 
 def mix(docs: DataFrame) -> DataFrame:
-    """Every row with what the mix takes of it and its first position, in the order of training."""
-    planned = plan(docs)
-    first = F.get("positions", F.lit(0))
-    return planned.select(
-        "doc_id", "size", "source_size", "target", "taken", first.alias("position")
-    ).orderBy(F.col("position").asc_nulls_last(), "doc_id")
+    """Every row with what the mix takes of it and its first position, in the order of training.
+
+    The position is given at six decimals, as in the SQL twin; the order is that of the whole number.
+    """
+    planned = plan(docs).withColumn("_time", F.get("positions", F.lit(0)))
+    return planned.orderBy(F.col("_time").asc_nulls_last(), "doc_id").select(
+        "doc_id", "size", "source_size", "target", "taken", decimals(F.col("_time"), 6).alias("position")
+    )
 
 
 def mixed_documents(docs: DataFrame) -> DataFrame:
