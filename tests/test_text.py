@@ -93,6 +93,22 @@ def test_cleaning_property(spark, values):
     assert cleaned(spark, values) == [brute_clean(v, stops) for v in values]
 
 
+def test_other_scripts_survive(spark, monkeypatch):
+    """Greek and Cyrillic are transliterated, letters of other scripts stay, and names of any go."""
+    values = ["Привет, ошибка в Системе Щука", "Σφάλμα χρήστη στο σύστημα", "服务器错误 system", "שגיאה במערכת", "Ёлка ΨΗΦΟΣ № ✓", "सिस्टम में त्रुटि"]
+    want = ["privet oshibka sisteme shchuka", "sphalma khreste sto sustema", "服务器错误 system", "שגיאה במערכת", "iolka psephos", "सिस्टम में त्रुटि"]
+    assert cleaned(spark, values) == want
+    names = ["Щука", "χρήστη", "שגיאה", "सिस्टम"]
+    deny = cleaning.name_list(spark.createDataFrame([(n,) for n in names], "name string"))
+    assert sorted(r.name for r in deny.collect()) == sorted(["shchuka", "khreste", "שגיאה", "सिस्टम"])
+    listed = [r.name for r in deny.collect()]
+    without = ["privet oshibka sisteme", "sphalma sto sustema", "服务器错误 system", "במערכת", "iolka psephos", "में त्रुटि"]
+    for limit in (50_000, 1):
+        monkeypatch.setattr(cleaning, "MAX_IN_SET", limit)
+        assert cleaned(spark, values, listed) == without
+    assert [text.normalize_label(v) for v in ("Система", "σύστημα", "服务器")] == ["sistema", "sustema", "服务器"]
+
+
 def test_orders_of_lowering(spark):
     assert column(spark, ["É €", "ÇÃO"], text.normalize) == ["e EUR", "cao"]
     assert column(spark, [" É €", "ÇÃO "], text.normalize_name) == ["e eur", "cao"]

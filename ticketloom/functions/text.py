@@ -37,7 +37,34 @@ def _accent_map() -> dict[str, str]:
     return table
 
 
+# Cyrillic and Greek by letter, in the manner of the reference's unidecode (fixed values).
+_SCRIPTS = dict(zip("абвгдезиклмнопрстуфыэіјѕґ", "abvgdeziklmnoprstufyeijzg"))
+_SCRIPTS |= {
+    "ж": "zh", "й": "i", "х": "kh", "ц": "ts", "ч": "ch", "ш": "sh", "щ": "shch", "ъ": "'", "ь": "'",
+    "ю": "iu", "я": "ia", "ё": "io", "ђ": "dj", "ѓ": "gj", "є": "ie", "ї": "yi", "љ": "lj", "њ": "nj",
+    "ћ": "tsh", "ќ": "kj", "ў": "u", "џ": "dzh", "ѕ": "dz",
+}
+_SCRIPTS |= dict(zip("αβγδεζηικλμνξοπρσςτυω", "abgdeziklmnxoprsstuo"[:6] + "e" + "iklmnxoprsstuo"))
+_SCRIPTS |= {"θ": "th", "φ": "ph", "χ": "kh", "ψ": "ps"}
+
+
+def _script_map() -> dict[str, str]:
+    """The letters of _SCRIPTS in both cases, and those that are one of them with marks."""
+    table = {}
+    for point in (*range(0x370, 0x530), *range(0x1F00, 0x2000)):
+        sign = chr(point)
+        low = sign.lower()
+        plain = _SCRIPTS.get(low) or _SCRIPTS.get(unicodedata.normalize("NFKD", low)[0])
+        if plain and unicodedata.category(sign)[0] == "L":
+            table[sign] = plain if sign == low else plain.capitalize()
+    return table
+
+
 _ACCENTS = _accent_map()
+_OTHER_SCRIPTS = {sign: plain for sign, plain in _script_map().items() if len(plain) > 1}
+_ACCENTS |= {sign: plain for sign, plain in _script_map().items() if len(plain) == 1}
+# Letters of scripts without a map stay as they are; other signs outside ASCII go.
+_UNMAPPED = r"[\p{L}\p{M}&&[^\p{IsLatin}\p{IsCommon}\p{IsInherited}]]|\x{30FC}"
 ACCENTED = "".join(_ACCENTS)
 PLAIN = "".join(_ACCENTS.values())
 
@@ -63,20 +90,22 @@ def _only_if(text: Column, present: Callable[[Column], Column], step: Callable[[
     return changed[0]
 
 
-def _expand(text: Column) -> Column:
-    for sign, plain in _EXPANSIONS.items():
+def _expand(text: Column, signs: dict[str, str]) -> Column:
+    for sign, plain in signs.items():
         text = F.replace(text, F.lit(sign), F.lit(plain))
     return text
 
 
 def to_ascii(text: Column, *, blanks: str = "") -> Column:
-    """Transliterate to ASCII. Signs of other scripts are dropped, ``blanks`` become ' '.
+    """Transliterate to ASCII. Letters of scripts without a map stay, ``blanks`` become ' '.
 
     Signs that need more than one letter are rare: texts without any skip that step.
     """
-    text = _only_if(text, lambda t: t.rlike("[" + "".join(_EXPANSIONS) + "]"), _expand)
+    for signs in (_EXPANSIONS, _OTHER_SCRIPTS):
+        present = "[" + "".join(signs) + "]"
+        text = _only_if(text, lambda t, p=present: t.rlike(p), lambda t, s=signs: _expand(t, s))
     text = F.translate(text, ACCENTED + blanks, PLAIN + " " * len(blanks))
-    return F.regexp_replace(text, r"[^\x00-\x7F]+", "")
+    return F.regexp_replace(text, rf"(?:(?!{_UNMAPPED})[^\x00-\x7F])+", "")
 
 
 def normalize(text: Column) -> Column:
@@ -92,10 +121,16 @@ def normalize_name(text: Column) -> Column:
 def normalize_label(label: str) -> str:
     """Driver-side twin of :func:`normalize` for column headers."""
     label = label.lower()
-    for sign, plain in _EXPANSIONS.items():
+    for sign, plain in (_EXPANSIONS | _OTHER_SCRIPTS).items():
         label = label.replace(sign, plain)
     label = label.translate(str.maketrans(_ACCENTS))
-    return label.encode("ascii", "ignore").decode()
+    return "".join(c for c in label if c.isascii() or _is_unmapped(c))
+
+
+def _is_unmapped(sign: str) -> bool:
+    """Driver-side twin of ``_UNMAPPED``, by the script that begins the letter's name."""
+    common = ("LATIN", "MODIFIER", "COMBINING", "FEMININE", "MASCULINE", "MICRO", "MATHEMATICAL", "FULLWIDTH LATIN")
+    return sign == "\u30fc" or (unicodedata.category(sign)[0] in "LM" and not unicodedata.name(sign, "LATIN").startswith(common))
 
 
 def strip(text: Column) -> Column:
@@ -112,7 +147,7 @@ def raw_tokens(text: Column) -> Column:
     """Greetings, addresses and links out; the rest cut at every non-word sign.
 
     Cutting at non-word signs is the same as blanking punctuation and splitting at
-    white space: the underscore stays inside tokens, and the text is ASCII here.
+    white space: the underscore stays inside tokens, and all that is not ASCII here is a letter.
     The result may hold '' at either end; the length rule removes it.
     """
     text = to_ascii(F.lower(F.coalesce(text, F.lit(""))), blanks=SEPARATORS)
@@ -124,7 +159,7 @@ def raw_tokens(text: Column) -> Column:
         lambda t: t.contains("http") | t.contains("www"),
         lambda t: F.regexp_replace(t, URL, " "),
     )
-    return F.split(text, r"\W+")
+    return F.split(text, r"[\W&&\p{ASCII}]+")
 
 
 def is_content_token(token: Column) -> Column:
@@ -144,7 +179,7 @@ def drop_listed(tokens: Column, words: Iterable[str]) -> Column:
     columns one by one takes seconds. Only words made of word signs can be equal
     to a token, so nothing in the text needs escaping.
     """
-    listed = sorted(w for w in set(words) if w.isascii() and w.replace("_", "a").isalnum())
+    listed = sorted(w for w in set(words) if all(c == "_" or (c.isalnum() if c.isascii() else _is_unmapped(c)) for c in w) and w)
     if not listed:
         return tokens
     members = F.expr("token -> token NOT IN (" + ",".join(f"'{w}'" for w in listed) + ")")
