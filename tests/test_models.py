@@ -225,3 +225,35 @@ def test_csv_keeps_line_breaks_and_quotes(spark, tmp_path):
         assert [tuple(r) for r in readers.read_tickets(spark, path, separator=separator).orderBy("Id").collect()] == [
             ("1", 'a "b"\nc, d'), ("2", None),
         ]
+
+
+def test_registered_models_take_the_defaults(spark, monkeypatch):
+    """All systems, and no option that makes a model query smaller than the library's default."""
+    from ticketloom.plans import topic_run
+    from ticketloom.registry import bindings, models
+
+    folder = "/root/testdata/sf0.01"
+    calls = []
+
+    class Stop(Exception):
+        pass
+
+    def noted(*args, **options):
+        calls.append((args, options))
+        raise Stop
+
+    for owner, name, registered in (
+        (modeling, "best_kmeans", models.kmeans_topics),
+        (modeling, "best_kmeans", models.model_reuse),
+        (modeling, "grid_search", models.grid_search),
+        (modeling, "elbow_by_system", models.elbow_curve),
+        (topic_run, "run_all", models.topic_run_tables),
+    ):
+        with monkeypatch.context() as patch:
+            patch.setattr(owner, name, noted)
+            with pytest.raises(Stop):
+                registered(spark, folder)
+    assert [len(args) for args, _ in calls] == [2, 2, 2, 2, 4]
+    assert [options for _, options in calls[:4]] == [{}] * 4 and set(calls[4][1]) <= {"minimum"}
+    systems = {r["system"] for r in bindings.assigned(spark, folder).select("system").distinct().collect()}
+    assert set(calls[3][0][1]) == set(calls[4][0][2]) == systems

@@ -17,6 +17,9 @@ from ticketloom.registry import bindings as b
 from ticketloom.registry.core import query
 from ticketloom.sources import readers, writers
 
+# Topics of a system; 3 where it is not listed.
+TOPICS = {"en": 5}
+
 
 def _vectors(spark, sf):
     return spread(b.table(spark, sf, "embeddings"), "vec_id").select(
@@ -49,7 +52,7 @@ def kmeans_topics(spark, sf):
     """Topic of every vector, numbered by falling size."""
     reduced, _ = modeling.reduce_vectors(_vectors(spark, sf), 5)
     features = reduced.select("id", "features").persist()
-    model, _ = modeling.best_kmeans(features, 10, n_init=3)
+    model, _ = modeling.best_kmeans(features, 10)
     return modeling.renumbered(model.transform(features)).select("id", "topic")
 
 
@@ -65,16 +68,16 @@ def topics_by_size(spark, sf):
 
 @query()
 def elbow_curve(spark, sf):
-    """Cost of two to six topics in every system."""
+    """Cost of 2 to 25 topics in every system."""
     rows = b.assigned(spark, sf).select("system", "id", "embedding")
     counts = {r["system"]: r["count"] for r in rows.groupBy("system").count().collect()}
-    return modeling.elbow_by_system(rows, dict(sorted(counts.items())), range(2, 7), n_init=2)
+    return modeling.elbow_by_system(rows, dict(sorted(counts.items())))
 
 
 @query()
 def grid_search(spark, sf):
     """Silhouette of all six settings over all vectors."""
-    return modeling.grid_search(_vectors(spark, sf), 10, n_init=1).runs
+    return modeling.grid_search(_vectors(spark, sf), 10).runs
 
 
 @query("""
@@ -108,17 +111,8 @@ def topic_run_tables(spark, sf):
     """Whole topic run over the systems that are large enough, read back from its tables."""
     folder = shared_folder(spark)
     documents = b.assigned(spark, sf, text_work=True).select("system", "id", "text", "embedding")
-    topic_run.run_all(
-        spark,
-        documents,
-        {"en": 5, "fr": 3, "es": 3},
-        folder,
-        minimum=70,
-        n_init_search=1,
-        n_init_final=2,
-        components=(5, 10),
-        metrics=("cosine",),
-    )
+    systems = sorted(r["system"] for r in documents.select("system").distinct().collect())
+    topic_run.run_all(spark, documents, {system: TOPICS.get(system, 3) for system in systems}, folder, minimum=70)
     assignments = spark.read.parquet(f"{folder}/assignments")
     terms = spark.read.parquet(f"{folder}/terms")
     counted = assignments.groupBy("system", "topic").agg(F.count(F.lit(1)).alias("n_documents"))
@@ -135,7 +129,7 @@ def model_reuse(spark, sf):
 
     def fit():
         reduced, reducer = modeling.reduce_vectors(rows.select("embedding"), 5)
-        model, _ = modeling.best_kmeans(reduced, 4, n_init=1)
+        model, _ = modeling.best_kmeans(reduced, 4)
         return PipelineModel([*reducer.stages, model])
 
     first, _ = writers.fit_or_load(spark, folder, fit)
