@@ -10,12 +10,15 @@ from ticketloom.llm import (
     backoff_lm,
     best_two_fit,
     blob_ledger,
+    chat_repair,
     chat_tools,
     curriculum,
+    decontaminate,
     extendible,
     metric_join,
     mixture_langid,
     tensor_minhash,
+    term_at_a_time,
     url_digest,
 )
 
@@ -78,6 +81,18 @@ def op10_curriculum(spark: SparkSession, sf_dir: str) -> DataFrame:
     return curriculum.mix(read(spark, sf_dir, "documents"))
 
 
+def op11_chat_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_repair.audits(chat_repair.damaged(read(spark, sf_dir, "conversations")))
+
+
+def op12_term_at_a_time(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return term_at_a_time.rank(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+def op13_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.report(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     "pipeline": corpus_pipeline.run,
     "op1_tool_calls": op1_tool_calls,
@@ -90,6 +105,9 @@ QUERIES = {
     "op8_mixture_langid": op8_mixture_langid,
     "op9_backoff_lm": op9_backoff_lm,
     "op10_curriculum": op10_curriculum,
+    "op11_chat_repair": op11_chat_repair,
+    "op12_term_at_a_time": op12_term_at_a_time,
+    "op13_decontaminate": op13_decontaminate,
 }
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -211,9 +229,60 @@ SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, floor(target * 1e6::DO
 FROM timed
 """
 
+WORDS = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+
+
+def _words_sql(text: str) -> str:
+    return f"regexp_extract_all(translate(coalesce({text}, ''), '{UPPER}', '{LOWER}'), '{WORDS}')"
+
+
+RANK_SQL = f"""
+WITH docs AS (SELECT doc_id, {_words_sql("text")} AS w FROM documents),
+counted AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(w) AS term FROM docs) GROUP BY doc_id, term),
+lengths AS (SELECT doc_id, len(w) AS n FROM docs WHERE len(w) > 0),
+sums AS (SELECT count(*) AS N, CAST(sum(n) AS BIGINT) AS L FROM lengths),
+asked AS (SELECT DISTINCT item_id, unnest({_words_sql("text")}) AS term FROM benchmark),
+weighed AS (
+  SELECT term, CAST(floor(1000 * ln((2 * max(s.N) + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE)) AS BIGINT) AS w
+  FROM counted CROSS JOIN (SELECT N FROM sums) s WHERE term IN (SELECT term FROM asked) GROUP BY term),
+scored AS (
+  SELECT a.item_id, c.doc_id,
+         CAST(sum(w.w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + ((90 * l.n * s.N) // s.L))))) AS BIGINT) AS score
+  FROM asked a JOIN weighed w ON a.term = w.term JOIN counted c ON c.term = a.term
+  JOIN lengths l ON l.doc_id = c.doc_id CROSS JOIN sums s
+  GROUP BY a.item_id, c.doc_id)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM scored WHERE score > 0)
+WHERE rank <= 10
+"""
+
+LEAK_SQL = f"""
+WITH items AS (SELECT CAST(item_id AS VARCHAR) AS item, {_words_sql("text")} AS w FROM benchmark),
+spots AS (
+  SELECT item, w, least(len(w), 10) AS size, unnest(range(1, len(w) - least(len(w), 10) + 2)) AS i FROM items WHERE len(w) > 0),
+grams AS (SELECT DISTINCT item, size, array_to_string(w[i : i + size - 1], ' ') AS gram FROM spots),
+docs AS (SELECT doc_id, {_words_sql("text")} AS w FROM documents),
+sizes AS (SELECT DISTINCT size FROM grams),
+places AS (SELECT doc_id, w, size, unnest(range(1, len(w) - size + 2)) AS i FROM docs, sizes),
+hits AS (
+  SELECT p.doc_id, p.i, p.size, g.item
+  FROM places p JOIN grams g ON g.size = p.size AND array_to_string(p.w[p.i : p.i + p.size - 1], ' ') = g.gram),
+words AS (
+  SELECT doc_id, count(DISTINCT place) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + size)) AS place FROM hits)
+  GROUP BY doc_id),
+found AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
+  FROM (SELECT DISTINCT doc_id, item FROM hits) GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(items, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
+FROM docs d LEFT JOIN words h ON d.doc_id = h.doc_id LEFT JOIN found f ON d.doc_id = f.doc_id
+"""
+
 ORACLES = {
     "op2_url_digest": URL_SQL,
     "op5_extendible_dedup": EXACT_SQL,
     "op7_blob_ledger": _secret_sql(),
     "op10_curriculum": MIX_SQL,
+    "op12_term_at_a_time": RANK_SQL,
+    "op13_decontaminate": LEAK_SQL,
 }
