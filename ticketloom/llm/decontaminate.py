@@ -268,4 +268,4 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, spans_only: bool = Fal
     others = [c for c in docs.columns if c != "text"]
     wide = both.select(*[rows[c] for c in others], "_text", "_spans")
     schema = wide.drop("_spans").schema
-    return wide.mapInArrow(cut, schema).withColumn("text", F.decode("_text", F.lit("UTF-8"))).select(*docs.columns)
+    return wide.mapInArrow(cut, schema).withColumn("text", F.decode("_text", "UTF-8")).select(*docs.columns)
