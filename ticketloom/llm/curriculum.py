@@ -193,21 +193,24 @@ def mix(docs: DataFrame) -> DataFrame:
 def mixed_documents(docs: DataFrame) -> DataFrame:
     """The rows of ``docs``, all columns, once for each copy taken, in the order of training.
 
-    Texts meet their plan by id and hash. Equal rows are interchangeable: their copies are
-    gathered and one of the rows is repeated for all.
+    Texts meet their plan by a digest of id and text, which is never null, so that the choice of
+    one row and the join share one shuffle of the texts; the sort is the other one. Equal rows
+    are interchangeable: their copies are gathered and one of the rows is repeated for all.
     """
-    digest = F.xxhash64(F.col("text"))
-    planned = plan(docs, more={"_hash": digest}).where("taken > 0")
-    times = planned.groupBy(F.col("doc_id").alias("_id"), F.col("_hash").alias("_plan")).agg(
-        F.flatten(F.collect_list("positions")).alias("_times")
+    digest = F.md5(
+        F.concat(
+            F.coalesce(F.concat(F.lit("="), F.col("doc_id").cast("string")), F.lit("")),
+            F.lit("\n"),
+            F.coalesce(F.concat(F.lit("="), F.col("text")), F.lit("")),
+        ).cast("binary")
     )
-    rows = docs.withColumn("_own", digest)
-    once = rows.withColumn(
-        "_copy", F.row_number().over(Window.partitionBy("doc_id", "_own").orderBy("source"))
-    ).where("_copy = 1")
-    placed = once.join(times, once["doc_id"].eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_plan")))
+    planned = plan(docs, more={"_hash": digest}).where("taken > 0")
+    times = planned.groupBy(F.col("_hash").alias("_own")).agg(F.flatten(F.collect_list("positions")).alias("_times"))
+    one = Window.partitionBy("_own").orderBy("source")
+    once = docs.withColumn("_own", digest).withColumn("_copy", F.row_number().over(one)).where("_copy = 1")
     return (
-        placed.select(*[once[c] for c in docs.columns], F.explode("_times").alias("_time"))
+        once.join(times, "_own")
+        .select(*[once[c] for c in docs.columns], F.explode("_times").alias("_time"))
         .orderBy("_time", "doc_id")
         .drop("_time")
     )
