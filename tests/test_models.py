@@ -88,11 +88,30 @@ def test_plain_silhouette_equals_definition(spark):
             rest = [m for k, m in means.items() if k != t]
             scores.append((min(rest) - means[t]) / max(min(rest), means[t]) if rest and t in means else 0.0)
         expected[system] = np.mean(scores)
-    for small, block in ((1000, 100), (1, 7)):
-        got = clusters.silhouette_euclidean(labelled, small=small, block_rows=block).collect()
+    for block in (100, 7):
+        got = clusters.silhouette_euclidean(labelled, block_rows=block).collect()
         assert {r.system: round(r.silhouette, 9) for r in got} == {k: round(v, 9) for k, v in expected.items()}
 
 
+def test_far_topics_are_not_measured(spark):
+    """Ten clouds on a line: a ticket needs its own and its neighbours, and the score is that of all."""
+    rng = np.random.default_rng(8)
+    points = [(str(i), i % 10, [10.0 * (i % 10) + rng.normal(scale=0.1), rng.normal(scale=0.1)]) for i in range(300)]
+    labelled = spark.createDataFrame(
+        [("s", i, t, v) for i, t, v in points], "system string, id string, topic int, embedding array<double>"
+    )
+    work = clusters.silhouette_work(labelled).first()
+    assert work["pairs"] == 3000 and work["measured"] <= 900
+    x = np.array([v for _, _, v in points])
+    gaps, topics = np.linalg.norm(x[:, None] - x[None], axis=2), np.arange(300) % 10
+    scores = []
+    for i in range(300):
+        means = [gaps[i, topics == t].sum() / (30 - (t == topics[i])) for t in range(10)]
+        a, b = means[topics[i]], min(m for t, m in enumerate(means) if t != topics[i])
+        scores.append((b - a) / max(a, b))
+    assert clusters.silhouette_euclidean(labelled, block_rows=16).first()["silhouette"] == pytest.approx(np.mean(scores))
+
+
 def test_too_few_topics_have_no_map(spark):
     centroids = spark.createDataFrame(
         [("s", -1, [1.0, 0.0], 5), ("s", 0, [0.0, 1.0], 5), ("s", 1, [1.0, 1.0], 5)],
@@ -198,8 +217,8 @@ def test_tickets_without_a_topic_do_not_count_in_the_silhouette(spark):
     schema = "system string, id string, topic int, embedding array<double>"
     without = clusters.silhouette_euclidean(spark.createDataFrame(points, schema)).collect()
     more = spark.createDataFrame(points + [("A", "x", None, [9.0, 9.0])], schema)
-    for small in (1000, 1):
-        got = clusters.silhouette_euclidean(more, small=small).collect()
+    for block in (1000, 3):
+        got = clusters.silhouette_euclidean(more, block_rows=block).collect()
         assert got[0].n_documents == 12
         assert got[0].silhouette == pytest.approx(without[0].silhouette)
 

@@ -29,6 +29,11 @@ def brute(queries, items, k, eligible=None):
     return sorted(result)
 
 
+def shown(found):
+    """Rows with scores at six decimals."""
+    return sorted((q, i, round(s, 6), r) for q, i, s, r in found.collect())
+
+
 @pytest.fixture(scope="module")
 def sides(spark):
     queries = [(f"q{i:02d}", v) for i, v in enumerate(vectors(23, 1))]
@@ -48,13 +53,44 @@ def sides(spark):
     return queries, items, q, i, eligible
 
 
-@pytest.mark.parametrize("small", [1000, 100, 3], ids=["items held", "queries held", "blocks"])
+@pytest.mark.parametrize("block", [1000, 60, 20])
 @pytest.mark.parametrize("grouped", [False, True])
-def test_every_strategy_is_exact(sides, small, grouped):
+def test_every_block_size_is_exact(sides, monkeypatch, block, grouped):
     queries, items, q, i, eligible = sides
-    got = nearest.top_matches(q, i, 7, grouped=grouped, small=small, block_rows=20, chunk_rows=6)
+    monkeypatch.setattr(nearest, "CELL_ROWS", 8)
+    monkeypatch.setattr(nearest, "TILE_QUERIES", 5)
+    got = nearest.top_matches(q, i, 7, grouped=grouped, block_rows=block, chunk_rows=6)
     expected = brute(queries, items, 7, eligible if grouped else None)
-    assert sorted(map(tuple, got.collect())) == expected
+    assert shown(got) == expected
+
+
+def test_cells_are_left_out(spark):
+    """Queries near one of eight clouds read few of the cells of the others."""
+    rng = np.random.default_rng(9)
+    points = np.repeat(np.eye(8), 400, axis=0) * 3 + rng.normal(scale=0.05, size=(3200, 8))
+    table = spark.createDataFrame([(f"i{i:04d}", v.tolist()) for i, v in enumerate(points)], "item_id string, embedding array<double>")
+    asked = table.limit(40).withColumnRenamed("item_id", "query_id")
+    found = nearest.cells_read(asked, table, 5).first()
+    assert 0 < found["read"] < found["pairs"] / 2
+    got = nearest.top_matches(asked, table, 5)
+    queries = [(r["query_id"], r["embedding"]) for r in asked.collect()]
+    assert shown(got) == brute(queries, [(f"i{i:04d}", v) for i, v in enumerate(points)], 5)
+
+
+@pytest.mark.parametrize("block", [1000, 160])
+def test_sparse_vectors(spark, monkeypatch, block):
+    monkeypatch.setattr(nearest, "CELL_ROWS", 7)
+    monkeypatch.setattr(nearest, "TILE_QUERIES", 4)
+    rng = np.random.default_rng(4)
+    dense = np.where(rng.random((90, 60)) < 0.1, rng.random((90, 60)), 0)
+    dense[3:9] = dense[2]
+    dense[20] = 0
+    form = "array<struct<slot: int, weight: double>>"
+    sparse = [[{"slot": int(s), "weight": float(v[s])} for s in np.flatnonzero(v)] for v in dense]
+    items = spark.createDataFrame([(f"i{i:02d}", v) for i, v in enumerate(sparse)], f"item_id string, embedding {form}")
+    asked = spark.createDataFrame([(f"q{i:02d}", v) for i, v in enumerate(sparse[:30])], f"query_id string, embedding {form}")
+    got = nearest.top_matches(asked, items, 6, block_rows=block, chunk_rows=80)
+    assert shown(got) == brute([(f"q{i:02d}", v) for i, v in enumerate(dense[:30])], [(f"i{i:02d}", v) for i, v in enumerate(dense)], 6)
 
 
 def test_fewer_items_than_k_and_missing_vectors(spark, sides):
@@ -62,18 +98,18 @@ def test_fewer_items_than_k_and_missing_vectors(spark, sides):
     few = i.where("item_id < 'i002'").unionByName(
         spark.createDataFrame([("z", None, [])], i.schema)
     )
-    for small in (1000, 1):
-        got = nearest.top_matches(q, few, 5, small=small)
+    for block in (1000, 1):
+        got = nearest.top_matches(q, few, 5, block_rows=block)
         assert got.groupBy("query_id").count().where("count = 2").count() == 23
 
 
-@pytest.mark.parametrize("small", [1000, 4, 1], ids=["items held", "queries held", "blocks"])
-def test_repeated_ids_count_once(spark, small):
+@pytest.mark.parametrize("block", [1000, 2])
+def test_repeated_ids_count_once(spark, block):
     items = [("t1", [1.0, 0.0]), ("t1", [1.0, 0.0]), ("t1", [0.0, 1.0]), ("t2", [0.9, 0.0]), ("t3", [0.8, 0.0])]
     queries = [("q", [1.0, 0.0]), ("q", [0.5, 0.0]), ("p", [0.0, 1.0])]
     q = spark.createDataFrame(queries, "query_id string, embedding array<double>").repartition(3)
     i = spark.createDataFrame(items, "item_id string, embedding array<double>").repartition(2)
-    got = nearest.top_matches(q, i, 2, small=small, block_rows=2, chunk_rows=1)
+    got = nearest.top_matches(q, i, 2, block_rows=block, chunk_rows=1)
     assert sorted(map(tuple, got.collect())) == [
         ("p", "t1", 1.0, 1), ("p", "t2", 0.0, 2), ("q", "t1", 1.0, 1), ("q", "t2", 0.9, 2)
     ]
@@ -169,8 +205,3 @@ def test_query_by_id_finds_itself(spark, small_base):
     found = search.similar_tickets(queries, topics, tickets)
     assert found.orderBy("rank").first()["id"] == "2"
     assert {r.query_id for r in found.collect()} == {"2"}
-
-
-def test_small_rows_limit(spark):
-    assert scale.small_rows(spark.range(5), 5).num_rows == 5
-    assert scale.small_rows(spark.range(6), 5) is None

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ticketloom.functions import text, wordlists
 from ticketloom.operators.columns import quoted
-from ticketloom.operators.scale import one_row_each, salted_join
+from ticketloom.operators.scale import one_row_each, salted_join, stored
 
 # Names that fit into one in-memory set per task.
 MAX_IN_SET = 50_000
@@ -37,10 +37,10 @@ def load_names(lines: DataFrame, column: str = "name") -> DataFrame:
     )
 
 
-def small_name_set(name_table: DataFrame, column: str = "name") -> list[str] | None:
-    """Names as a Python list if there are at most ``MAX_IN_SET``, else None."""
-    names = [r[0] for r in name_table.select(column).limit(MAX_IN_SET + 1).collect()]
-    return names if len(names) <= MAX_IN_SET else None
+def small_name_set(name_table: DataFrame, most: int = MAX_IN_SET, column: str = "name") -> list[str] | None:
+    """Names as a Python list if a count finds at most ``most``, else None."""
+    names = stored(name_table.select(column))
+    return [r[0] for r in names.collect()] if names.count() <= most else None
 
 
 def clean_column(
@@ -51,6 +51,7 @@ def clean_column(
     id_col: str = "id",
     output: str | None = None,
     stopwords: Iterable[str] | None = None,
+    max_in_set: int = MAX_IN_SET,
 ) -> DataFrame:
     """Cleaned, anonymised text in ``output``; NULL becomes ''.
 
@@ -59,7 +60,7 @@ def clean_column(
     either way; ``id_col`` only spreads the rows of the join and may hold nulls or repeats.
     """
     return clean_columns(
-        df, {column: output or column}, name_table, id_col=id_col, stopwords=stopwords
+        df, {column: output or column}, name_table, id_col=id_col, stopwords=stopwords, max_in_set=max_in_set
     )
 
 
@@ -70,10 +71,11 @@ def clean_columns(
     *,
     id_col: str = "id",
     stopwords: Iterable[str] | None = None,
+    max_in_set: int = MAX_IN_SET,
 ) -> DataFrame:
     """:func:`clean_column` for several columns, the name list read once."""
     dropped = set(text.stopwords() if stopwords is None else stopwords)
-    names = [] if name_table is None else small_name_set(name_table)
+    names = [] if name_table is None else small_name_set(name_table, max_in_set)
     if names is not None:
         dropped.update(names)
         return df.withColumns(

@@ -3,10 +3,8 @@
 from __future__ import annotations
 
 import sys
-from collections.abc import Iterable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -15,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ticketloom.functions import vectors
-from ticketloom.operators.scale import SMALL_ROWS, held_if_small, small_rows
+from ticketloom.operators.scale import stored
 
 # The task functions travel with the job: executors need not have this package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -39,7 +37,7 @@ def inertia(labelled: DataFrame, by: str = "system") -> DataFrame:
     Sum |x|^2 - n |mean|^2 per topic would need one pass only, but loses digits for
     tight topics far from the origin; the distance itself is summed instead.
     """
-    centroids = held_if_small(topic_centroids(labelled, (by, "topic")))
+    centroids = stored(topic_centroids(labelled, (by, "topic")))
     return (
         labelled.join(centroids, [by, "topic"])
         .withColumn("gap", vectors.squared_distance(F.col("embedding"), F.col("centroid")))
@@ -90,7 +88,7 @@ def silhouette_sq(labelled: DataFrame, by: str = "system") -> DataFrame:
         .otherwise((F.col("b") - F.col("a")) / F.greatest("a", "b"))
     )
     return (
-        labelled.join(held_if_small(sums), by)
+        labelled.join(stored(sums), by)
         .withColumn("square", square)
         .withColumn("gaps", gaps)
         .select(by, a.alias("a"), b.alias("b"))
@@ -99,36 +97,121 @@ def silhouette_sq(labelled: DataFrame, by: str = "system") -> DataFrame:
     )
 
 
-def silhouette_euclidean(
-    labelled: DataFrame, by: str = "system", small: int = SMALL_ROWS, block_rows: int = BLOCK_ROWS
-) -> DataFrame:
-    """Mean silhouette per system with plain distances.
-
-    The definition needs the distance of every two tickets of a system, so the work is
-    quadratic; :func:`silhouette_sq` is the one for large labellings. Distances are
-    summed per topic inside Arrow tasks: a block gives out one row per ticket and topic,
-    never a pair. ``labelled`` has ``id, topic, embedding`` and the system; ids are
-    unique within a system. Tickets without a topic or a vector do not count.
-    """
-    points = labelled.where(F.col("embedding").isNotNull() & F.col("topic").isNotNull()).select(
+def _points(labelled: DataFrame, by: str) -> DataFrame:
+    return labelled.where(F.col("embedding").isNotNull() & F.col("topic").isNotNull()).select(
         F.col(by).cast("string").alias("system"),
         F.col("id").cast("string").alias("id"),
         F.col("topic").cast("int").alias("topic"),
         vectors.doubles(F.col("embedding")).alias("vector"),
     )
-    result = "system string, id string, topic int, other int, total double, n long"
-    held = small_rows(points, small)
-    if held is not None:
-        partial = points.mapInArrow(_gaps_to_held(points.sparkSession, held), result)
-    else:
-        partial = _gaps_by_blocks(points, block_rows, result)
-    per_topic = partial.groupBy("system", "id", "topic", "other").agg(
-        F.sum("total").alias("total"), F.sum("n").alias("n")
+
+
+def _measured(points: DataFrame, block_rows: int) -> DataFrame:
+    """Points with the topics whose distances have to be summed for them, and how they are cut.
+
+    The mean distance of x to a topic lies between the distance to the topic's mean and the
+    root of the mean squared distance. A topic whose lower end is above the smallest upper end
+    cannot be the nearest other one. The own topic is always measured.
+    """
+    vector = array_to_vector(F.col("vector"))
+    sums = points.groupBy("system", "topic").agg(
+        Summarizer.mean(vector).alias("mean"),
+        F.avg(vectors.dot(F.col("vector"), F.col("vector"))).alias("square"),
+        F.count(F.lit(1)).alias("n"),
+    )
+    entry = F.struct("topic", vector_to_array("mean").alias("mean"), "square", "n")
+    by_system = stored(
+        sums.groupBy("system").agg(
+            F.collect_list(entry).alias("topics"), F.ceil(F.sum("n") / block_rows).cast("int").alias("n_own")
+        )
     )
+    square = vectors.dot(F.col("vector"), F.col("vector"))
+
+    def ends(t):
+        product = vectors.dot(F.col("vector"), t["mean"])
+        inner = F.greatest(F.col("_square") - 2 * product + vectors.dot(t["mean"], t["mean"]), F.lit(0.0))
+        outer = F.greatest(F.col("_square") - 2 * product + t["square"], F.lit(0.0))
+        return F.struct(
+            t["topic"].alias("topic"),
+            (t["topic"] == F.col("topic")).alias("own"),
+            F.ceil(t["n"] / block_rows).cast("int").alias("n_blocks"),
+            F.sqrt(inner).alias("low"),
+            F.sqrt(outer).alias("high"),
+        )
+
+    # What rounding can take off a difference of squares, and more.
+    slack = 1e-6 * (1 + F.sqrt("_square"))
+    near = F.array_min(F.transform(F.filter("_ends", lambda e: ~e["own"]), lambda e: e["high"]))
+    wanted = F.filter("_ends", lambda e: e["own"] | (e["low"] <= F.col("_near") + F.col("_slack")))
+    return (
+        points.join(by_system, "system")
+        .withColumn("_square", square)
+        .withColumn("_ends", F.transform("topics", ends))
+        .withColumns({"_near": near, "_slack": slack})
+        .select(
+            "system",
+            "id",
+            "topic",
+            "vector",
+            "n_own",
+            F.size("topics").alias("n_topics"),
+            F.transform(wanted, lambda e: F.struct(e["topic"].alias("topic"), e["n_blocks"].alias("n_blocks"))).alias("wanted"),
+        )
+    )
+
+
+def silhouette_work(labelled: DataFrame, by: str = "system") -> DataFrame:
+    """How many (ticket, topic) sums of distances are measured, and of how many: ``system, measured, pairs``."""
+    return (
+        _measured(_points(labelled, by), BLOCK_ROWS)
+        .groupBy(F.col("system").alias(by))
+        .agg(F.sum(F.size("wanted")).alias("measured"), F.sum("n_topics").cast("long").alias("pairs"))
+    )
+
+
+def silhouette_euclidean(labelled: DataFrame, by: str = "system", block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """Mean silhouette per system with plain distances.
+
+    The definition needs the distances of a ticket to all tickets of its own and of the nearest
+    other topic; topics that bounds show to be farther are not measured. Distances are summed
+    inside Arrow tasks, a block of tickets against a block of a topic: a task gives out one row
+    per ticket, never a pair. ``labelled`` has ``id, topic, embedding`` and the system; ids are
+    unique within a system. Tickets without a topic or a vector do not count.
+    """
+    points = _points(labelled, by)
+    placed = stored(_measured(points, block_rows))
+    block = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+    upto = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = (
+        placed.select("system", "id", "topic", "vector", block("n_own").alias("i"), F.explode("wanted").alias("_w"))
+        .select("system", "id", "topic", "vector", "i", F.col("_w.topic").alias("other"), F.col("_w.n_blocks").alias("n"))
+        .select("system", "id", "topic", "vector", "i", "other", upto("n").alias("j"))
+    )
+    # New names for the other side: both sides are the same table.
+    own = F.filter("wanted", lambda w: w["topic"] == F.col("topic"))[0]["n_blocks"]
+    right = (
+        placed.select(
+            F.col("system").alias("system"), F.col("id").alias("id"), F.col("topic").alias("other"),
+            F.col("vector").alias("vector"), "n_own", own.alias("n"),
+        )
+        .withColumn("j", block("n"))
+        .select("system", "id", "other", "vector", "j", upto("n_own").alias("i"))
+    )
+
+    def measure(ours: pa.Table, theirs: pa.Table) -> pa.Table:
+        if not ours.num_rows or not theirs.num_rows:
+            return _GAPS.empty_table()
+        return _gap_sums(ours, theirs)
+
+    keys = ["system", "other", "i", "j"]
+    partial = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(
+        measure, "system string, id string, topic int, other int, total double, n long"
+    )
+    per_topic = partial.groupBy("system", "id", "topic", "other").agg(F.sum("total").alias("total"), F.sum("n").alias("n"))
     mean = F.when(F.col("n") > 0, F.col("total") / F.col("n"))
-    own = F.col("topic") == F.col("other")
+    same = F.col("topic") == F.col("other")
     sides = per_topic.groupBy("system", "id").agg(
-        F.max(F.when(own, mean)).alias("a"), F.min(F.when(~own, mean)).alias("b")
+        F.max(F.when(same, mean)).alias("a"), F.min(F.when(~same, mean)).alias("b")
     )
     undefined = F.col("a").isNull() | F.col("b").isNull() | (F.greatest("a", "b") == 0)
     score = F.when(undefined, F.lit(0.0)).otherwise((F.col("b") - F.col("a")) / F.greatest("a", "b"))
@@ -137,81 +220,29 @@ def silhouette_euclidean(
     )
 
 
-def _gap_sums(left: pa.Table | pa.RecordBatch, right: pa.Table) -> pd.DataFrame:
-    """Summed distances of every left ticket to the right tickets of each topic."""
-    ours, theirs = ({c: t.column(c) for c in ("system", "id", "topic", "vector")} for t in (left, right))
-    ours, theirs = (
-        {c: v.combine_chunks() if isinstance(v, pa.ChunkedArray) else v for c, v in side.items()}
-        for side in (ours, theirs)
-    )
-    parts = []
-    matrices = [
-        side["vector"].flatten().to_numpy(zero_copy_only=False).reshape(len(side["id"]), -1)
-        for side in (ours, theirs)
-    ]
-    frames = [
-        pd.DataFrame({c: side[c].to_pandas() for c in ("system", "id", "topic")}) for side in (ours, theirs)
-    ]
-    for (system, topic), others in frames[1].groupby(["system", "topic"]):
-        mine = frames[0].index[frames[0]["system"] == system].to_numpy()
-        if len(mine) == 0:
-            continue
-        b = matrices[1][others.index.to_numpy()]
-        step = max(1, 4_000_000 // len(b))
-        for start in range(0, len(mine), step):
-            rows = mine[start : start + step]
-            a = matrices[0][rows]
-            squares = (a * a).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2 * (a @ b.T)
-            gaps = np.sqrt(np.maximum(squares, 0))
-            same = frames[0]["id"].to_numpy()[rows][:, None] == others["id"].to_numpy()[None, :]
-            gaps[same] = 0
-            block = frames[0].loc[rows].copy()
-            block["other"] = topic
-            block["total"] = gaps.sum(1)
-            block["n"] = (~same).sum(1)
-            parts.append(block)
-    return pd.concat(parts) if parts else pd.DataFrame()
-
-
-def _gap_schema() -> pa.Schema:
-    return pa.schema(
-        [("system", pa.string()), ("id", pa.string()), ("topic", pa.int32()), ("other", pa.int32()),
-         ("total", pa.float64()), ("n", pa.int64())]
-    )
-
-
-def _gaps_to_held(spark, held: pa.Table):
-    shared = spark.sparkContext.broadcast(held)
-
-    def measure(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sums = _gap_sums(batch, shared.value) if batch.num_rows else pd.DataFrame()
-            if len(sums):
-                yield from pa.Table.from_pandas(sums, schema=_gap_schema(), preserve_index=False).to_batches()
-
-    return measure
-
-
-def _gaps_by_blocks(points: DataFrame, block_rows: int, result: str) -> DataFrame:
-    """Every block of a system's tickets meets every other one in a task of its own."""
-    blocks = points.groupBy("system").agg(
-        F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias("n_blocks")
-    )
-    placed = points.join(held_if_small(blocks), "system").withColumn(
-        "own", F.pmod(F.xxhash64("id"), F.col("n_blocks")).cast("int")
-    )
-    every = F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1))
-    columns = ["system", "id", "topic", "vector"]
-    left = placed.select(*columns, F.col("own").alias("i"), every.alias("j"))
-    # New names for the other side: both sides are the same table.
-    renamed = [F.col(c).alias(c) for c in columns]
-    right = placed.select(*renamed, F.col("own").alias("j"), every.alias("i"))
+_GAPS = pa.schema(
+    [("system", pa.string()), ("id", pa.string()), ("topic", pa.int32()), ("other", pa.int32()),
+     ("total", pa.float64()), ("n", pa.int64())]
+)
 
-    def measure(ours: pa.Table, theirs: pa.Table) -> pa.Table:
-        sums = _gap_sums(ours, theirs) if ours.num_rows and theirs.num_rows else pd.DataFrame()
-        if not len(sums):
-            return _gap_schema().empty_table()
-        return pa.Table.from_pandas(sums, schema=_gap_schema(), preserve_index=False)
 
-    keys = ["system", "i", "j"]
-    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(measure, result)
+def _gap_sums(ours: pa.Table, theirs: pa.Table) -> pa.Table:
+    """Summed distances of our tickets to theirs, all of one topic; a ticket has none to itself."""
+    a, b = (
+        t.column("vector").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(t.num_rows, -1)
+        for t in (ours, theirs)
+    )
+    places = {ticket: i for i, ticket in enumerate(theirs.column("id").to_pylist())}
+    itself = np.array([places.get(ticket, -1) for ticket in ours.column("id").to_pylist()])
+    total = np.zeros(len(a))
+    step = max(1, 4_000_000 // len(b))
+    for start in range(0, len(a), step):
+        part = a[start : start + step]
+        squares = (part * part).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2 * (part @ b.T)
+        gaps = np.sqrt(np.maximum(squares, 0))
+        held = np.flatnonzero(itself[start : start + step] >= 0)
+        gaps[held, itself[start + held]] = 0
+        total[start : start + step] = gaps.sum(1)
+    counts = len(b) - (itself >= 0)
+    columns = [ours.column(c).combine_chunks() for c in ("system", "id", "topic", "other")]
+    return pa.Table.from_arrays([*columns, pa.array(total), pa.array(counts.astype(np.int64))], schema=_GAPS)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ticketloom.functions import keys, times
 from ticketloom.operators.columns import quoted
-from ticketloom.operators.scale import held_if_small
+from ticketloom.operators.scale import stored
 
 
 def tickets_per_topic(assignments: DataFrame) -> DataFrame:
@@ -23,7 +23,7 @@ def large_enough(df: DataFrame, minimum: int, by: str = "system") -> DataFrame:
     window count would bring every row of a system into one task.
     """
     passing = df.groupBy(by).count().where(F.col("count") >= minimum).select(by)
-    return df.join(held_if_small(passing), by, "left_semi")
+    return df.join(stored(passing), by, "left_semi")
 
 
 def topic_spine(systems: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ticketloom.functions.text import words
 from ticketloom.functions.vectors import round4
-from ticketloom.operators.scale import held_if_small, one_row_each, salted_join, stored
+from ticketloom.operators.scale import one_row_each, salted_join, stored
 
 
 def term_directory(weights: DataFrame) -> DataFrame:
@@ -31,7 +31,7 @@ def term_directory(weights: DataFrame) -> DataFrame:
     idf = F.log1p(F.col("mean_words") / F.col("f"))
     share = F.struct("topic", (idf * F.col("weight") / F.col("norm")).alias("share"))
     per_word = (
-        weights.join(held_if_small(norms.join(scale, "system")), ["system", "topic"])
+        weights.join(stored(norms.join(scale, "system")), ["system", "topic"])
         .groupBy("system", "term")
         .agg(
             F.max(idf).alias("idf"),

@@ -19,7 +19,7 @@ from pyspark.util import inheritable_thread_target
 from ticketloom import names
 from ticketloom.functions.text import words
 from ticketloom.operators import clusters
-from ticketloom.operators.scale import held_if_small
+from ticketloom.operators.scale import stored
 
 GRID_COMPONENTS = (5, 10, 15)
 GRID_METRICS = ("cosine", "euclidean")
@@ -95,7 +95,7 @@ def renumbered(clustered: DataFrame, label: str = "prediction") -> DataFrame:
     sizes = clustered.groupBy(label).agg(F.count(F.lit(1)).alias("n"))
     order = Window.orderBy(F.col("n").desc(), F.col(label))
     numbers = sizes.select(label, (F.row_number().over(order) - 1).cast("int").alias("topic"))
-    return clustered.join(held_if_small(numbers), label).drop(label)
+    return clustered.join(stored(numbers), label).drop(label)
 
 
 @dataclass(frozen=True)

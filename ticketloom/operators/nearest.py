@@ -1,20 +1,20 @@
 """Exact top-k by inner product between two tables of vectors.
 
-Scores are computed block by block as matrix products inside Arrow tasks, and a block
-only ever gives out its k best per query. The way the blocks are formed depends on the
-measured size of the two sides; the result does not.
+Both sides are cut into blocks, whatever their size, and every block of items meets every
+chunk of queries in a task of its own. There the block is parted into cells of vectors that
+are alike, each with a bound on the score of any of its members:
 
-* few items: the items go to every task and queries are read in place;
-* few queries: the queries go to every task and items are read in place;
-* neither: both sides are cut into blocks and every pair of blocks meets in one task.
+* plain vectors: a cell has a centre c and a radius r, and q.x <= q.c + |q| r;
+* sparse vectors, ``array<struct<slot, weight>>`` without negative weights: a cell has the
+  largest weight of each slot, and q.x is at most the product with those.
 
-In each case the k best per query of every task are merged at the end.
+A query visits cells by falling bound and leaves the rest out as soon as the bound falls
+below its k-th score. Only the k best per query of a block leave the task.
 """
 
 from __future__ import annotations
 
 import sys
-from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -22,8 +22,9 @@ import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ticketloom.operators.scale import SMALL_ROWS, held_if_small, small_rows, top_per_group
+from ticketloom.operators.scale import salted_join, stored, top_per_group
 
 # The task functions travel with the job: executors need not have this package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -31,101 +32,151 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 DECIMALS = 6
 BLOCK_ROWS = 32_768
 CHUNK_ROWS = 4_096
-_TILE_CELLS = 4_000_000
+SPARSE_SHARE = 8  # a sparse block has fewer rows by this: its vectors are longer
+CELL_ROWS = 256
+TILE_QUERIES = 256
 
 
-def _matrix(vectors: pa.ChunkedArray | pa.Array) -> np.ndarray:
+def _matrix(vectors: pa.Array) -> np.ndarray:
     """Rows of a list column as one matrix."""
-    if isinstance(vectors, pa.ChunkedArray):
-        vectors = vectors.combine_chunks()
     if len(vectors) == 0:
         return np.zeros((0, 0))
     flat = vectors.flatten().to_numpy(zero_copy_only=False)
     return flat.astype(np.float64).reshape(len(vectors), -1)
 
 
-def _members(groups: pa.Array) -> dict[str, np.ndarray]:
-    """Row numbers per group of a column of group lists."""
-    if isinstance(groups, pa.ChunkedArray):
-        groups = groups.combine_chunks()
-    pairs = pd.DataFrame(
-        {"row": groups.value_parent_indices().to_numpy(), "group": groups.flatten().to_pandas()}
-    ).drop_duplicates()
-    return {g: rows.to_numpy() for g, rows in pairs.groupby("group")["row"]}
-
-
-def _block_best(
-    queries: np.ndarray, items: np.ndarray, ids: np.ndarray, k: int
-) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """k best ids per query row: (query rows, ids, scores).
-
-    Columns are put in id order and those of one id become one, with its best score,
-    before anything is cut. All that reach the k-th score of a query are gathered, and
-    equal scores are decided by id. An item whose score is not a number is not ranked.
+class Plain:
+    """Vectors of one length."""
+
+    def __init__(self, vectors: pa.Array):
+        self.rows = _matrix(vectors)
+
+    def cells(self, n: int) -> np.ndarray:
+        """A cell for every row: the nearest of n rows taken at even steps."""
+        pivots = self.rows[np.linspace(0, len(self.rows) - 1, n).astype(np.int64)]
+        gaps = np.nan_to_num((pivots * pivots).sum(1) / 2 - self.rows @ pivots.T, nan=np.inf)
+        return gaps.argmin(axis=1)
+
+    def bounds(self, queries: Plain, cells: list[np.ndarray]) -> np.ndarray:
+        """For each query and cell, what no score of a member exceeds."""
+        centres = np.stack([self.rows[c].mean(axis=0) for c in cells])
+        radii = np.array([np.sqrt(((self.rows[c] - m) ** 2).sum(1)).max() for c, m in zip(cells, centres)])
+        lengths = np.sqrt((queries.rows * queries.rows).sum(1))
+        found = queries.rows @ centres.T + lengths[:, None] * radii[None, :]
+        return np.where(np.isnan(found), np.inf, found)
+
+    def scores(self, queries: Plain, asking: np.ndarray, members: np.ndarray) -> np.ndarray:
+        return queries.rows[asking] @ self.rows[members].T
+
+
+class Sparse:
+    """Vectors as lists of slots and their weights."""
+
+    def __init__(self, vectors: pa.Array):
+        entries = vectors.flatten()
+        self.slots = entries.field("slot").to_numpy(zero_copy_only=False).astype(np.int64)
+        self.weights = entries.field("weight").to_numpy(zero_copy_only=False).astype(np.float64)
+        self.ends = np.concatenate(([0], np.cumsum(vectors.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64))))
+
+    def cells(self, n: int) -> np.ndarray:
+        """Runs of equal length in the order of the heaviest slot."""
+        heaviest = np.full(len(self.ends) - 1, -1)
+        for row, (start, end) in enumerate(zip(self.ends[:-1], self.ends[1:])):
+            if end > start:
+                heaviest[row] = self.slots[start + self.weights[start:end].argmax()]
+        cells = np.empty(len(heaviest), np.int64)
+        cells[np.argsort(heaviest, kind="stable")] = np.arange(len(heaviest)) * n // max(len(heaviest), 1)
+        return cells
+
+    def taken(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Row number among those asked for, slot and weight of every entry."""
+        sizes = self.ends[rows + 1] - self.ends[rows]
+        of = np.repeat(np.arange(len(rows)), sizes)
+        at = np.arange(len(of)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + np.repeat(self.ends[rows], sizes)
+        return of, self.slots[at], self.weights[at]
+
+    def bounds(self, queries: Sparse, cells: list[np.ndarray]) -> np.ndarray:
+        of, slots, weights = (np.concatenate(p) for p in zip(*(_largest(*self.taken(c), i) for i, c in enumerate(cells))))
+        every = np.arange(len(queries.ends) - 1)
+        tiles = [every[at : at + TILE_QUERIES] for at in range(0, len(every), TILE_QUERIES)]
+        return np.concatenate([_product(queries.taken(t), len(t), (of, slots, weights), len(cells)) for t in tiles])
+
+    def scores(self, queries: Sparse, asking: np.ndarray, members: np.ndarray) -> np.ndarray:
+        return _product(queries.taken(asking), len(asking), self.taken(members), len(members))
+
+
+def _largest(of: np.ndarray, slots: np.ndarray, weights: np.ndarray, cell: int) -> tuple[np.ndarray, ...]:
+    known, place = np.unique(slots, return_inverse=True)
+    most = np.zeros(len(known))
+    np.maximum.at(most, place, weights)
+    return np.full(len(known), cell), known, most
+
+
+def _product(left: tuple, n_left: int, right: tuple, n_right: int) -> np.ndarray:
+    """Products of sparse rows, through the slots that both sides have."""
+    shared = np.intersect1d(left[1], right[1])
+    dense = []
+    for (of, slots, weights), n in ((left, n_left), (right, n_right)):
+        column = np.searchsorted(shared, slots)
+        column[column == len(shared)] = 0
+        held = shared[column] == slots if len(shared) else np.zeros(len(slots), bool)
+        table = np.zeros((n, len(shared)))
+        table[of[held], column[held]] = weights[held]
+        dense.append(table)
+    return dense[0] @ dense[1].T
+
+
+def _block_best(queries, items, ids: np.ndarray, k: int) -> tuple[tuple[np.ndarray, ...], int, int]:
+    """k best ids per query row (query rows, ids, scores), how many cells were read, and of how many.
+
+    Rows that carry one id stand together and count as one item, with its best score. Scores
+    are compared at six decimals and equal ones are decided by id; they are given out whole.
+    An item whose score is not a number is not ranked.
     """
+    n_queries = len(queries.rows) if isinstance(queries, Plain) else len(queries.ends) - 1
     by_id = np.argsort(ids, kind="stable")
-    ids, items = ids[by_id], items[by_id]
-    firsts = np.flatnonzero(np.concatenate(([True], ids[1:] != ids[:-1]))) if len(ids) else np.zeros(0, np.int64)
-    n = len(firsts)
-    k = min(k, n)
-    if k == 0 or len(queries) == 0:
-        return np.zeros(0, dtype=np.int64), ids[:0], np.zeros(0)
-    found = []
-    step = max(1, _TILE_CELLS // len(items))
-    for start in range(0, len(queries), step):
-        scores = np.round(queries[start : start + step] @ items.T, DECIMALS) + 0.0
-        scores[np.isnan(scores)] = -np.inf
-        if n < len(items):
-            scores = np.maximum.reduceat(scores, firsts, axis=1)
-        least = np.partition(scores, n - k, axis=1)[:, n - k]
-        rows, cols = np.nonzero((scores >= least[:, None]) & (scores > -np.inf))
-        values = scores[rows, cols]
-        order = np.lexsort((cols, -values, rows))
-        rows, cols, values = rows[order], cols[order], values[order]
-        held = np.bincount(rows, minlength=len(scores))
-        place = np.arange(len(rows)) - np.repeat(np.cumsum(held) - held, held)
-        best = place < k
-        found.append((rows[best] + start, ids[firsts[cols[best]]], values[best]))
-    return tuple(np.concatenate(part) for part in zip(*found))
-
-
-def _pruned(found: list[pd.DataFrame], k: int) -> pd.DataFrame:
-    """k best per query of what was found so far; an item counts once."""
-    merged = pd.concat(found, ignore_index=True) if found else pd.DataFrame(
-        {"query_id": [], "item_id": [], "score": []}
-    )
-    ordered = merged.sort_values(
-        ["query_id", "score", "item_id"], ascending=[True, False, True]
-    ).drop_duplicates(["query_id", "item_id"])
-    best = ordered.groupby("query_id", sort=False).head(k).copy()
-    best["rank"] = best.groupby("query_id", sort=False).cumcount() + 1
-    return best
-
-
-def _pairs_best(queries, items, k: int, grouped: bool) -> pd.DataFrame:
-    """k best items of one table of items for every query of another."""
-    query_ids = queries.column("query_id").to_pandas().to_numpy()
-    item_ids = items.column("item_id").to_pandas().to_numpy()
-    query_vectors = _matrix(queries.column("query_vector"))
-    item_vectors = _matrix(items.column("item_vector"))
-    found = []
-    if grouped:
-        askers = _members(queries.column("query_groups"))
-        for group, rows in _members(items.column("item_groups")).items():
-            if group in askers:
-                found.append((askers[group], rows))
-    else:
-        found.append((np.arange(len(query_ids)), np.arange(len(item_ids))))
-    parts = []
-    for asking, rows in found:
-        q, best, score = _block_best(query_vectors[asking], item_vectors[rows], item_ids[rows], k)
-        parts.append(pd.DataFrame({"query_id": query_ids[asking][q], "item_id": best, "score": score}))
-    return _pruned(parts, k)
-
-
-def _batches(frame: pd.DataFrame, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
-    if len(frame):
-        yield from pa.Table.from_pandas(frame, schema=schema, preserve_index=False).to_batches()
+    heads = np.flatnonzero(np.concatenate(([True], ids[by_id][1:] != ids[by_id][:-1]))) if len(ids) else by_id
+    if k == 0 or not n_queries or not len(ids):
+        return (np.zeros(0, np.int64), ids[:0], np.zeros(0)), 0, 0
+    cell_of_head = items.cells(-(-len(ids) // CELL_ROWS))[by_id[heads]]
+    cell_of = np.repeat(cell_of_head, np.diff(np.append(heads, len(ids))))
+    members = [np.flatnonzero(cell_of == c) for c in np.unique(cell_of)]  # places in the order of ids
+    bounds = items.bounds(queries, [by_id[m] for m in members])
+    order = np.argsort(-bounds, axis=1, kind="stable")
+    least = np.full((n_queries, k), -np.inf)  # the best scores so far, rounded, falling
+    found, read = [], 0
+    for turn in range(len(members)):
+        cell = order[:, turn]
+        open_ = np.flatnonzero(bounds[np.arange(n_queries), cell] >= least[:, -1] - 10.0**-DECIMALS)
+        if not len(open_):
+            break
+        for c in np.unique(cell[open_]):
+            asking = open_[cell[open_] == c]
+            own = members[c]
+            for at in range(0, len(asking), TILE_QUERIES):
+                tile = asking[at : at + TILE_QUERIES]
+                scores = items.scores(queries, tile, by_id[own])
+                scores[np.isnan(scores)] = -np.inf
+                firsts = np.flatnonzero(np.concatenate(([True], ids[by_id[own]][1:] != ids[by_id[own]][:-1])))
+                if len(firsts) < len(own):
+                    scores = np.maximum.reduceat(scores, firsts, axis=1)
+                rounded = np.round(scores, DECIMALS) + 0.0
+                both = np.concatenate((least[tile], rounded), axis=1)
+                least[tile] = -np.sort(-both, axis=1)[:, :k] if both.shape[1] <= 2 * k else -np.sort(
+                    np.partition(-both, k - 1, axis=1)[:, :k], axis=1
+                )
+                rows, columns = np.nonzero((rounded >= least[tile, -1:]) & (rounded > -np.inf))
+                found.append((tile[rows], own[firsts[columns]], scores[rows, columns]))
+            read += len(asking)
+    row, place, score = (np.concatenate(p) for p in zip(*found))
+    rounded = np.round(score, DECIMALS) + 0.0
+    kept = rounded >= least[row, -1]
+    row, place, score, rounded = row[kept], place[kept], score[kept], rounded[kept]
+    falling = np.lexsort((place, -rounded, row))
+    row, place, score = row[falling], place[falling], score[falling]
+    held = np.bincount(row, minlength=n_queries)
+    best = np.arange(len(row)) - np.repeat(np.cumsum(held) - held, held) < k
+    return (row[best], ids[by_id[place[best]]], score[best]), read, n_queries * len(members)
 
 
 def _sides(df: DataFrame, id_col: str, side: str, grouped: bool) -> DataFrame:
@@ -136,6 +187,18 @@ def _sides(df: DataFrame, id_col: str, side: str, grouped: bool) -> DataFrame:
     )
 
 
+def _one(column: pa.ChunkedArray) -> pa.Array:
+    return column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+
+
+def _searched(queries: pa.Table, items: pa.Table, k: int) -> tuple[tuple[np.ndarray, ...], int, int]:
+    vectors = _one(items.column("item_vector"))
+    form = Sparse if pa.types.is_struct(vectors.type.value_type) else Plain
+    return _block_best(
+        form(_one(queries.column("query_vector"))), form(vectors), items.column("item_id").to_pandas().to_numpy(), k
+    )
+
+
 def top_matches(
     queries: DataFrame,
     items: DataFrame,
@@ -144,123 +207,108 @@ def top_matches(
     query_id: str = "query_id",
     item_id: str = "item_id",
     grouped: bool = False,
-    small: int = SMALL_ROWS,
     block_rows: int = BLOCK_ROWS,
     chunk_rows: int = CHUNK_ROWS,
 ) -> DataFrame:
     """k best items for every query: ``query_id, item_id, score, rank``.
 
-    Both tables have their id and ``embedding``. With ``grouped`` they also have
-    ``groups``, an array, and an item is eligible if it shares a group with the query.
-    Scores have six decimals; equal scores are ordered by id. An item or query id that
-    several rows carry is one item or query, with the best score of its rows.
+    Both tables have their id and ``embedding``, plain or sparse. With ``grouped`` they also
+    have ``groups``, an array, and an item is eligible if it shares a group with the query.
+    Scores are whole; those that agree to six decimals are ordered by id. An item or query id
+    that several rows carry is one item or query, with the best score of its rows.
     """
     asked = _sides(queries, query_id, "query", grouped)
     offered = _sides(items, item_id, "item", grouped)
     id_types = (asked.schema["query_id"].dataType, offered.schema["item_id"].dataType)
-    result = f"query_id {id_types[0].simpleString()}, item_id {id_types[1].simpleString()}, score double, rank int"
+    result = f"query_id {id_types[0].simpleString()}, item_id {id_types[1].simpleString()}, score double"
 
-    held = small_rows(offered, small)
-    if held is not None:
-        partial = asked.mapInArrow(_with_held_items(asked.sparkSession, held, k, grouped), result)
-    else:
-        held = small_rows(asked, small)
-        if held is not None:
-            partial = offered.mapInArrow(_with_held_queries(asked.sparkSession, held, k, grouped), result)
-        else:
-            partial = _block_pairs(asked, offered, k, grouped, block_rows, chunk_rows, result)
-    # One shuffle by query serves both steps; every task gives out k rows per query at most.
+    def search(queries: pa.Table, items: pa.Table) -> pa.Table:
+        schema = pa.schema(
+            [
+                ("query_id", queries.schema.field("query_id").type),
+                ("item_id", items.schema.field("item_id").type),
+                ("score", pa.float64()),
+            ]
+        )
+        if queries.num_rows == 0 or items.num_rows == 0:
+            return schema.empty_table()
+        (row, item, score), _, _ = _searched(queries, items, k)
+        ids = queries.column("query_id").to_pandas().to_numpy()[row]
+        frame = pd.DataFrame({"query_id": ids, "item_id": item, "score": score})
+        return pa.Table.from_pandas(frame, schema=schema, preserve_index=False)
+
+    partial = _block_pairs(asked, offered, grouped, block_rows, chunk_rows).applyInArrow(search, result)
+    # One shuffle by query serves both steps; a query has k rows for each block it met.
     best = partial.repartition("query_id").groupBy("query_id", "item_id").agg(F.max("score").alias("score"))
-    ranked = top_per_group(best, ["query_id"], [F.col("score").desc(), F.col("item_id")], k)
+    ranked = top_per_group(best, ["query_id"], [F.round("score", DECIMALS).desc(), F.col("item_id")], k)
     return ranked.select(
         F.col("query_id").alias(query_id), F.col("item_id").alias(item_id), "score", "rank"
     )
 
 
-def _schema(queries: pa.Table | pa.RecordBatch, items: pa.Table | pa.RecordBatch) -> pa.Schema:
-    return pa.schema(
-        [
-            ("query_id", queries.schema.field("query_id").type),
-            ("item_id", items.schema.field("item_id").type),
-            ("score", pa.float64()),
-            ("rank", pa.int32()),
-        ]
-    )
-
-
-def _with_held_items(spark, held: pa.Table, k: int, grouped: bool):
-    items = spark.sparkContext.broadcast(held)
-
-    def search(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for queries in batches:
-            best = _pairs_best(queries, items.value, k, grouped)
-            yield from _batches(best, _schema(queries, items.value))
-
-    return search
-
-
-def _with_held_queries(spark, held: pa.Table, k: int, grouped: bool):
-    queries = spark.sparkContext.broadcast(held)
+def cells_read(
+    queries: DataFrame,
+    items: DataFrame,
+    k: int,
+    *,
+    query_id: str = "query_id",
+    item_id: str = "item_id",
+    block_rows: int = BLOCK_ROWS,
+    chunk_rows: int = CHUNK_ROWS,
+) -> DataFrame:
+    """How many pairs of query and cell a search reads, and how many there are: ``read, pairs``."""
+    asked, offered = _sides(queries, query_id, "query", False), _sides(items, item_id, "item", False)
 
-    def search(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found, rows, schema = [], 0, None
-        most = 8 * k * queries.value.num_rows + 100_000
-        for items in batches:
-            best = _pairs_best(queries.value, items, k, grouped)
-            schema = _schema(queries.value, items)
-            found.append(best)
-            rows += len(best)
-            if rows > most:
-                found = [_pruned(found, k)]
-                rows = len(found[0])
-        if schema is not None:
-            yield from _batches(_pruned(found, k), schema)
+    def count(queries: pa.Table, items: pa.Table) -> pa.Table:
+        both = queries.num_rows and items.num_rows
+        _, read, pairs = _searched(queries, items, k) if both else ((), 0, 0)
+        return pa.table({"read": pa.array([read], pa.int64()), "pairs": pa.array([pairs], pa.int64())})
 
-    return search
+    counted = _block_pairs(asked, offered, False, block_rows, chunk_rows).applyInArrow(count, "read long, pairs long")
+    return counted.agg(F.sum("read").alias("read"), F.sum("pairs").alias("pairs"))
 
 
-def _block_pairs(
-    asked: DataFrame, offered: DataFrame, k: int, grouped: bool, block_rows: int, chunk_rows: int, result: str
-) -> DataFrame:
-    """Every block of items meets every chunk of queries of the same group.
+def _block_pairs(asked: DataFrame, offered: DataFrame, grouped: bool, block_rows: int, chunk_rows: int):
+    """Every block of items next to every chunk of queries of the same group.
 
     A group's number of blocks and chunks follows from its counted size, so a group
     that holds a third of all items is cut into as many tasks as it needs and a task
     holds about ``block_rows`` vectors.
     """
+    vector = offered.schema["item_vector"].dataType
+    if isinstance(vector, T.ArrayType) and isinstance(vector.elementType, T.StructType):
+        block_rows, chunk_rows = max(1, block_rows // SPARSE_SHARE), max(1, chunk_rows // SPARSE_SHARE)
+    parts = lambda n, rows: F.greatest(F.ceil(n / rows), F.lit(1)).cast("int")
+    upto = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     if grouped:
         asked = asked.withColumn("group", F.explode(F.array_distinct("query_groups"))).drop("query_groups")
         offered = offered.withColumn("group", F.explode(F.array_distinct("item_groups"))).drop("item_groups")
+        counts = offered.groupBy("group").agg(F.count(F.lit(1)).alias("n_items"))
+        counts = counts.join(asked.groupBy("group").agg(F.count(F.lit(1)).alias("n_queries")), "group")
+        plan = stored(
+            counts.select(
+                "group", "n_items", "n_queries",
+                parts(F.col("n_items"), block_rows).alias("n_blocks"),
+                parts(F.col("n_queries"), chunk_rows).alias("n_chunks"),
+            )
+        )
+        sizes = ["group", "n_blocks", "n_chunks"]
+        asked = salted_join(asked, plan.select(*sizes, "n_queries"), ["group"], "n_queries", ["query_id"])
+        offered = salted_join(offered, plan.select(*sizes, "n_items"), ["group"], "n_items", ["item_id"])
     else:
-        asked = asked.withColumn("group", F.lit("all"))
-        offered = offered.withColumn("group", F.lit("all"))
-    blocks = offered.groupBy("group").agg(
-        F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias("n_blocks")
-    )
-    chunks = asked.groupBy("group").agg(
-        F.ceil(F.count(F.lit(1)) / chunk_rows).cast("int").alias("n_chunks")
-    )
-    plan = held_if_small(blocks.join(chunks, "group"))
-    upto = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+        n_items, n_queries = offered.count(), asked.count()
+        for name, n, rows in (("n_blocks", n_items, block_rows), ("n_chunks", n_queries, chunk_rows)):
+            asked, offered = (side.withColumn(name, parts(F.lit(n), rows)) for side in (asked, offered))
+        asked, offered = (side.withColumn("group", F.lit("all")) for side in (asked, offered))
     asked = (
-        asked.join(plan, "group")
-        .withColumn("chunk", F.pmod(F.xxhash64("query_id"), F.col("n_chunks")).cast("int"))
+        asked.withColumn("chunk", F.pmod(F.xxhash64("query_id"), F.col("n_chunks")).cast("int"))
         .withColumn("block", upto("n_blocks"))
         .drop("n_blocks", "n_chunks")
     )
     offered = (
-        offered.join(plan, "group")
-        .withColumn("block", F.pmod(F.xxhash64("item_id"), F.col("n_blocks")).cast("int"))
+        offered.withColumn("block", F.pmod(F.xxhash64("item_id"), F.col("n_blocks")).cast("int"))
         .withColumn("chunk", upto("n_chunks"))
         .drop("n_blocks", "n_chunks")
     )
-
-    def search(queries: pa.Table, items: pa.Table) -> pa.Table:
-        schema = _schema(queries, items)
-        if queries.num_rows == 0 or items.num_rows == 0:
-            return schema.empty_table()
-        best = _pairs_best(queries, items, k, False)
-        return pa.Table.from_pandas(best, schema=schema, preserve_index=False)
-
     keys = ["group", "block", "chunk"]
-    return asked.groupBy(*keys).cogroup(offered.groupBy(*keys)).applyInArrow(search, result)
+    return asked.groupBy(*keys).cogroup(offered.groupBy(*keys))

@@ -11,9 +11,6 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Rows and bytes a side may have to be handed to every task.
-SMALL_ROWS = 20_000
-SMALL_BYTES = 128 * 1024 * 1024
 # A key is hot when it holds more than 1/HOT_SHARES of all rows, so there are
 # never more than HOT_SHARES hot keys, whatever the data.
 HOT_SHARES = 4_000
@@ -47,31 +44,6 @@ def one_row_each(
     return flat.where(F.col(name).isNotNull())
 
 
-def small_rows(df: DataFrame, limit: int = SMALL_ROWS):
-    """The rows of a side as an Arrow table if they are few and light, else None."""
-    table = df.limit(limit + 1).toArrow()
-    return table if table.num_rows <= limit and table.nbytes <= SMALL_BYTES else None
-
-
-def held_if_small(df: DataFrame, limit: int = SMALL_ROWS) -> DataFrame:
-    """The side as a broadcast table if it turns out small, else as it is.
-
-    For sides with a row per topic or system. Joined by key with one row per ticket they
-    would otherwise be shuffled, and a key that holds a third of all tickets would end
-    in one task. Past the limit Spark joins the two sides by its own statistics.
-    """
-    table = small_rows(df, limit)
-    if table is None:
-        return df
-    return F.broadcast(df.sparkSession.createDataFrame(table, df.schema))
-
-
-def computed_if_small(df: DataFrame, limit: int = SMALL_ROWS) -> DataFrame:
-    """A result several branches use, computed once here if it turns out small."""
-    table = small_rows(df, limit)
-    return df if table is None else df.sparkSession.createDataFrame(table, df.schema)
-
-
 def salted_join(
     rows: DataFrame,
     lookup: DataFrame,
@@ -140,9 +112,10 @@ def shared_folder(spark: SparkSession) -> str:
 def stored(df: DataFrame) -> DataFrame:
     """The table written once to the shared folder and read back.
 
-    For a table several branches of a plan use: it is computed once, its lineage ends
-    here, a lost executor costs no recomputation of what led to it, and Spark knows its
-    true size when it picks join strategies.
+    For a table several branches of a plan use, and for the lesser side of a join (one row
+    per topic or system): it is computed once, its lineage ends here, a lost executor costs
+    no recomputation of what led to it, and Spark picks the join by its true size, so that
+    a small side is broadcast and a large one is not.
     """
     folder = shared_folder(df.sparkSession)
     df.write.parquet(folder)

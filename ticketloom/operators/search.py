@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ticketloom import names
 from ticketloom.operators.columns import same_system, team_contains
-from ticketloom.operators.nearest import top_matches
+from ticketloom.operators.nearest import DECIMALS, top_matches
 from ticketloom.operators.scale import stored
 
 
@@ -31,6 +31,11 @@ def _system_wanted(queries: DataFrame) -> Column:
     return F.nullif(_wanted(queries, "system_filter"), F.lit(names.ALL_SYSTEMS))
 
 
+def falling(score: str) -> Column:
+    """The order of scores: those that agree to six decimals are ties; rules compare them whole."""
+    return F.round(score, DECIMALS).desc()
+
+
 def _rank(order: list[Column]) -> Column:
     return F.row_number().over(Window.partitionBy("query_id").orderBy(*order))
 
@@ -112,7 +117,7 @@ def detected_system(
     are counted through their distinct tag lists, of which there are few, so no (query,
     ticket) pair is ever formed.
     """
-    best = F.max_by("system", F.struct(F.col("topic_score"), -F.col("rank")))
+    best = F.min_by("system", "rank")
     first = F.min_by("system", F.struct(F.col("system") == generic_system, "rank"))
     systems = chosen.groupBy("query_id").agg(best.alias("_best"), first.alias("_first"))
     tag_lists = tickets.groupBy("topic_uids").agg(F.count(F.lit(1)).alias("n"))
@@ -162,8 +167,13 @@ def hierarchical_search(
 
 
 def with_attributes(matches: DataFrame, details: DataFrame, *columns: str) -> DataFrame:
-    """Ticket attributes next to the matches. Matches are few, so only ids are looked up."""
-    return matches.join(details.select("id", *columns), "id")
+    """Ticket attributes next to the matches.
+
+    Matches are few: their ids go ahead into the details, so that what these are made of is
+    looked up or summed for those tickets alone.
+    """
+    found = stored(matches.select("id").distinct())
+    return matches.join(details.join(found, "id", "left_semi").select("id", *columns), "id")
 
 
 def similar_tickets(
@@ -201,7 +211,7 @@ def similar_tickets(
             .where(team_contains(F.col("team"), F.col("_team")))
             .drop("_team")
         )
-    order = [F.col("score").desc(), F.col("id")]
+    order = [falling("score"), F.col("id")]
     return (
         rows.withColumn("rank", _rank(order))
         .where(F.col("rank") <= k)
@@ -266,10 +276,14 @@ def recommend(
     tickets: DataFrame,
     k: int = 3,
     details: DataFrame | None = None,
+    **options,
 ) -> DataFrame:
     """One row per query: tier, best score, tickets in rank order and their pattern."""
-    results = similar_tickets(
-        queries, topics, tickets, k, attributes=("team", "category", "hours"), details=details
+    # Stored: the lists and every part of the pattern read the few rows found, not the tickets again.
+    results = stored(
+        similar_tickets(
+            queries, topics, tickets, k, attributes=("team", "category", "hours"), details=details, **options
+        )
     )
     lists = results.groupBy("query_id").agg(
         F.max("score").alias("best_score"),

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ticketloom import names
 from ticketloom.functions.keys import seeded_order
-from ticketloom.operators.scale import computed_if_small, held_if_small, top_per_group
+from ticketloom.operators.scale import stored, top_per_group
 
 TOPIC = ["system", "topic"]
 
@@ -73,19 +73,19 @@ def select_tickets(
         unranked = assignments
         ranked_choice = None
     else:
-        ranked_systems = held_if_small(distribution.select("system").distinct())
+        ranked_systems = stored(distribution.select("system").distinct())
         own = assignments.join(ranked_systems, "system", "left_semi").join(
             distribution.select("system", "id", "topic", "prob"), ["system", "id", "topic"], "left"
         )
         probabilities = own.select(*TOPIC, "id", F.coalesce("prob", F.lit(0.0)).alias("prob"))
-        core = computed_if_small(
+        core = stored(
             core_tickets(probabilities).select(*TOPIC, "id", F.lit("core").alias("part"))
         )
         periphery = periphery_tickets(probabilities, core=core).select(
             *TOPIC, "id", F.lit("periphery").alias("part")
         )
         # At most core + periphery rows per topic, so the texts need not be shuffled.
-        chosen_ids = held_if_small(core.unionByName(periphery))
+        chosen_ids = stored(core.unionByName(periphery))
         ranked_choice = texts.join(chosen_ids, ["system", "id"]).withColumn("_place", F.col("position"))
         unranked = assignments.join(ranked_systems, "system", "left_anti")
     drawn = fallback_tickets(
@@ -94,7 +94,7 @@ def select_tickets(
         )
     )
     places = drawn.select(*TOPIC, "id", "part", F.col("rank").cast("long").alias("_place"))
-    chosen = texts.join(held_if_small(places), ["system", "id"])
+    chosen = texts.join(stored(places), ["system", "id"])
     if ranked_choice is not None:
         chosen = ranked_choice.unionByName(chosen.select(*ranked_choice.columns))
     chosen = chosen.where(F.col("text").isNotNull())

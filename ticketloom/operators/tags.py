@@ -7,10 +7,7 @@ from pyspark.sql import functions as F
 
 from ticketloom import names
 from ticketloom.functions import keys
-from ticketloom.operators.scale import small_rows, top_per_group
-
-# Topics that are checked inside a row; a service desk has a few dozen.
-MAX_IN_ROW = 1_000
+from ticketloom.operators.scale import stored, top_per_group
 
 
 def first_seen_tags(assignments: DataFrame) -> DataFrame:
@@ -75,18 +72,13 @@ def postings(tickets: DataFrame) -> DataFrame:
 def with_valid_tag(tickets: DataFrame, topics: DataFrame) -> DataFrame:
     """Tickets marked by whether at least one of their raw tags is a known topic.
 
-    A usual number of topics is checked inside the row. Beyond that the distinct tag
-    strings, which repeat a lot, are judged by joins and the verdict is looked up.
+    Tag strings repeat a lot: the distinct ones are judged by a join and stored, and the
+    verdict is looked up, by the join that their number asks for.
     """
     tagged = F.col("topic_tags").isNotNull() & (F.col("topic_tags") != names.UNCLASSIFIED)
-    known = small_rows(topics.select("topic_uid").distinct(), MAX_IN_ROW)
-    if known is not None:
-        uids = F.lit(known.column("topic_uid").to_pylist()).cast("array<string>")
-        valid = F.coalesce(F.arrays_overlap(F.split("topic_tags", ","), uids), F.lit(False))
-        return tickets.withColumn("valid", F.coalesce(tagged & valid, F.lit(False)))
     strings = tickets.where(tagged).select("topic_tags").distinct()
     pieces = strings.withColumn("topic_uid", F.explode(F.split("topic_tags", ",")))
-    valid = (
+    valid = stored(
         pieces.join(topics.select("topic_uid"), "topic_uid", "left_semi")
         .select("topic_tags")
         .distinct()

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ticketloom import names
 from ticketloom.functions.text import words
-from ticketloom.operators.scale import held_if_small, one_row_each, stored, top_per_group
+from ticketloom.operators.scale import one_row_each, stored, top_per_group
 
 
 def term_weights(documents: DataFrame, text: str = "text") -> DataFrame:
@@ -30,7 +30,7 @@ def term_weights(documents: DataFrame, text: str = "text") -> DataFrame:
         F.floor(F.avg("topic_words")).cast("double").alias("mean_words")
     )
     # One row per topic, whatever the corpus.
-    scale = held_if_small(sizes.join(means, "system"))
+    scale = stored(sizes.join(means, "system"))
     over_topics = Window.partitionBy("system", "term")
     weighted = counted.withColumn("f", F.sum("tf").over(over_topics)).join(
         scale, ["system", "topic"]

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ticketloom import names
 from ticketloom.functions import answers, text
-from ticketloom.operators.scale import held_if_small
+from ticketloom.operators.scale import stored
 from ticketloom.operators.selection import select_tickets
 from ticketloom.operators.terms import first_keywords
 
@@ -86,7 +86,7 @@ def summary_jobs(
 ) -> DataFrame:
     """Prompts of all topics still to be summarised."""
     todo = pending(assignments.select(*TOPIC).distinct(), done)
-    open_assignments = assignments.join(held_if_small(todo), TOPIC, "left_semi")
+    open_assignments = assignments.join(stored(todo), TOPIC, "left_semi")
     return summary_prompts(select_tickets(tickets, open_assignments, distribution), terms)
 
 

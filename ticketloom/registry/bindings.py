@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ticketloom import names
 from ticketloom.functions import vectors
 from ticketloom.operators import clusters, selection
-from ticketloom.operators.scale import held_if_small, spread
+from ticketloom.operators.scale import spread, stored
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -148,7 +148,7 @@ def own_cosine(spark: SparkSession, folder: str) -> DataFrame:
         "system", "topic", vectors.unit(F.col("centroid")).alias("centroid")
     )
     cosine = vectors.dot(F.col("embedding"), F.col("centroid"))
-    return rows.join(held_if_small(centroids), ["system", "topic"]).select(
+    return rows.join(stored(centroids), ["system", "topic"]).select(
         "system", "topic", "id", F.round(cosine, 6).alias("prob")
     )
 
