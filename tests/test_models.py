@@ -4,7 +4,6 @@ import math
 
 import numpy as np
 import pytest
-from pyspark.ml import PipelineModel
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
@@ -164,7 +163,8 @@ def test_distribution_equals_definition(spark):
     assert wide.where("id = '5'").first()[1:3] == (0.0, 0.0)
 
 
-def test_topic_run_writes_and_reuses(spark, tmp_path):
+def test_topic_run_writes_and_reuses(spark, tmp_path, monkeypatch):
+    fitted = topic_run.fitted
     rng = np.random.default_rng(0)
     rows = [
         ("A", str(i), f"palavra{i % 4} comum texto{i % 4}", (np.eye(6)[i % 4] + rng.normal(scale=0.05, size=6)).tolist())
@@ -181,21 +181,19 @@ def test_topic_run_writes_and_reuses(spark, tmp_path):
     assert all(abs(r.p - 1) < 1e-3 for r in totals)
     assert spark.read.json(f"{path}/parameters").first()["reused"] is False
     topic_run.run_all(spark, documents, {"A": 4}, path, **options)
-    assert spark.read.json(f"{path}/parameters").first()["reused"] is True
+    again = spark.read.json(f"{path}/parameters").first()
+    assert again["reused"] is True and again["n_components"] == 3 and again["metric"] == "cosine"
     assert {r.id: r.topic for r in spark.read.parquet(f"{path}/assignments").collect()} == first
-
-
-def test_model_is_loaded_when_present(spark, tmp_path, blobs):
-    _, reducer = modeling.reduce_vectors(blobs, 2)
-    calls = []
-
-    def fit():
-        calls.append(1)
-        return PipelineModel(reducer.stages)
-
-    for loaded in (False, True):
-        assert writers.fit_or_load(spark, str(tmp_path / "m"), fit)[1] is loaded
-    assert len(calls) == 1
+    # Nothing is fitted for the same rows, other numbers of topics are, and a broken stage is made again.
+    made = []
+    monkeypatch.setattr(topic_run, "fitted", lambda *a: made.append(a[1]) or fitted(*a))
+    topic_run.run_all(spark, documents.repartition(3), {"A": 4}, path, **options)
+    assert made == []
+    topic_run.run_all(spark, documents, {"A": 3}, path, **options)
+    assert made == [3]
+    assert {r.topic for r in spark.read.parquet(f"{path}/assignments").collect()} == {0, 1, 2}
+    topic_run.run_all(spark, documents.where("id <> '7'"), {"A": 3}, path, **options)
+    assert made == [3, 3] and spark.read.parquet(f"{path}/assignments").count() == 59
 
 
 def test_topic_texts_by_file_name(spark, tmp_path):

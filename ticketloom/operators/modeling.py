@@ -4,26 +4,22 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Mapping
 from dataclasses import dataclass
-from multiprocessing.pool import ThreadPool
 
 from pyspark.ml import PipelineModel
-from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import IDF, PCA, HashingTF, Normalizer
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.storagelevel import StorageLevel
-from pyspark.util import inheritable_thread_target
 
 from ticketloom import names
 from ticketloom.functions.text import words
-from ticketloom.operators import clusters
+from ticketloom.operators import clusters, lloyd
+from ticketloom.operators.lloyd import Fit
 from ticketloom.operators.scale import stored
 
 GRID_COMPONENTS = (5, 10, 15)
 GRID_METRICS = ("cosine", "euclidean")
-PARALLEL_FITS = 8
 
 
 def text_encoder(documents: DataFrame, text: str = "text", features: int = 512) -> PipelineModel:
@@ -65,29 +61,10 @@ def reduce_vectors(
     return model.transform(raw).drop("_raw", "_unit"), model
 
 
-def _fits(features: DataFrame, settings: list[tuple[int, int]]) -> list[KMeansModel]:
-    """One k-means per (k, seed). Several run at once, as Spark's own cross-validator
-    does: a single fit is a chain of short jobs that leaves most of a cluster idle."""
-
-    def fit(k: int, seed: int) -> KMeansModel:
-        return KMeans(k=k, seed=seed, initMode="k-means||", featuresCol="features").fit(features)
-
-    session = features.sparkSession
-    with ThreadPool(min(PARALLEL_FITS, len(settings))) as pool:
-        return pool.starmap(inheritable_thread_target(session)(fit), settings)
-
-
-def _cheapest(models: list[KMeansModel]) -> tuple[KMeansModel, float]:
-    """The first model with the lowest cost."""
-    best = min(models, key=lambda model: model.summary.trainingCost)
-    return best, float(best.summary.trainingCost)
-
-
-def best_kmeans(
-    features: DataFrame, k: int, n_init: int = 10, seed: int = names.SEED
-) -> tuple[KMeansModel, float]:
-    """k-means with several starts; the lowest cost wins, the first on a tie."""
-    return _cheapest(_fits(features, [(k, seed + start) for start in range(n_init)]))
+def best_kmeans(features: DataFrame, k: int, n_init: int = 10, seed: int = names.SEED) -> tuple[Fit, float]:
+    """k-means with several starts in shared scans; the lowest cost wins, the first on a tie."""
+    best = lloyd.cheapest(lloyd.fit_all(features, [(k, seed + start, None) for start in range(n_init)]))
+    return best, best.cost
 
 
 def renumbered(clustered: DataFrame, label: str = "prediction") -> DataFrame:
@@ -121,28 +98,26 @@ def grid_search(
     The score is the squared-Euclidean silhouette, linear in the tickets; with
     ``plain_distances`` it is the quadratic plain one, for tables with a unique ``id``.
 
-    Each fit is a Spark job over the whole table. The reduction is nested: principal
-    components are ordered, so the widest fit of a metric holds the narrower ones and
-    each metric is reduced once.
+    The reduction is nested: principal components are ordered, so the widest fit of a metric
+    holds the narrower ones, each metric is reduced once, and all starts of all sizes share
+    their scans.
     """
     evaluator = ClusteringEvaluator(distanceMeasure="squaredEuclidean")
     sizes = sorted(components)
     rows = []
     for metric in metrics:
         widest, _ = reduce_vectors(vectors, sizes[-1], metric)
-        kept = ["id", "features"] if plain_distances else ["features"]
-        widest = widest.select(*kept).persist(StorageLevel.MEMORY_AND_DISK)
+        kept = ["id"] if plain_distances else []
+        widest = stored(widest.select(*kept, vector_to_array("features").alias("_x")))
+        features = widest.select(*kept, array_to_vector("_x").alias("features"))
+        settings = [(k, names.SEED + start, size) for size in sizes for start in range(n_init)]
+        fits = lloyd.fit_all(features, settings)
         for size in sizes:
-            features = widest.withColumn(
-                "features", array_to_vector(F.slice(vector_to_array("features"), 1, size))
-            )
-            clustered = best_kmeans(features, k, n_init)[0].transform(features)
-            if plain_distances:
-                score = _plain_silhouette(clustered)
-            else:
-                score = evaluator.evaluate(clustered)
+            best = lloyd.cheapest([f for f in fits if f.size == size])
+            own = widest.select(*kept, array_to_vector(F.slice("_x", 1, size)).alias("features"))
+            clustered = best.transform(own)
+            score = _plain_silhouette(clustered) if plain_distances else evaluator.evaluate(clustered)
             rows.append((size, metric, round(float(score), 4)))
-        widest.unpersist()
     runs = vectors.sparkSession.createDataFrame(
         [(i, *row) for i, row in enumerate(rows)],
         "run int, n_components int, metric string, silhouette double",
@@ -176,16 +151,11 @@ def elbow_curve(
     components: int = 5,
     n_init: int = 10,
 ) -> DataFrame:
-    """Cost per number of topics: ``k, wcss``. The reduced vectors are kept for all fits."""
+    """Cost per number of topics: ``k, wcss``. All starts of all numbers share their scans."""
     reduced, _ = reduce_vectors(vectors, components)
-    reduced = reduced.select("features").persist(StorageLevel.MEMORY_AND_DISK)
-    settings = [(k, names.SEED + start) for k in ks for start in range(n_init)]
-    models = _fits(reduced, settings)
-    rows = [
-        (k, _cheapest([m for m, (own, _) in zip(models, settings) if own == k])[1])
-        for k in dict.fromkeys(k for k, _ in settings)
-    ]
-    reduced.unpersist()
+    settings = [(k, names.SEED + start, None) for k in ks for start in range(n_init)]
+    fits = lloyd.fit_all(reduced.select("features"), settings)
+    rows = [(k, lloyd.cheapest([f for f in fits if f.k == k]).cost) for k in dict.fromkeys(k for k, _, _ in settings)]
     return vectors.sparkSession.createDataFrame(rows, "k int, wcss double")
 
 

@@ -11,7 +11,7 @@ from ticketloom.plans import prepare, summaries
 from ticketloom.registry import bindings as b
 from ticketloom.registry.core import ASSIGN, CENTROIDS, SPINE, SUMMARY_TEXTS, SYSTEMS, TERMS, query, with_
 from ticketloom.registry.texts import _COSINE, _NAMES, _documents
-from ticketloom.sources import readers, writers
+from ticketloom.sources import readers, runs, writers
 
 
 @query("""
@@ -84,11 +84,22 @@ def optional_input(spark, sf):
 
 
 @query(with_(ASSIGN, SYSTEMS, SPINE, SUMMARY_TEXTS) + """
-SELECT system, topic FROM spine WHERE (system, topic) NOT IN (SELECT (system, topic) FROM titles)""")
+SELECT s.system, s.topic, CASE WHEN s.topic = 1 THEN 'nova ' || t.text ELSE t.text END AS text
+FROM spine s LEFT JOIN titles t ON s.system = t.system AND s.topic = t.topic""")
 def resume_after_append(spark, sf):
-    """Results appended in two rounds; the topics without one are left to do."""
+    """Results of several runs: one repeated, one broken, one that replaces a topic's result.
+
+    Topics without a result are left to do and have no text.
+    """
     folder = shared_folder(spark)
     titles = b.titles(spark, sf)
-    writers.append_results(titles.where("topic < 2"), folder)
-    writers.append_results(titles.where("topic >= 2"), folder)
-    return summaries.pending(topic_spine(b.systems(spark, sf)), spark.read.parquet(folder))
+    runs.append_once(titles.where("topic < 2"), folder, "first")
+    runs.append_once(titles.where("topic < 2"), folder, "first")
+    titles.where("topic = 2").write.parquet(f"{folder}/data/run=broken")  # staged, never committed
+    runs.append_once(titles.where("topic >= 2"), folder, "second")
+    runs.append_once(titles.where("topic = 1").withColumn("text", F.concat(F.lit("nova "), "text")), folder, "third")
+    rows = runs.read_runs(spark, folder, "system string, topic int, text string")
+    held = runs.latest(rows, "system", "topic")
+    spine = topic_spine(b.systems(spark, sf))
+    todo = summaries.pending(spine, held).withColumn("text", F.lit(None).cast("string"))
+    return held.unionByName(todo)

@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 
-from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ticketloom.sources.readers import exists
+from ticketloom.sources.ledger import Ledger
 
 
 def write_stage(df: DataFrame, path: str, by_system: bool = True) -> DataFrame:
@@ -20,11 +19,6 @@ def write_stage(df: DataFrame, path: str, by_system: bool = True) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path).select(*df.columns)
 
 
-def append_results(df: DataFrame, path: str) -> None:
-    """Finished (system, topic) rows behind those already there."""
-    df.write.mode("append").partitionBy("system").parquet(path)
-
-
 def write_csv(df: DataFrame, path: str, separator: str = ",") -> None:
     """CSV export with header; texts with line breaks and quotes survive."""
     df.write.mode("overwrite").csv(
@@ -92,13 +86,16 @@ def write_record(spark: SparkSession, record: Mapping[str, object], path: str) -
     spark.createDataFrame([dict(record)]).write.mode("overwrite").json(path)
 
 
-def fit_or_load(spark: SparkSession, path: str, fit) -> tuple[PipelineModel, bool]:
-    """The model stored at ``path``, else a fresh one that is stored there.
+def fit_or_load(spark: SparkSession, path: str, fit: Callable, load: Callable, digest: str) -> tuple[object, bool]:
+    """The model stored at ``path`` for what ``digest`` stands for, else a fresh one that is stored there.
 
-    The flag tells whether the model was loaded.
+    The digest covers data and parameters, so a model is never reused for others. The flag
+    tells whether the model was loaded. Models have ``write(spark, path)``.
     """
-    if exists(spark, f"{path}/metadata"):
-        return PipelineModel.load(path), True
-    model = fit()
-    model.write().overwrite().save(path)
-    return model, False
+    ledger = Ledger(spark, path)
+
+    def make() -> None:
+        fit().write(spark, f"{path}/model")
+
+    ledger.stage("model", 1, {}, [digest], make)
+    return load(spark, f"{path}/model"), not ledger.made
