@@ -49,9 +49,16 @@ def tag_list(tags: Column) -> Column:
 
 
 def first_per_id(tickets: DataFrame, position: str, id_col: str = "id") -> DataFrame:
-    """First row of every id in source order, ids repaired before."""
+    """First row of every id in source order, ids repaired before.
+
+    The first place of an id is an aggregate of two narrow columns; whole rows move once, and
+    only those at a first place, so an id with very many rows meets in no task. Places are
+    unique; of rows that share the first one, any counts.
+    """
     cleaned = tickets.withColumn(id_col, keys.clean_id(F.col(id_col)))
-    return top_per_group(cleaned, [id_col], [F.col(position)], 1, "_copy").drop("_copy")
+    first = cleaned.groupBy(F.col(id_col).alias("_id")).agg(F.min(position).alias("_place"))
+    same = F.col(id_col).eqNullSafe(F.col("_id")) & F.col(position).eqNullSafe(F.col("_place"))
+    return cleaned.join(first, same, "left_semi").dropDuplicates([id_col])
 
 
 def tickets_with_tags(tickets: DataFrame, tags: DataFrame) -> DataFrame:

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ticketloom.operators import cleaning, distribution, terms
+from ticketloom.operators import cleaning, distribution, tags, terms
 from ticketloom.operators.counts import topic_spine
-from ticketloom.operators.scale import shared_folder
+from ticketloom.operators.scale import shared_folder, stored
 from ticketloom.plans import prepare, summaries
 from ticketloom.registry import bindings as b
 from ticketloom.registry.core import ASSIGN, CENTROIDS, SPINE, SUMMARY_TEXTS, SYSTEMS, TERMS, query, with_
@@ -14,19 +14,61 @@ from ticketloom.registry.texts import _COSINE, _NAMES, _documents
 from ticketloom.sources import readers, runs, writers
 
 
-@query("""
-SELECT CAST(doc_id AS VARCHAR) AS "Id", text AS "Descrição do chamado", lang AS sistema,
-  CAST(n_chars AS VARCHAR) AS n_chars FROM documents""")
-def csv_roundtrip(spark, sf):
-    folder = shared_folder(spark)
-    raw = b.table(spark, sf, "documents").select(
-        F.col("doc_id").alias("Id"),
-        F.col("text").alias("Descrição do chamado"),
+# Texts with quotes and line ends, in one file that is read in many splits.
+_TRICKY = """CASE doc_id % 4 WHEN 0 THEN text || chr(10) || 'diz "sim", e' || chr(10) || '"' WHEN 1 THEN '"' || text ELSE text END"""
+
+
+def _written_tickets(spark, sf, copies=False):
+    text = (
+        F.when(F.col("doc_id") % 4 == 0, F.concat("text", F.lit('\ndiz "sim", e\n"')))
+        .when(F.col("doc_id") % 4 == 1, F.concat(F.lit('"'), "text"))
+        .otherwise(F.col("text"))
+    )
+    docs = b.table(spark, sf, "documents")
+    raw = docs.select(
+        (F.col("doc_id") % 300 if copies else F.col("doc_id")).alias("Id"),
+        text.alias("Descrição do chamado"),
         F.col("lang").alias("sistema"),
         "n_chars",
+        "doc_id",
     )
-    writers.write_csv(raw, folder)
-    return readers.read_tickets(spark, folder)
+    folder = shared_folder(spark)
+    # One file on purpose: what is shown is that its splits are read apart.
+    writers.write_csv(raw.orderBy("doc_id").drop(*([] if copies else ["doc_id"])).coalesce(1), folder)
+    return folder
+
+
+def _in_splits(spark, size, read):
+    """A read of files in splits of a given size; the session's own size comes back."""
+    setting = "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, str(size))
+    try:
+        return stored(read())
+    finally:
+        spark.conf.set(setting, before)
+
+
+@query(f"""
+SELECT CAST(doc_id AS VARCHAR) AS "Id", {_TRICKY} AS "Descrição do chamado", lang AS sistema,
+  CAST(n_chars AS VARCHAR) AS n_chars FROM documents""")
+def csv_roundtrip(spark, sf):
+    """One file in splits of 64 kB, most of which begin inside a record."""
+    folder = _written_tickets(spark, sf)
+    return _in_splits(spark, 65_536, lambda: readers.read_tickets(spark, folder))
+
+
+@query(f"""
+SELECT id, text, position FROM (
+  SELECT CAST(doc_id % 300 AS VARCHAR) AS id, {_TRICKY} AS text,
+    row_number() OVER (ORDER BY doc_id) - 1 AS position,
+    row_number() OVER (PARTITION BY doc_id % 300 ORDER BY doc_id) AS place FROM documents) WHERE place = 1""")
+def csv_first_rows(spark, sf):
+    """The first row of every id of a written file, by the place it was read from."""
+    folder = _written_tickets(spark, sf, copies=True)
+    rows = _in_splits(spark, 65_536, lambda: readers.read_tickets(spark, folder, position="position"))
+    named = rows.select(F.col("Id").alias("id"), F.col("Descrição do chamado").alias("text"), "position")
+    return tags.first_per_id(named, "position")
 
 
 @query(with_(ASSIGN, CENTROIDS, _COSINE) + """

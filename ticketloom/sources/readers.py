@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ticketloom.functions.text import strip
+from ticketloom.sources import records
 
 
 def _header_fields(spark: SparkSession, path: str, separator: str) -> list[str]:
@@ -16,20 +17,32 @@ def _header_fields(spark: SparkSession, path: str, separator: str) -> list[str]:
 
 
 def read_tickets(
-    spark: SparkSession, path: str, schema: T.StructType | str | None = None, separator: str = ","
+    spark: SparkSession,
+    path: str,
+    schema: T.StructType | str | None = None,
+    separator: str = ",",
+    position: str | None = None,
 ) -> DataFrame:
-    """Ticket CSV with header; quoted texts may hold line breaks.
+    """Ticket CSV with header; quoted texts may hold line breaks, and large files are read in parallel.
 
     Without a schema every column is read as text: types are set by the jobs, and no
-    extra pass over the data is spent on guessing them.
+    extra pass over the data is spent on guessing them. With ``position`` rows carry their
+    number in the order of files and lines, which is what keeping the first row goes by.
     """
     if schema is None:
         fields = _header_fields(spark, path, separator)
         schema = T.StructType([T.StructField(f, T.StringType()) for f in fields])
-    return spark.read.csv(
-        path, schema=schema, sep=separator, header=True, multiLine=True, quote='"', escape='"',
-        encoding="UTF-8",
-    )
+    elif isinstance(schema, str):
+        schema = T.StructType.fromDDL(schema)
+    rows = records.without_headers(records.records(spark, path))
+    if position is not None:
+        rows = records.numbered(rows, position)
+    options = {"sep": separator, "quote": '"', "escape": '"', "multiLine": "true"}
+    # Fields by place: a header may repeat a name, which a struct of names would not bear.
+    plain = T.StructType([T.StructField(f"c{i}", f.dataType) for i, f in enumerate(schema.fields)])
+    parsed = rows.withColumn("_fields", F.from_csv("record", plain.simpleString().removeprefix("struct<").removesuffix(">").replace(":", " "), options))
+    fields = [F.col(f"_fields.c{i}").alias(f.name) for i, f in enumerate(schema.fields)]
+    return parsed.select(*fields, *([position] if position is not None else []))
 
 
 def read_piped(spark: SparkSession, path: str, schema: T.StructType | str | None = None) -> DataFrame:
