@@ -17,7 +17,7 @@ def plain_lloyd(rows, centres, most):
     for _ in range(most):
         nearest = ((rows[:, None] - centres[None]) ** 2).sum(2).argmin(1)
         moved = np.stack([rows[nearest == c].mean(0) if (nearest == c).any() else centres[c] for c in range(len(centres))])
-        done = ((moved - centres) ** 2).sum(1).max() <= lloyd.TOLERANCE**2
+        done = ((moved - centres) ** 2).sum() <= lloyd.TOLERANCE * rows.var(axis=0, ddof=1).mean()
         centres = moved
         if done:
             break

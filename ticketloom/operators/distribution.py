@@ -2,49 +2,86 @@
 
 from __future__ import annotations
 
-from functools import reduce
-from operator import add
+import sys
+from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark import cloudpickle
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ticketloom.functions.text import words
 from ticketloom.functions.vectors import round4
-from ticketloom.operators.scale import one_row_each, salted_join, stored
+from ticketloom.operators.scale import salted_join, stored
+
+# The task functions travel with the job: executors need not have this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
 def term_directory(weights: DataFrame) -> DataFrame:
-    """One row per word of a system: its idf, its share in every topic, its count.
+    """One row per word of a system: its idf, the topics it occurs in with its shares, its count.
 
-    ``shares[t]`` is idf * weight / norm of topic t, 0 where the word does not occur, so
-    that a window's cosine is a sum of shares over the window's norm. Topics are
-    numbered from 0; outliers (-1) count for the idf only.
+    A share is idf * weight / norm of the topic, so that a window's cosine is a sum of shares
+    over the window's norm. Topics are numbered from 0; outliers (-1) count for the idf only.
     """
     norms = weights.groupBy("system", "topic").agg(
         F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("norm"),
         F.sum("tf").alias("topic_words"),
     )
-    scale = norms.groupBy("system").agg(
-        F.floor(F.avg("topic_words")).cast("double").alias("mean_words"),
-        F.max("topic").alias("last"),
-    )
+    scale = norms.groupBy("system").agg(F.floor(F.avg("topic_words")).cast("double").alias("mean_words"))
     idf = F.log1p(F.col("mean_words") / F.col("f"))
-    share = F.struct("topic", (idf * F.col("weight") / F.col("norm")).alias("share"))
-    per_word = (
+    share = F.when(F.col("topic") >= 0, F.struct("topic", (idf * F.col("weight") / F.col("norm")).alias("share")))
+    return (
         weights.join(stored(norms.join(scale, "system")), ["system", "topic"])
         .groupBy("system", "term")
-        .agg(
-            F.max(idf).alias("idf"),
-            F.map_from_entries(F.collect_list(share)).alias("by_topic"),
-            F.max("last").alias("last"),
-            F.max("f").alias("f"),
-        )
-    )
-    dense = F.transform(
-        F.sequence(F.lit(0), F.col("last")),
-        lambda t: F.coalesce(F.try_element_at("by_topic", t), F.lit(0.0)),
+        .agg(F.max(idf).alias("idf"), F.collect_list(share).alias("shares"), F.max("f").alias("f"))
     )
-    return per_word.where("last >= 0").select("system", "term", "idf", dense.alias("shares"), "f")
+
+
+def _word_places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row for each word of a ticket, with the places it stands at."""
+    for batch in batches:
+        tokens = batch.column(2)
+        row = tokens.value_parent_indices().to_numpy()
+        coded = tokens.flatten().dictionary_encode()
+        starts = np.flatnonzero(np.concatenate(([True], row[1:] != row[:-1]))) if len(row) else row
+        place = np.arange(len(row)) - np.repeat(starts, np.diff(np.append(starts, len(row))))
+        pair = row * max(len(coded.dictionary), 1) + coded.indices.to_numpy()
+        order = np.argsort(pair, kind="stable")
+        firsts = np.flatnonzero(np.concatenate(([True], pair[order][1:] != pair[order][:-1]))) if len(row) else row
+        ends = pa.array(np.append(firsts, len(row)), pa.int32())
+        of = pa.array(row[order][firsts])
+        yield pa.RecordBatch.from_arrays(
+            [
+                batch.column(0).take(of),
+                batch.column(1).take(of),
+                coded.dictionary.take(pa.array(coded.indices.to_numpy()[order][firsts])),
+                pa.ListArray.from_arrays(ends, pa.array(place[order], pa.int32())),
+            ],
+            names=["system", "id", "term", "places"],
+        )
+
+
+def _mass(tokens: np.ndarray, idf: np.ndarray, shares: np.ndarray, window: int, stride: int, floor: float) -> np.ndarray:
+    """Sum over the windows of a ticket of the cosines that reach the floor, by topic."""
+    size = min(window, len(tokens))
+    starts = np.arange(0, len(tokens) - size + 1, stride)
+    slots = [tokens[starts + i] for i in range(size)]
+    # |window|^2: a word that occurs twice weighs four times, hence the cross terms.
+    squares = sum(idf[s] * idf[s] for s in slots)
+    for i in range(size):
+        for j in range(i + 1, size):
+            squares = squares + np.where(slots[i] == slots[j], 2 * idf[slots[i]] * idf[slots[i]], 0.0)
+    length = np.sqrt(squares)
+    # No cosine of a window is above the sum of its words' largest shares over its length.
+    most = sum(shares.max(axis=1)[s] for s in slots)
+    open_ = np.flatnonzero((length > 0) & (most * (1 + 1e-9) >= floor * length))
+    total = np.zeros((len(open_), shares.shape[1]))
+    for s in slots:
+        total += shares[s[open_]]
+    cosines = total / length[open_, None]
+    return np.where(cosines >= floor, cosines, 0.0).sum(axis=0)
 
 
 def topic_distribution(
@@ -62,59 +99,63 @@ def topic_distribution(
     scaled to one and rounded to four decimals. Topics without weight have no row. A
     ticket shorter than a window is one window.
 
-    Words meet the directory in a sliced join, because the commonest words make up a
-    large part of a corpus. From there on everything is partitioned by ticket: the
-    neighbours of a word, the windows and the sums need no further shuffle.
+    Each word of a ticket goes once to the directory, with its places, in a sliced join, because
+    the commonest words are in most tickets, and comes back to its ticket with the shares of
+    the topics it occurs in. There one pass slides over the words; windows whose largest
+    shares cannot reach the floor are left out, and no window leaves the ticket.
     """
-    tokens = documents.select("system", "id", words(F.col(text)).alias("tokens"))
-    flat = one_row_each(tokens, "tokens", "term", "pos")
+    tokens = documents.select("system", "id", words(F.col(text)).alias("tokens")).where(F.size("tokens") > 0)
+    kinds = dict(tokens.dtypes)
+    ticket = f"system {kinds['system']}, id {kinds['id']}"
+    placed = tokens.mapInArrow(_word_places, f"{ticket}, term string, places array<int>")
     # The join reads the directory three times: for the rows, the hot words, the total.
-    directory = stored(term_directory(weights))
-    known = salted_join(flat, directory, ["system", "term"], "f", ["id"], "left")
-
-    ticket = ["system", "id"]
-    order = Window.partitionBy(*ticket).orderBy("pos")
-    item = F.struct("term", F.coalesce("idf", F.lit(0.0)).alias("idf"), "shares")
-    members = [item if i == 0 else F.lead(item, i).over(order) for i in range(window)]
-    slots = [f"_w{i}" for i in range(window)]
-    placed = known.select(*ticket, "pos", *[m.alias(s) for m, s in zip(members, slots)])
-    # A window is whole if its last word exists; a ticket without any starts its only one.
-    whole = F.col(slots[-1]).isNotNull()
-    placed = placed.where(F.when(whole, F.col("pos") % stride == 0).otherwise(F.col("pos") == 0))
-
-    # |window|^2: a word that occurs twice weighs four times, hence the cross terms.
-    idfs = [F.coalesce(F.col(f"{s}.idf"), F.lit(0.0)) for s in slots]
-    squares = [x * x for x in idfs]
-    repeats = [
-        F.when(F.col(f"{a}.term") == F.col(f"{b}.term"), 2 * idfs[i] * idfs[i]).otherwise(0.0)
-        for i, a in enumerate(slots)
-        for b in slots[i + 1 :]
-    ]
-    length = F.sqrt(reduce(add, squares + repeats))
-    topics = F.sequence(F.lit(0), F.greatest(*[F.size(f"{s}.shares") for s in slots]) - 1)
-
-    # As an array, not as arithmetic behind the explode: that would become one generated
-    # method too long for the JVM to compile, which then runs interpreted. The length is
-    # bound once per window, by the outer array of one.
-    def dot(topic: Column) -> Column:
-        return reduce(
-            add, [F.coalesce(F.get(F.col(f"{s}.shares"), topic), F.lit(0.0)) for s in slots]
-        )
-
-    cosine_row = F.transform(
-        F.array(length), lambda size: F.transform(topics, lambda t: dot(t) / size)
+    known = salted_join(placed, stored(term_directory(weights)), ["system", "term"], "f", ["id"], "left")
+    entry = F.struct(
+        "places", F.coalesce("idf", F.lit(0.0)).alias("idf"),
+        F.transform("shares", lambda s: s["topic"]).alias("topics"), F.transform("shares", lambda s: s["share"]).alias("shares"),
     )
-    measured = placed.select(*ticket, cosine_row[0].alias("cosines"))
-    cosines = one_row_each(measured, "cosines", "cosine", "topic").where(F.col("cosine") >= floor)
-    summed = cosines.groupBy(*ticket, "topic").agg(F.sum("cosine").alias("mass"))
-    total = F.sum("mass").over(Window.partitionBy(*ticket))
-    return summed.select(*ticket, "topic", round4(F.col("mass") / total).alias("prob"))
+    gathered = known.groupBy("system", "id").agg(F.collect_list(entry).alias("words"))
+
+    def slide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            row, topic, mass = [], [], []
+            for at in range(batch.num_rows):
+                held = batch.column(2)[at].values
+                idf = held.field("idf").to_numpy()
+                places, shares = held.field("places"), held.field("shares")
+                tokens = np.empty(len(places.flatten()), np.int64)
+                tokens[places.flatten().to_numpy()] = places.value_parent_indices().to_numpy()
+                topics = held.field("topics").flatten().to_numpy()
+                if not len(topics):
+                    continue
+                table = np.zeros((len(idf), topics.max() + 1))
+                table[shares.value_parent_indices().to_numpy(), topics] = shares.flatten().to_numpy()
+                found = _mass(tokens, idf, table, window, stride, floor)
+                for t in np.flatnonzero(found):
+                    row.append(at), topic.append(t), mass.append(found[t])
+            of = pa.array(row, pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).take(of), batch.column(1).take(of), pa.array(topic, pa.int32()), pa.array(mass, pa.float64())],
+                names=["system", "id", "topic", "mass"],
+            )
+
+    summed = gathered.mapInArrow(slide, f"{ticket}, topic int, mass double")
+    total = F.sum("mass").over(Window.partitionBy("system", "id"))
+    return summed.select("system", "id", "topic", round4(F.col("mass") / total).alias("prob"))
 
 
 def wide_distribution(distribution: DataFrame, assignments: DataFrame, k: int) -> DataFrame:
-    """One column per topic, 0 where there is no weight, for the export of a system."""
+    """One column per topic, 0 where there is no weight, for the export of a system.
+
+    A topic of k or more has no column: it is an error rather than left out, found while the
+    rows are written.
+    """
+    allowed = F.when(
+        F.col("topic") >= k, F.raise_error(F.concat(F.lit(f"topic beyond the {k} columns: "), F.col("topic").cast("string")))
+    ).otherwise(F.col("topic"))
     pivoted = (
-        distribution.groupBy("system", "id")
+        distribution.withColumn("topic", allowed.cast("int"))
+        .groupBy("system", "id")
         .pivot("topic", list(range(k)))
         .agg(F.first("prob"))
     )

@@ -35,6 +35,7 @@ MOST_STEPS = 300
 TOLERANCE = 1e-4
 INIT_ROUNDS = 2
 TILE_ROWS = 2_048
+TASK_ROWS = 20_000  # vectors that are worth a task of their own, at least
 MEANS = "fit int, centre int, n long, total array<double>, cost double"
 
 
@@ -90,7 +91,8 @@ def _mixed(keys: np.ndarray, salt: int) -> np.ndarray:
 def table(vectors: DataFrame, features: str = "features") -> DataFrame:
     """The vectors as plain arrays with a key of each, stored for many passes."""
     values = vectors.select(vector_to_array(features).alias("x"))
-    return stored(values.select(F.xxhash64("x").alias("key"), "x"))
+    held = stored(values.select(F.xxhash64("x").alias("key"), "x"))
+    return held.coalesce(max(1, -(-held.count() // TASK_ROWS)))  # no more tasks than the rows are worth
 
 
 def _tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -113,11 +115,12 @@ def _rated(rows: np.ndarray, centres: list[np.ndarray]) -> Iterator[tuple[int, n
 
 
 def means(data: DataFrame, centres: list[np.ndarray]) -> DataFrame:
-    """One pass: members, sum of vectors and cost of every centre of every fit, one row each."""
-    shared = data.sparkSession.sparkContext.broadcast(centres)
+    """One pass: members, sum of vectors and cost of every centre of every fit, one row each.
+
+    The centres go along with the task, which Spark hands out once to each executor.
+    """
 
     def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        centres = shared.value
         totals = [np.zeros(c.shape) for c in centres]
         counts = [np.zeros(len(c), np.int64) for c in centres]
         costs = [np.zeros(len(c)) for c in centres]
@@ -188,10 +191,9 @@ def _first_centres(data: DataFrame, seeds: Sequence[int]) -> dict[int, np.ndarra
 
 def _drawn(data: DataFrame, fits: list[Fit], candidates: list[np.ndarray], costs: np.ndarray, step: int) -> list[np.ndarray]:
     """About 2 k further candidates for every fit, each vector by its share of the cost."""
-    shared = data.sparkSession.sparkContext.broadcast((candidates, costs, [(f.k, f.seed) for f in fits]))
+    settings = [(f.k, f.seed) for f in fits]
 
     def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        candidates, costs, settings = shared.value
         for keys, rows in _tiles(batches):
             for i, gaps in _rated(rows, candidates):
                 k, seed = settings[i]
@@ -257,16 +259,29 @@ def started(data: DataFrame, fits: list[Fit]) -> list[Fit]:
     return fits
 
 
+def _spread(data: DataFrame) -> np.ndarray:
+    """Variance of every component."""
+    found = data.agg(vector_to_array(Summarizer.variance(array_to_vector("x"))).alias("v")).first()["v"]
+    return np.array(found if found is not None else [])
+
+
 def moved(data: DataFrame, fits: list[Fit], most: int = MOST_STEPS, tolerance: float = TOLERANCE) -> list[Fit]:
-    """Lloyd steps until no centre of a fit moves by more than the tolerance; then the costs, in one more pass."""
+    """Lloyd steps until the centres of a fit move by less than a share of the variance; then one pass for the costs.
+
+    The squared moves of all centres together are held against ``tolerance`` times the mean
+    variance of the components the fit sees.
+    """
     open_ = [f for f in fits if f.centres is not None]
+    if not open_:
+        return fits
+    variances = _spread(data)
     while open_ and open_[0].steps < most:
         _, centres, _ = _collected(data, [f.centres for f in open_])
         still = []
         for fit, new in zip(open_, centres):
-            shift = ((new - fit.centres) ** 2).sum(axis=1).max()
+            shift = ((new - fit.centres) ** 2).sum()
             fit.centres, fit.steps = new, fit.steps + 1
-            if shift > tolerance**2:
+            if shift > tolerance * variances[: fit.size].mean():
                 still.append(fit)
         open_ = still
     done = [f for f in fits if f.centres is not None]
