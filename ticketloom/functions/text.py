@@ -44,7 +44,7 @@ _SCRIPTS |= {
     "ю": "iu", "я": "ia", "ё": "io", "ђ": "dj", "ѓ": "gj", "є": "ie", "ї": "yi", "љ": "lj", "њ": "nj",
     "ћ": "tsh", "ќ": "kj", "ў": "u", "џ": "dzh", "ѕ": "dz",
 }
-_SCRIPTS |= dict(zip("αβγδεζηικλμνξοπρσςτυω", "abgdeziklmnxoprsstuo"[:6] + "e" + "iklmnxoprsstuo"))
+_SCRIPTS |= dict(zip("αβγδεζηικλμνξοπρσςτυω", "abgdezeiklmnxoprsstuo"))
 _SCRIPTS |= {"θ": "th", "φ": "ph", "χ": "kh", "ψ": "ps"}
 
 
@@ -60,9 +60,11 @@ def _script_map() -> dict[str, str]:
     return table
 
 
-_ACCENTS = _accent_map()
+_LATIN = _accent_map()
 _OTHER_SCRIPTS = {sign: plain for sign, plain in _script_map().items() if len(plain) > 1}
-_ACCENTS |= {sign: plain for sign, plain in _script_map().items() if len(plain) == 1}
+_ACCENTS = _LATIN | {sign: plain for sign, plain in _script_map().items() if len(plain) == 1}
+# What no text in Latin letters and common signs holds; all that needs more than the Latin map is in here.
+_BEYOND_LATIN = r"[\x{370}-\x{1DFF}\x{1F00}-\x{1FFF}\x{2C00}-\x{10FFFF}]"
 # Letters of scripts without a map stay as they are; other signs outside ASCII go.
 _UNMAPPED = r"[\p{L}\p{M}&&[^\p{IsLatin}\p{IsCommon}\p{IsInherited}]]|\x{30FC}"
 ACCENTED = "".join(_ACCENTS)
@@ -96,16 +98,29 @@ def _expand(text: Column, signs: dict[str, str]) -> Column:
     return text
 
 
+def _swapped(text: Column, signs: dict[str, str]) -> Column:
+    """Rare signs that need more than one letter: texts without any skip the step."""
+    present = "[" + "".join(signs) + "]"
+    return _only_if(text, lambda t: t.rlike(present), lambda t: _expand(t, signs))
+
+
 def to_ascii(text: Column, *, blanks: str = "") -> Column:
     """Transliterate to ASCII. Letters of scripts without a map stay, ``blanks`` become ' '.
 
-    Signs that need more than one letter are rare: texts without any skip that step.
+    One test parts the texts: those in Latin letters only never meet the steps for other scripts.
     """
-    for signs in (_EXPANSIONS, _OTHER_SCRIPTS):
-        present = "[" + "".join(signs) + "]"
-        text = _only_if(text, lambda t, p=present: t.rlike(p), lambda t, s=signs: _expand(t, s))
-    text = F.translate(text, ACCENTED + blanks, PLAIN + " " * len(blanks))
-    return F.regexp_replace(text, rf"(?:(?!{_UNMAPPED})[^\x00-\x7F])+", "")
+    spaces = " " * len(blanks)
+
+    def latin(t: Column) -> Column:
+        t = F.translate(t, "".join(_LATIN) + blanks, "".join(_LATIN.values()) + spaces)
+        return F.regexp_replace(t, r"[^\x00-\x7F]+", "")
+
+    def mixed(t: Column) -> Column:
+        t = F.translate(_swapped(t, _OTHER_SCRIPTS), ACCENTED + blanks, PLAIN + spaces)
+        return F.regexp_replace(t, rf"(?:(?!{_UNMAPPED})[^\x00-\x7F])+", "")
+
+    plain = _swapped(text, _EXPANSIONS)
+    return F.transform(F.array(plain), lambda t: F.when(t.rlike(_BEYOND_LATIN), mixed(t)).otherwise(latin(t)))[0]
 
 
 def normalize(text: Column) -> Column:
@@ -159,7 +174,7 @@ def raw_tokens(text: Column) -> Column:
         lambda t: t.contains("http") | t.contains("www"),
         lambda t: F.regexp_replace(t, URL, " "),
     )
-    return F.split(text, r"[\W&&\p{ASCII}]+")
+    return F.split(text, r"[\x00-\x2F\x3A-\x40\x5B-\x5E\x60\x7B-\x7F]+")
 
 
 def is_content_token(token: Column) -> Column:
