@@ -272,13 +272,6 @@ def quoted_keyword_string(terms: Column) -> Column:
     return F.when(F.size(terms) > 0, quoted).otherwise(F.lit(names.NO_KEYWORDS))
 
 
-def split_keywords(keywords: Column) -> Column:
-    """The list behind :func:`keyword_string`."""
-    return F.when(F.coalesce(keywords, F.lit("")) == "", F.array().cast("array<string>")).otherwise(
-        F.split(keywords, ", ")
-    )
-
-
 def preview(text: Column, longest: int = 180, kept: int = 177) -> Column:
     """One-line preview: longer texts are cut and end in dots."""
     line = F.replace(text, F.lit("\n"), F.lit(" "))

@@ -60,14 +60,6 @@ NULL_FILLS = {
 }
 UNCLASSIFIED = "NAO_CLASSIFICADO"
 
-# Topics per system.
-TOPICS_PER_SYSTEM = {
-    "SIASS": 6,
-    "SIAPE": 8,
-    "SIGEPE": 5,
-    "SOUGOV": 5,
-    "TOTAIS": 10,
-}
 ALL_SYSTEMS = "TOTAIS"
 GENERIC_SYSTEM = "Geral"
 

@@ -33,10 +33,6 @@ def topic_spine(systems: DataFrame) -> DataFrame:
     )
 
 
-def systems_table(spark: SparkSession, topics_per_system: Mapping[str, int]) -> DataFrame:
-    return spark.createDataFrame(list(topics_per_system.items()), "system string, k int")
-
-
 def counts_on_spine(spine: DataFrame, assignments: DataFrame) -> DataFrame:
     """Document count of every topic of the spine, 0 where there is none."""
     return spine.join(tickets_per_topic(assignments), ["system", "topic"], "left").withColumn(

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ticketloom.functions import keys, times
 from ticketloom.sources import runs
 
-SCHEMA = "system string, topic int, month timestamp, n long"
+SCHEMA = "system string, topic int, month timestamp_ntz, n long"
 CELL = ["system", "topic", "month"]
 
 
@@ -24,7 +24,7 @@ def changes(added: DataFrame, removed: DataFrame | None = None) -> DataFrame:
     ``removed`` are the former rows of tickets that moved. Cells where both cancel have no row.
     """
     counted = lambda rows, sign: rows.groupBy(
-        "system", F.col("topic").cast("int").alias("topic"), times.month_of(F.col("opened")).cast("timestamp").alias("month")
+        "system", F.col("topic").cast("int").alias("topic"), times.month_of(F.col("opened")).alias("month")
     ).agg((F.count(F.lit(1)) * sign).alias("n"))
     plus = counted(added.where(F.col("opened").isNotNull()), 1)
     if removed is not None:

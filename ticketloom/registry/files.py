@@ -104,10 +104,34 @@ def topic_json_roundtrip(spark, sf):
 SELECT system, topic, chr(10) || 'topico ' || topic || ':' || chr(10) || string_agg(term, ' ' ORDER BY rank) AS value
 FROM terms GROUP BY system, topic""")
 def topic_text_export(spark, sf):
+    """Written as text, one folder a system, and read back in blocks that a heading begins."""
     folder = shared_folder(spark)
     top = terms.topic_terms(terms.term_weights(_documents(spark, sf)))
     writers.write_topic_texts(top, folder)
-    return writers.topic_text_blocks(top)
+    return readers.read_topic_blocks(spark, folder)
+
+
+@query(with_(ASSIGN, SYSTEMS, SPINE, SUMMARY_TEXTS) + """
+SELECT s.system, s.topic, trim(t.text) AS text FROM spine s LEFT JOIN titles t ON s.system = t.system AND s.topic = t.topic""")
+def topic_text_files(spark, sf):
+    """One text file for each topic that has a title; topics without a file have a null text."""
+    folder = shared_folder(spark)
+    rows = b.titles(spark, sf).select("system", "topic", F.concat(F.lit(" "), "text", F.lit("\n")).alias("value"))
+    writers.write_topic_files(rows, folder, "titulo_topic_")
+    found = readers.read_topic_texts(spark, folder, "titulo_topic_")
+    return topic_spine(b.systems(spark, sf)).join(found, ["system", "topic"], "left")
+
+
+@query("""
+SELECT count(*) AS n_documents, count(DISTINCT lang) AS n_systems, max(n_chars) AS longest, 'cosine' AS metric FROM documents""")
+def run_record(spark, sf):
+    """A record of figures and parameters, written and read back."""
+    folder = shared_folder(spark)
+    figures = b.table(spark, sf, "documents").agg(
+        F.count(F.lit(1)).alias("n_documents"), F.countDistinct("lang").alias("n_systems"), F.max("n_chars").alias("longest")
+    )
+    writers.write_record(spark, {**figures.first().asDict(), "metric": "cosine"}, folder)
+    return spark.read.json(folder)
 
 
 @query("SELECT CAST(doc_id AS VARCHAR) AS id, text, lang AS system FROM documents")

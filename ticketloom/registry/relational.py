@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ticketloom import names
 from ticketloom.functions import keys, text, times
 from ticketloom.operators import columns, counts, tags
-from ticketloom.plans import prepare, topic_tables
+from ticketloom.operators.scale import shared_folder
+from ticketloom.plans import prepare, running_counts, topic_tables
 from ticketloom.registry import bindings as b
 from ticketloom.registry.core import (
     ASSIGN,
@@ -528,3 +530,42 @@ def preview(spark, sf):
         text.preview(F.col("text")).alias("preview"),
         text.action_preview(F.col("a")).alias("action"),
     )
+
+
+# A tenth of the tickets of the first two batches moves to the next topic with the third.
+@query(with_(ASSIGN, """dated AS (
+  SELECT system, CASE WHEN position % 3 < 2 AND position % 10 = 0 THEN (topic + 1) % 10 ELSE topic END AS topic,
+    o_orderdate AS opened
+  FROM assign JOIN orders ON o_orderkey = position WHERE o_orderdate IS NOT NULL)""", SYSTEMS, SPINE, SUMMARY_TEXTS, _MONTHLY) + """
+SELECT m.system, m.month, m.topic, coalesce(t.text, 'Tópico ' || m.topic) AS title, m.n_tickets
+FROM monthly m LEFT JOIN titles t ON m.system = t.system AND m.topic = t.topic""")
+def monthly_running(spark, sf):
+    """The monthly series from three batches, one sent twice, and moved tickets: equal to one pass."""
+    folder = shared_folder(spark)
+    rows = _dated(spark, sf).withColumn("position", F.col("id").cast("long"))
+    batch = lambda i: rows.where(F.col("position") % 3 == i)
+    moved = rows.where((F.col("position") % 3 < 2) & (F.col("position") % 10 == 0))
+    placed = moved.withColumn("topic", (F.col("topic") + 1) % 10)
+    running_counts.add_batch(folder, "first", batch(0))
+    running_counts.add_batch(folder, "second", batch(1))
+    running_counts.add_batch(folder, "first", batch(0))
+    running_counts.add_batch(folder, "third", batch(2).unionByName(placed), moved)
+    return running_counts.evolution(running_counts.current(spark, folder), _titles(spark, sf))
+
+
+@query("""
+SELECT CAST(d.doc_id AS VARCHAR) AS id, source AS team, '' AS action, source AS category, quality
+FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id""")
+def missing_columns(spark, sf):
+    """Columns a table lacks: a constant, a copy of another one, and a table that lacks one it must have.
+
+    The last is read as empty with its columns, so every ticket stays and nothing is looked up.
+    """
+    docs = b.table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("id"), F.col("source").alias("team"))
+    full = columns.add_if_missing(docs, "action", F.lit(""))
+    full = columns.copy_if_missing(columns.add_if_missing(full, "team", F.lit("x")), "category", "team")
+    labels = b.table(spark, sf, "labels").withColumn("id", F.col("doc_id").cast("string"))
+    needed = {"id": T.StringType(), "quality": T.IntegerType()}
+    whole = columns.require_or_empty(labels.select("id", "quality"), needed)
+    none = columns.require_or_empty(labels.select("id", F.col("quality").alias("other")), needed)
+    return full.join(whole.unionByName(none), "id", "left")

@@ -87,10 +87,50 @@ def clean_text_anonymised(spark, sf):
     return cleaning.clean_column(documents, "text", deny, id_col="doc_id", output="clean").drop("text")
 
 
-@query(f"WITH {_NAMES} SELECT name FROM names")
+# The same texts by the join that a list of any length takes.
+@query(f"""
+WITH {_NAMES},
+tokens AS (SELECT doc_id, unnest({_tokens("text")}) AS t,
+    generate_subscripts({_tokens("text")}, 1) AS p FROM documents),
+kept AS (SELECT doc_id, string_agg(t, ' ' ORDER BY p) AS clean FROM tokens
+  WHERE {_RULES} AND t NOT IN ({_STOPS}) AND t NOT IN (SELECT name FROM names) GROUP BY doc_id)
+SELECT doc_id, coalesce(clean, '') AS clean FROM documents LEFT JOIN kept USING (doc_id)""")
+def clean_text_joined(spark, sf):
+    documents = spread(b.table(spark, sf, "documents").select("doc_id", "text"), "doc_id")
+    deny = cleaning.name_list(b.name_words(spark, sf))
+    cleaned = cleaning.clean_column(documents, "text", deny, id_col="doc_id", output="clean", max_in_set=0)
+    return cleaned.drop("text")
+
+
+# Two lists that overlap: the words of even and of odd benchmark passages and of user turns.
+_TWO_LISTS = f"""
+SELECT DISTINCT name FROM (
+  SELECT trim({_fold("name")}) AS name FROM (
+    SELECT unnest(regexp_split_to_array(text, '\\P{{L}}+')) AS name FROM benchmark WHERE item_id % 2 = 0
+    UNION ALL
+    SELECT unnest(regexp_split_to_array(text, '\\P{{L}}+')) FROM conversations WHERE role = 'user'))
+WHERE name <> 'nao' AND length(name) > 2"""
+
+
+@query(_TWO_LISTS)
 def deny_list(spark, sf):
-    words = b.name_words(spark, sf)
-    return cleaning.name_list(words, words)
+    split = F.explode(F.split("text", r"\P{L}+")).alias("name")
+    first = b.table(spark, sf, "benchmark").where("item_id % 2 = 0").select(split)
+    second = b.table(spark, sf, "conversations").where("role = 'user'").select(split)
+    return cleaning.name_list(first, second)
+
+
+# A third of the texts gets Cyrillic and a third Greek letters in place of their own, which fold back.
+@query(f"""
+SELECT doc_id, {_fold("text")} || CASE doc_id % 3 WHEN 0 THEN ' shchuka iuzhnyi' WHEN 1 THEN ' dokime psukhe' ELSE '' END AS plain
+FROM documents""")
+def other_scripts(spark, sf):
+    """Texts in other scripts, transliterated."""
+    docs = b.table(spark, sf, "documents").select("doc_id", "text")
+    cyrillic = F.concat(F.translate(F.lower("text"), "abvgdeiklmnoprstu", "абвгдеиклмнопрсту"), F.lit(" Щука Южный"))
+    greek = F.concat(F.translate(F.lower("text"), "abgdeklmnxoprtu", "αβγδεκλμνξοπρτυ"), F.lit(" Δοκιμή Ψυχή"))
+    mixed = F.when(F.col("doc_id") % 3 == 0, cyrillic).when(F.col("doc_id") % 3 == 1, greek).otherwise(F.col("text"))
+    return docs.select("doc_id", text.normalize(mixed).alias("plain"))
 
 
 @query(f"""

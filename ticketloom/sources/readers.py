@@ -83,6 +83,20 @@ def read_topic_terms(spark: SparkSession, path: str) -> DataFrame:
     ).where(F.col("term") != "")
 
 
+def read_topic_blocks(spark: SparkSession, path: str) -> DataFrame:
+    """Blocks of the readable export of topics: ``system, topic, value``, headings included.
+
+    A system's file holds a few topics of a few words each and is read as a whole.
+    """
+    whole = spark.read.text(path, wholetext=True).select(
+        F.regexp_extract(F.col("_metadata.file_path"), r"/system=([^/]+)/", 1).alias("system"), "value"
+    )
+    blocks = F.regexp_extract_all("value", F.lit(r"\ntopico -?\d+:\n[^\n]*"), F.lit(0))
+    return whole.select("system", F.explode(blocks).alias("value")).select(
+        "system", F.regexp_extract("value", r"topico (-?\d+):", 1).cast("int").alias("topic"), "value"
+    )
+
+
 def read_topic_texts(spark: SparkSession, path: str, prefix: str) -> DataFrame:
     """One text per topic from ``<system>/<prefix><topic>.txt`` files; no files, no rows.
 

@@ -2,13 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping
+import sys
+from collections.abc import Callable, Iterator, Mapping
 
+import pyarrow as pa
+from pyarrow import fs
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ticketloom.sources.ledger import Ledger
 
+# The task functions travel with the job: executors need not have this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 
 def write_stage(df: DataFrame, path: str, by_system: bool = True) -> DataFrame:
     """A stage table, partitioned by system, read back for the next stage."""
@@ -47,6 +54,27 @@ def write_topic_texts(terms: DataFrame, path: str) -> None:
     ).partitionBy("system").text(path)
 
 
+def write_topic_files(rows: DataFrame, path: str, prefix: str) -> None:
+    """One text file ``<system>/<prefix><topic>.txt`` for each row of ``system, topic, value``.
+
+    Spark names its own files, so the tasks that hold the rows write these through the file
+    system of the path; a repeated task writes the same files again.
+    """
+    base = path if "://" in path else f"file://{path.removeprefix('file:')}"
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for system, topic, value in zip(*(c.to_pylist() for c in batch.columns)):
+                files, folder = fs.FileSystem.from_uri(f"{base}/{system}")
+                files.create_dir(folder)
+                with files.open_output_stream(f"{folder}/{prefix}{topic}.txt") as out:
+                    out.write(value.encode())
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], names=["n"])
+
+    wanted = rows.select("system", "topic", "value").where(F.col("value").isNotNull())
+    wanted.mapInArrow(write, "n long").agg(F.sum("n")).collect()
+
+
 def topic_json(terms: DataFrame) -> DataFrame:
     """Per system one JSON object ``{topic: [[word, score], ...]}``: ``system, value``.
 
