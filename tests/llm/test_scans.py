@@ -314,6 +314,35 @@ def test_tool_calls(spark):
     assert chat_tools.link(tables[0].limit(0), tables[1].limit(0), tools).count() == 0
 
 
+def test_long_chains_and_merges(spark):
+    """A chain of 1,000 calls, cycles, and random graphs, against a plain walk."""
+    import random
+
+    random.seed(6)
+    graph = {(1, f"c{i}"): [f"c{i - 1}"] for i in range(1000)}
+    graph |= {(2, f"c{i}"): [f"c{(i + 1) % 5}"] for i in range(5)} | {(2, "d0"): ["c0"], (2, "d1"): ["d0"], (2, "e"): [], (2, "f"): ["e", "d1"]}
+    for conv in range(3, 9):
+        graph |= {(conv, f"c{i}"): [f"c{random.randint(0, i + (random.random() < 0.03))}" for _ in range(random.choice((0, 1, 1, 2, 3)))] for i in range(40)}
+    want, moved = {}, True
+    while moved:
+        moved = False
+        for (conv, call), after in graph.items():
+            below = [(conv, b) for b in after if (conv, b) in graph]
+            if (conv, call) not in want and all(b in want for b in below):
+                want[conv, call] = max((want[b] + 1 for b in below), default=0)
+                moved = True
+    rows = [(*k, v) for k, v in graph.items()]
+    calls = spark.createDataFrame(rows, "conv_id long, call_id string, after array<string>")
+    got = {(r["conv_id"], r["call_id"]): r["level"] for r in chat_tools.levels(calls).collect()}
+    assert got == want and got[1, "c999"] == 999 and (2, "f") not in got
+
+
+def test_lone_surrogates():
+    assert chat_tools.check('{"text":"\\ud800","limit":3}', chat_tools.TOOLS["search"]) == (["arguments: lone surrogate"], None)
+    assert chat_tools.check('{"\\udfff":1}', None) == (["arguments: lone surrogate"], None)
+    assert chat_tools.check('{"text":"\\ud83d\\ude00","limit":3}', chat_tools.TOOLS["search"]) == ([], {"text": "\U0001f600", "limit": 3})
+
+
 def test_tool_call_query(spark):
     """The registered derivation against a plain pass over the chats."""
     turns = spark.read.parquet("/root/testdata/sf0.001/conversations.parquet")
@@ -321,7 +350,7 @@ def test_tool_call_query(spark):
     got = chat_tools.link(*chat_tools.from_turns(turns), chat_tools.TOOLS).collect()
     spoken = {k for k, r in rows.items() if r["role"] == "assistant"}
     heard = {(c, t - 1) for (c, t), r in rows.items() if r["role"] == "user" and t > 0}
-    level = lambda c, t: 1 + level(c, t // 2) if t // 2 != t and (c, t // 2) in spoken else 0
+    level = lambda c, t: 1 + level(c, t - 2) if (c, t - 2) in spoken else 0
     assert {(r["call_id"], r["status"], r["level"]) for r in got} == {
         (f"call-{c}-{t}", "linked" if (c, t) in heard else "pending", level(c, t)) for c, t in spoken
     } | {(f"call-{c}-{t}", "orphan", None) for c, t in heard - spoken}

@@ -11,8 +11,8 @@ result without a call (no level, name or record); ``cyclic``, a call that follow
 through others (no level). Of calls that repeat an id in a conversation the first turn stays,
 of results likewise; ``n_calls`` and ``n_results`` tell how many there were. Null ids never
 match: such a call is pending, such a result an orphan. Names in ``after`` that are no calls
-are ignored. Arguments that are null, no JSON, repeat a key or hold NaN are invalid, as is an
-unknown tool; ``errors`` says why. Empty tables give an empty result.
+are ignored. Arguments that are null, no JSON, repeat a key, hold NaN or half of a surrogate
+pair (the record then has null for them) are invalid, as is an unknown tool; ``errors`` says why. Empty tables give an empty result.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ import json
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ticketloom.llm.storage import stored
@@ -102,36 +102,81 @@ def check(arguments: str | None, schema: dict | None) -> tuple[list[str], object
         return ["arguments: not JSON"], None
     if arguments is None:
         return ["arguments: missing"], None
+    try:
+        canonical(value).encode()
+    except UnicodeEncodeError:
+        return ["arguments: lone surrogate"], None
     if schema is None:
         return ["name: unknown tool"], value
     return problems(value, schema), value
 
 
+def _jumped(single: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Chains of calls that follow one call each, by pointer jumping.
+
+    ``single`` has (conv_id, call_id, before). Returns, for each call whose chain ends, the call
+    (conv_id, call_id, anchor, steps) it ends at, which follows none or several; calls that lead
+    into a cycle of such calls are left out. The number of rounds grows with the logarithm of the
+    longest chain: a round doubles the steps, and one that ends no chain was the last.
+    """
+    done, open_ = None, stored(single.select(*CALL, F.col("before").alias("anchor"), F.lit(1).alias("steps")), "chains")
+    known = open_.select("conv_id", F.col("call_id").alias("anchor"))
+    while True:
+        ended = stored(open_.join(known, ["conv_id", "anchor"], "left_anti").select(*CALL, "anchor", "steps"), "chains")
+        if ended.isEmpty():
+            return done if done is not None else ended
+        done = ended if done is None else done.unionByName(ended)
+        rest = open_.join(ended.select(*CALL), CALL, "left_anti")
+        # Calls half-way that have ended carry on with their end, others with where they are.
+        ahead = done.unionByName(rest).select(
+            "conv_id", F.col("call_id").alias("anchor"), F.col("anchor").alias("_next"), F.col("steps").alias("_more")
+        )
+        open_ = stored(
+            rest.join(ahead, ["conv_id", "anchor"]).select(
+                *CALL, F.col("_next").alias("anchor"), (F.col("steps") + F.col("_more")).alias("steps")
+            ),
+            "chains",
+        )
+
+
 def levels(calls: DataFrame) -> DataFrame:
-    """(conv_id, call_id, level) of every call that is in no cycle; one round a level."""
+    """(conv_id, call_id, level) of every call that is in no cycle and follows none.
+
+    Chains of calls with one predecessor are shortened to one step first; the rounds over levels
+    that remain are those of calls that follow several, and read what the last round found only.
+    """
     edges = (
         calls.select(*CALL, F.explode("after").alias("before"))
         .distinct()
         .join(calls.select("conv_id", F.col("call_id").alias("before")), ["conv_id", "before"])
     )
-    edges = stored(edges, "edges")
-    known = stored(
-        calls.select(*CALL).join(edges.select(*CALL).distinct(), CALL, "left_anti").withColumn("level", F.lit(0)), "levels"
+    needs = F.count(F.lit(1)).over(Window.partitionBy(*CALL))
+    edges = stored(edges.withColumn("needs", needs), "edges")
+    chains = stored(_jumped(edges.where("needs = 1").select(*CALL, "before")), "chains")
+    free = calls.select(*CALL).join(edges.select(*CALL).distinct(), CALL, "left_anti").withColumn("level", F.lit(0))
+    # Edges of calls that follow several, each led back to the end of its predecessor's chain.
+    several = edges.where("needs > 1")
+    ends = chains.select("conv_id", F.col("call_id").alias("before"), "anchor", "steps")
+    single = edges.where("needs = 1").select("conv_id", F.col("call_id").alias("before"))
+    direct = several.join(single, ["conv_id", "before"], "left_anti")
+    led = several.join(ends, ["conv_id", "before"]).select(*CALL, "anchor", (F.col("steps") + 1).alias("steps"), "needs")
+    waiting = stored(
+        led.unionByName(direct.select(*CALL, F.col("before").alias("anchor"), F.lit(1).alias("steps"), "needs")), "waiting"
     )
-    needs = edges.groupBy(*CALL).agg(F.count(F.lit(1)).alias("needs"))
-    while True:
-        met = edges.join(known.select("conv_id", F.col("call_id").alias("before"), "level"), ["conv_id", "before"])
-        ready = (
-            met.groupBy(*CALL)
-            .agg(F.count(F.lit(1)).alias("met"), F.max("level").alias("below"))
-            .join(needs, CALL)
-            .where("met = needs")
-            .select(*CALL, (F.col("below") + 1).alias("level"))
+    known = new = stored(free, "levels")
+    met = None  # what waiting calls have heard from their predecessors so far
+    while not new.isEmpty():
+        heard = waiting.join(new.withColumnRenamed("call_id", "anchor"), ["conv_id", "anchor"]).select(
+            *CALL, "needs", F.lit(1).alias("met"), (F.col("level") + F.col("steps")).alias("level")
         )
-        new = stored(ready.join(known.select(*CALL), CALL, "left_anti"), "levels")
-        if new.isEmpty():
-            return known
+        heard = heard if met is None else met.unionByName(heard)
+        summed = heard.groupBy(*CALL, "needs").agg(F.sum("met").cast("int").alias("met"), F.max("level").alias("level"))
+        met = stored(summed, "met")
+        new = stored(met.where("met = needs").select(*CALL, "level"), "levels")
+        met = met.where("met < needs")
         known = known.unionByName(new)
+    ended = chains.join(known.withColumnRenamed("call_id", "anchor"), ["conv_id", "anchor"])
+    return known.unionByName(ended.select(*CALL, (F.col("level") + F.col("steps")).alias("level")))
 
 
 def link(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -> DataFrame:
@@ -205,7 +250,9 @@ def link(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -> Data
             )
 
     kinds = [f"{n} {k}" for n, k in rows.dtypes if n not in ("arguments", "after", "content")]
-    return rows.mapInArrow(checked, f"{', '.join(kinds)}, {CHECKED}").orderBy("conv_id", "level", "turn", "call_id")
+    # Stored, so that the sort, which reads its input twice, checks no call again.
+    found = stored(rows.mapInArrow(checked, f"{', '.join(kinds)}, {CHECKED}"), "checked")
+    return found.orderBy("conv_id", "level", "turn", "call_id")
 
 
 #: Tools of the registered query.
@@ -234,7 +281,7 @@ TOOLS = {
 
 def from_turns(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Calls and results of plain chats: what a chat looks like when every assistant turn is a
-    call of a tool, taken by its length, that follows the call at half its turn, and the user
+    call of a tool, taken by its length, that follows the call two turns before, and the user
     turn behind it brings the result."""
     length = F.length("text")
     call_id = lambda turn: F.concat_ws("-", F.lit("call"), "conv_id", turn)
@@ -252,7 +299,7 @@ def from_turns(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
                 F.when(length % 3 == 2, F.substring("text", 1, 2)).alias("into"),
             )
         ).alias("arguments"),
-        F.array(call_id(F.floor(F.col("turn") / 2))).alias("after"),
+        F.array(call_id(F.col("turn") - 2)).alias("after"),
     )
     heard = turns.where("role = 'user' and turn > 0 and conv_id is not null")
     results = heard.select("conv_id", "turn", call_id(F.col("turn") - 1).alias("call_id"), F.col("text").alias("content"))
