@@ -43,7 +43,7 @@ def test_urls(spark, monkeypatch):
     monkeypatch.setattr(url_digest, "SHARD_RULES", 2)
     urls = [
         None, "", "no scheme", "http://NET/", "http://x.a.net", "http://x.A.net/x1?q", "https://bnet/", "ftp://q.net/y#z", "://",
-        "http:///n", "http://b.org/é/1", "http://É.b.org/é/", "a://b://c.net/", "http://a.net?x/", "http://a.net/x" + "y" * 5000,
+        "http:///n", "http://b.org/é/1", "http://É.b.org/é/", "a://b://c.net/", "http://a.net?x/", "http://a.net/x" + "y" * 5000, "http://" + "a." * 500_000 + "net/x1",
     ]
     pages = spark.createDataFrame([(i, u, "k") for i, u in enumerate(urls + urls[:4])], "page_id long, url string, rule string")
     rules = spark.createDataFrame(RULES, "host string, path string, verdict string")
@@ -121,6 +121,30 @@ def test_language_mixtures(spark):
     assert mixture_langid.infer("12 !", model) == ("und", 0.0)
 
 
+def test_mixtures_of_twelve_languages():
+    """Every language takes part: proportions and chosen set against a plain EM and all growing sets."""
+    rng = np.random.default_rng(11)
+    names = [f"l{i:02d}" for i in range(12)]
+    alphabet = [chr(c) for c in range(97, 123)]
+    letters = [rng.dirichlet(np.full(26, 0.15)) for _ in names]
+    write = lambda i, n: "".join(rng.choice([*alphabet, " "], size=n, p=[*(letters[i] * 0.85), 0.15]))
+    counts = np.zeros((12, mixture_langid.BINS))
+    for i in range(12):
+        np.add.at(counts[i], mixture_langid.trigrams(write(i, 20_000)), 1)
+    model = mixture_langid.Model(names, counts)
+    for parts in ([(11, 900)], [(0, 2000), (11, 700)], [(3, 800), (9, 800), (11, 800)]):
+        text = " ".join(write(i, n) for i, n in parts)
+        found = mixture_langid.mixture(text, model)
+        assert {lang for lang, _ in found} == {names[i] for i, _ in parts}
+        likely = np.exp(model.logs[mixture_langid.trigrams(text)].astype(np.float64))
+        own = [names.index(lang) for lang, _ in found]
+        shares = np.full(len(own), 1 / len(own))
+        for _ in range(3000):
+            given = likely[:, own] * shares
+            shares = (given / given.sum(1, keepdims=True)).mean(0)
+        assert [s for _, s in found] == pytest.approx(shares.tolist(), abs=0.01)
+
+
 def test_languages_odd_rows(odd, none, odd_rows):
     got = mixture_langid.identify(odd).collect()
     assert len(got) == len(odd_rows)
@@ -355,6 +379,15 @@ def test_tool_call_query(spark):
         (f"call-{c}-{t}", "linked" if (c, t) in heard else "pending", level(c, t)) for c, t in spoken
     } | {(f"call-{c}-{t}", "orphan", None) for c, t in heard - spoken}
     for r in got:
+        if r["status"] != "orphan":
+            text = rows[r["conv_id"], r["turn"]]["text"]
+            n = len(text)
+            wrong = {
+                "search": [f"$.limit: {'below minimum' if n % 60 < 1 else 'above maximum'}"] * (not 1 <= n % 60 <= 50) + ["$.text: bad length"] * (n < 1),
+                "summarise": ["$.style: not in enum"] * (n % 2),
+                "translate": ["$.text: bad length"] * (n > 1000),
+            }[("search", "summarise", "translate")[n % 3]]
+            assert (r["valid"], r["errors"]) == (not wrong, "; ".join(wrong))
         if r["record"]:
             value = json.loads(r["record"])
             assert r["record"] == json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False)

@@ -27,8 +27,7 @@ from ticketloom.llm.storage import crc_fold, light_batches
 
 BINS = 1 << 15
 MAX_LANGUAGES = 512
-CANDIDATES = 8  # languages, best by themselves, that a mixture is made of
-STEPS = 12
+TOLERANCE = 1e-4  # of a share, at which EM has settled
 SMOOTHING = 0.1
 PENALTY = 4.0  # times the log of the number of trigrams, for each further language
 UNKNOWN = "und"
@@ -102,21 +101,29 @@ def learn(training: DataFrame, text_col: str = "text", lang_col: str = "lang") -
 
 
 def _mixture(likely: np.ndarray, weights: np.ndarray | None, start: np.ndarray) -> tuple[np.ndarray, float]:
-    """Proportions after the steps of EM, and the log-likelihood of the last but one."""
+    """Proportions once a step of EM moves none by more than TOLERANCE, and their log-likelihood."""
     shares, total = start, len(likely) if weights is None else weights.sum()
-    for _ in range(STEPS):
+    while True:
         of_all = likely @ shares
         given = 1.0 / of_all if weights is None else weights / of_all
-        shares = shares * (given @ likely) / total
+        moved = shares * (given @ likely) / total
+        still = np.abs(moved - shares).max() <= TOLERANCE
+        shares = moved
+        if still:
+            break
     logs = np.log(likely @ shares)
     return shares, float(logs.sum() if weights is None else weights @ logs)
 
 
-def infer(text: str | None, model: Model) -> tuple[str, float]:
-    """The main language of a text and its share."""
+def mixture(text: str | None, model: Model) -> list[tuple[str, float]]:
+    """The languages of a text with their shares, the largest first; none without a letter.
+
+    Every learned language takes part. The set is grown in the order of the shares that all
+    languages get together, as long as a further one gains more than its price.
+    """
     bins = trigrams(text) if text else np.zeros(0, np.int64)
     if not len(bins) or not model.languages:
-        return UNKNOWN, 0.0
+        return []
     weights = None
     if len(bins) > BINS:  # long texts by distinct trigrams, so that memory stays bounded
         counts = np.bincount(bins, minlength=BINS)
@@ -124,33 +131,42 @@ def infer(text: str | None, model: Model) -> tuple[str, float]:
         weights = counts[bins].astype(np.float64)
     logs = model.logs[bins]
     alone = logs.sum(0, dtype=np.float64) if weights is None else weights @ logs
-    top = np.argsort(-alone, kind="stable")[:CANDIDATES]
-    logs = logs[:, top]
+    first = int(alone.argmax())
     peak = logs.max(1)
     likely = np.exp(logs - peak[:, None]).astype(np.float64)
     base = float(peak.sum(dtype=np.float64) if weights is None else weights @ peak)
     count = len(bins) if weights is None else weights.sum()
     price = PENALTY * np.log(count + 1)
-    chosen, shares, score = [0], np.ones(1), alone[top[0]]
-    full, most = _mixture(likely, weights, np.full(len(top), 1 / len(top)))
-    order = np.argsort(-full, kind="stable")
-    for k in range(2, len(top) + 1):
+    chosen, shares, score = [first], np.ones(1), alone[first]
+    full, most = _mixture(likely, weights, np.full(len(alone), 1 / len(alone)))
+    order = [first, *(i for i in np.argsort(-full, kind="stable").tolist() if i != first)]
+    for k in range(2, len(order) + 1):
         # No set gains more over one language than all languages together do.
-        if base + most - alone[top[0]] <= price:
+        if base + most - alone[first] <= price:
             break
         these = order[:k]
-        found, logged = _mixture(likely[:, these], weights, full[these] / full[these].sum())
+        start = np.maximum(full[these], TOLERANCE)
+        found, logged = _mixture(likely[:, these], weights, start / start.sum())
         if base + logged - price * (k - 1) <= score:
             break
-        chosen, shares, score = list(these), found, base + logged - price * (k - 1)
-    best = max(range(len(chosen)), key=lambda i: (round(shares[i], 12), -int(top[chosen[i]])))
-    return model.languages[top[chosen[best]]], float(min(1.0, shares[best]))
+        chosen, shares, score = these, found, base + logged - price * (k - 1)
+    ranked = sorted(zip(shares, chosen), key=lambda p: (-round(p[0], 12), p[1]))
+    return [(model.languages[i], float(min(1.0, share))) for share, i in ranked]
+
+
+def infer(text: str | None, model: Model) -> tuple[str, float]:
+    """The main language of a text and its share."""
+    found = mixture(text, model)
+    return found[0] if found else (UNKNOWN, 0.0)
 
 
 def identify(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang"
 ) -> DataFrame:
-    """doc_id, held_out, lang_pred and score of every row, learned from the other fold."""
+    """doc_id, held_out, lang_pred and score of every row, learned from the other fold.
+
+    ``languages`` and ``proportions`` are the chosen set, the largest share first.
+    """
     held = held_out(F.col(id_col))
     model = learn(docs.where(~held), text_col, lang_col)
     shared = docs.sparkSession.sparkContext.broadcast(model)
@@ -158,20 +174,23 @@ def identify(
     def predicted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shared.value
         for batch in batches:
-            found = [infer(text, known) for text in batch.column(2).to_pylist()]
+            found = [mixture(text, known) for text in batch.column(2).to_pylist()]
+            main = [f[0] if f else (UNKNOWN, 0.0) for f in found]
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0),
                     batch.column(1),
-                    pa.array([lang for lang, _ in found], pa.string()),
-                    pa.array([share for _, share in found], pa.float64()),
+                    pa.array([lang for lang, _ in main], pa.string()),
+                    pa.array([share for _, share in main], pa.float64()),
+                    pa.array([[lang for lang, _ in f] for f in found], pa.list_(pa.string())),
+                    pa.array([[share for _, share in f] for f in found], pa.list_(pa.float64())),
                 ],
-                names=["doc_id", "held_out", "lang_pred", "score"],
+                names=["doc_id", "held_out", "lang_pred", "score", "languages", "proportions"],
             )
 
     rows = docs.select(F.col(id_col).alias("doc_id"), held.alias("held_out"), F.col(text_col).alias("text"))
     kind = dict(rows.dtypes)["doc_id"]
-    return rows.mapInArrow(predicted, f"doc_id {kind}, held_out boolean, lang_pred string, score double")
+    return rows.mapInArrow(predicted, f"doc_id {kind}, held_out boolean, lang_pred string, score double, languages array<string>, proportions array<double>")
 
 
 def held_out(key: Column) -> Column:
