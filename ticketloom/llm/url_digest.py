@@ -135,20 +135,23 @@ def _opened(names: tuple[str, ...]) -> list[Shard]:
     return [Shard(SparkFiles.get(name)) for name in names]
 
 
-def suffixes(host: str) -> list[str]:
-    """The host and all its parents."""
-    found = [host]
-    while (dot := found[-1].find(".")) >= 0:
-        found.append(found[-1][dot + 1 :])
+def suffixes(host: str, longest: int) -> list[str]:
+    """The host and its parents, those no longer than the longest host of a rule."""
+    found = [host] if len(host) <= longest else []
+    at = host.find(".", max(0, len(host) - longest - 1))
+    while at >= 0:
+        found.append(host[at + 1 :])
+        at = host.find(".", at + 1)
     return found
 
 
 def _best_rules(hosts: list[str], paths: list[str], shards: list[Shard]) -> list[tuple | None]:
     """(length, host length, rule, allow) of the winner for each URL."""
     lengths = sorted({int(n) for shard in shards for n in shard.paths})
+    longest = max((int(shard.host_lengths.max()) for shard in shards if len(shard.host_lengths)), default=0)
     owner, strings, split = [], [], []
     for row, (host, path) in enumerate(zip(hosts, paths)):
-        for suffix in suffixes(host):
+        for suffix in suffixes(host, longest):
             for length in lengths:
                 if length <= len(path):
                     owner.append(row)
