@@ -42,7 +42,7 @@ NAMES = ("password", "passwd", "secret", "token", "api")
 _ASSIGN = re.compile(ASSIGN, re.ASCII | re.IGNORECASE)
 _ACCESS = re.compile(ACCESS)
 _HEX = re.compile(HEX)
-VERSION = hashlib.sha256("\n".join((ASSIGN, ACCESS, HEX)).encode()).hexdigest()[:16]
+VERSION = hashlib.sha256("\n".join((ASSIGN, ACCESS, HEX, str(ASSIGN_LENGTH), str(ACCESS_LENGTH))).encode()).hexdigest()[:16]
 
 FINDINGS = "array<struct<kind: int, start: long, end: long>>"
 LEDGER = f"blob binary, version string, findings {FINDINGS}"

@@ -35,7 +35,7 @@ CELL_ROWS = 2_048  # vectors of a label for each pivot
 MAX_PIVOTS = 4_096  # of all labels together, which bounds their broadcast
 HOME_BLOCK = 1_024
 BLOCK = 4_096
-SLACK = 1e-9  # on distances, against rounding
+SLACK = 1e-6  # on distances, against rounding, which takes a difference of squares to 4e-8
 
 
 def _matrix(vectors: pd.Series) -> np.ndarray:
