@@ -69,6 +69,7 @@ def select_tickets(
     are ranked and the order of the draw where they are drawn.
     """
     texts = tickets.select("system", "id", "position", "text")
+    no_place = F.lit(None).cast("long").alias("_place")
     if distribution is None:
         unranked = assignments
         ranked_choice = None
@@ -77,27 +78,23 @@ def select_tickets(
         own = assignments.join(ranked_systems, "system", "left_semi").join(
             distribution.select("system", "id", "topic", "prob"), ["system", "id", "topic"], "left"
         )
-        probabilities = own.select(*TOPIC, "id", F.coalesce("prob", F.lit(0.0)).alias("prob"))
-        core = stored(
-            core_tickets(probabilities).select(*TOPIC, "id", F.lit("core").alias("part"))
-        )
-        periphery = periphery_tickets(probabilities, core=core).select(
-            *TOPIC, "id", F.lit("periphery").alias("part")
-        )
-        # At most core + periphery rows per topic, so the texts need not be shuffled.
-        chosen_ids = stored(core.unionByName(periphery))
-        ranked_choice = texts.join(chosen_ids, ["system", "id"]).withColumn("_place", F.col("position"))
+        # Ranked from one stored table of narrow rows: the core, and the draw outside it.
+        probabilities = stored(own.select(*TOPIC, "id", F.coalesce("prob", F.lit(0.0)).alias("prob")))
+        core = stored(core_tickets(probabilities).select(*TOPIC, "id", F.lit("core").alias("part")))
+        periphery = periphery_tickets(probabilities, core=core).select(*TOPIC, "id", F.lit("periphery").alias("part"))
+        ranked_choice = core.unionByName(periphery).select("*", no_place)
         unranked = assignments.join(ranked_systems, "system", "left_anti")
     drawn = fallback_tickets(
-        unranked.join(texts.where(F.col("text").isNotNull()), ["system", "id"]).select(
+        unranked.join(texts.where(F.col("text").isNotNull()).select("system", "id", "position"), ["system", "id"]).select(
             *TOPIC, "id", "position"
         )
     )
-    places = drawn.select(*TOPIC, "id", "part", F.col("rank").cast("long").alias("_place"))
-    chosen = texts.join(stored(places), ["system", "id"])
+    chosen_ids = drawn.select(*TOPIC, "id", "part", F.col("rank").cast("long").alias("_place"))
     if ranked_choice is not None:
-        chosen = ranked_choice.unionByName(chosen.select(*ranked_choice.columns))
-    chosen = chosen.where(F.col("text").isNotNull())
+        chosen_ids = ranked_choice.unionByName(chosen_ids)
+    # At most core + periphery rows per topic, stored, and one join to the texts for all of them.
+    chosen = texts.join(stored(chosen_ids), ["system", "id"]).where(F.col("text").isNotNull())
+    chosen = chosen.withColumn("_place", F.coalesce("_place", F.col("position").cast("long")))
     numbered = Window.partitionBy(*TOPIC, "part").orderBy("_place", "id")
     return chosen.withColumn("number", F.row_number().over(numbered)).select(
         *TOPIC, "part", "number", "id", "text"
