@@ -50,40 +50,32 @@ def near(texts, n):
 class Backoff:
     """A word model read token by token, with dictionaries."""
 
-    def __init__(self, texts, arcs):
-        self.counts, grams = Counter(), {2: Counter(), 3: Counter()}
+    def __init__(self, texts):
+        self.counts, self.arcs = Counter(), {2: Counter(), 3: Counter()}
         for text in texts:
             tokens = words(text) + [""]
             self.counts.update(tokens)
             for n in (2, 3):
-                grams[n].update(tuple(tokens[i : i + n]) for i in range(len(tokens) - n + 1))
+                self.arcs[n].update(tuple(tokens[i : i + n]) for i in range(len(tokens) - n + 1))
         self.total, self.distinct = sum(self.counts.values()), len(self.counts)
-        self.arcs = {2: {g: c for g, c in grams[2].items() if c * arcs > self.total}}
-        self.arcs[3] = {g: c for g, c in grams[3].items() if c * arcs > self.total and g[:2] in self.arcs[2]}
-        self.weights = {}
+        self.states = defaultdict(lambda: [0, 0])
         for n in (2, 3):
-            held = defaultdict(lambda: [0.0, 0.0])
             for gram, count in self.arcs[n].items():
-                held[gram[:-1]][0] += (count - 0.5) / self.of(gram[:-1])
-                held[gram[:-1]][1] += self.p(gram[1:-1], gram[-1])
-            self.weights.update({s: (1 - a) / (1 - b) for s, (a, b) in held.items()})
-
-    def of(self, state):
-        return self.counts[state[0]] if len(state) == 1 else self.arcs[2][state]
+                self.states[gram[:-1]][0] += count
+                self.states[gram[:-1]][1] += 1
 
     def p(self, state, word):
         if not state:
             return (self.counts[word] + 0.5) / (self.total + 0.5 * (self.distinct + 1))
-        if (gram := (*state, word)) in self.arcs[len(gram)]:
-            return (self.arcs[len(gram)][gram] - 0.5) / self.of(state)
-        return self.weights.get(state, 1.0) * self.p(state[1:], word)
+        if state not in self.states:
+            return self.p(state[1:], word)
+        count, arcs = self.states[state]
+        own = max(self.arcs[len(state) + 1].get((*state, word), 0) - 0.5, 0)
+        return own / count + 0.5 * arcs / count * self.p(state[1:], word)
 
     def score(self, text):
         tokens, found, base = words(text) + [""], 0.0, 0.0
         for i, word in enumerate(tokens):
-            state = tuple(tokens[max(0, i - 2) : i])
-            if len(state) == 2 and state not in self.arcs[2]:
-                state = state[1:]
-            found += log10(self.p(state, word))
+            found += log10(self.p(tuple(tokens[max(0, i - 2) : i]), word))
             base += log10(self.p((), word))
         return base, found

@@ -207,12 +207,13 @@ def test_two_fit_replaces_the_smallest():
 
 def test_scores(spark, monkeypatch):
     monkeypatch.setattr(backoff_lm, "HEAD", 3000)
-    monkeypatch.setattr(backoff_lm, "ARCS", 1500)
+    monkeypatch.setattr(backoff_lm, "SPAN", 700)
+    monkeypatch.setattr(backoff_lm, "BUCKET", 5000)
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
     training = [t for i, t in rows if zlib.crc32(str(i).encode()) % 5 != 1]
-    want = Backoff(training, 1500)
-    assert want.arcs[3] and sum(want.counts.values()) > 10_000
+    want = Backoff(training)
+    assert sum(want.counts.values()) > 10_000
     for state in [("the",), next(iter(want.arcs[2]))]:
         total = sum(want.p(state, w) for w in want.counts) + want.p(state, "never seen")
         assert total == pytest.approx(1)
@@ -231,7 +232,7 @@ def test_scores_keep_rare_arcs(spark):
     """With more than 65,536 tokens, too, pairs and triples that occur once are arcs."""
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
-    want = Backoff([t for i, t in rows if zlib.crc32(str(i).encode()) % 5 != 1], float("inf"))
+    want = Backoff([t for i, t in rows if zlib.crc32(str(i).encode()) % 5 != 1])
     assert want.total > 1 << 16 and min(want.arcs[3].values()) == 1
     got = {r["doc_id"]: r["score"] for r in backoff_lm.scores(docs).collect()}
     for i, text in rows:
@@ -241,7 +242,7 @@ def test_scores_keep_rare_arcs(spark):
 def test_scores_odd_rows(odd, none, odd_rows):
     got = backoff_lm.scores(odd).collect()
     assert len(got) == len(odd_rows)
-    want = Backoff([r[1] for r in odd_rows if zlib.crc32(str("" if r[0] is None else r[0]).encode()) % 5 != 1], backoff_lm.ARCS)
+    want = Backoff([r[1] for r in odd_rows if zlib.crc32(str("" if r[0] is None else r[0]).encode()) % 5 != 1])
     expected = sorted((str(i), len(words(t)) + 1, round(want.score(t)[0], 4)) for i, t in (r[:2] for r in odd_rows))
     assert sorted((str(r["doc_id"]), r["n_tokens"], round(r["base_score"], 4)) for r in got) == expected
     assert backoff_lm.scores(none).count() == 0

@@ -1,29 +1,36 @@
 """Language-model scores from a weighted automaton with failure arcs.
 
-States are the empty context, words and word pairs. An arc from a state carries the
-discounted log-probability of a next word; a state without the arc follows its failure arc,
-which carries the state's backoff weight, to the state of its shorter context, and the empty
-context has an arc for every word. Reading a text from left to right, the state after a token
-is set by the last two tokens alone, so every token meets its arc by a join on its triple.
-
-What is counted covers all training texts: words, pairs and triples are tables, which grow
-with the corpus, and none is left out however rare (ARCS, if finite, drops the arcs used by at
-most 1 / ARCS of all tokens). The only part held by every task is bounded by its definition:
-words that make up more than 1 / HEAD of all tokens (at most HEAD). They go by their place,
-others by 63 bits of a hash whose seed is changed until no two training words share one; a
-word seen in no training text takes the hash of one that is with probability V / 2^63.
-
-Probabilities are P(w) = (c + 0.5) / (N + 0.5 (V + 1)) without context, (c(s, w) - D) / c(s)
-for an arc, and a backoff weight that makes every state sum to one.
-
-Defined cases: a null text counts as empty and consists of the end token. Rows repeated under
-one id and text get equal scores. Without training texts every word has probability one half
-of one half, that is 1 of V + 1 = 1, and all scores are 0. Only the named columns are read.
+States are the empty context, words and word pairs. An arc from a state carries the smoothed
+log-probability of a next word; a state without the arc follows its failure arc, which carries
+the state's backoff weight, to the state of its shorter context, and the empty context has an
+arc for every word. Reading a text from left to right, the state after a token is set by the
+last two tokens alone.
+
+Probabilities are P(w) = (c + 0.5) / (N + 0.5 (V + 1)) without context and, with D = 0.5,
+(c(s, w) - D) / c(s) + weight(s) P(w | shorter s) on an arc. The weight is D times the number
+of arcs of s over c(s), so every state sums to one (interpolated absolute discounting).
+
+Counts cover all training texts, and no pair or triple is left out however rare. Texts are cut
+into chunks of at most SPAN tokens, which are stored. A chunk sends each of its distinct pairs
+and triples once, with its own training count, to the bucket of its state; the bucket adds the
+counts of all chunks and answers every chunk, which then holds the part of the automaton that
+its texts visit and walks them through it. So a pair or triple in a third of all rows is one
+entry a chunk, and a text of any length is walked in chunks that overlap by two tokens. A state
+that may hold much of the corpus has its arcs in several buckets, by next word; the counts of
+such states (at most SPREAD ** 2 pairs of words) are added up by Spark and sent to all tasks.
+
+Every task also holds the words that make up more than 1 / HEAD of all tokens (at most HEAD).
+They go by their place, others by 63 bits of a hash whose seed is changed until no two
+training words share one; a word seen in no training text takes the hash of one that is with
+probability V / 2^63, and two of S states go by one key with probability S^2 / 2^65.
+
+Defined cases: a null text counts as empty and consists of the end token. Repeated rows are
+scored one by one. Without training texts every word has probability one half of one half,
+that is 1 of V + 1 = 1, and all scores are 0. Only the named columns are read.
 """
 
 from __future__ import annotations
 
-import math
 from collections import Counter
 from collections.abc import Iterator
 from itertools import repeat
@@ -31,20 +38,23 @@ from itertools import repeat
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark import TaskContext
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
 from ticketloom.llm.storage import crc_fold, light_batches, stored
 
 HEAD = 1 << 20
-ARCS = math.inf
 DISCOUNT = 0.5
 ADDED = 0.5
 END = b""
 START = -(1 << 63)  # stands before the first word of a text; no word has it
 FOLDS, HELD_OUT = 5, 1
 FLUSH = 500_000  # distinct words a task counts before it gives them out
-SPAN = 1_000_000  # tokens whose equal triples a task counts together
+SPAN = 1 << 19  # tokens of a chunk
+BUCKET = 1 << 21  # tokens for each bucket of states, on average
+SPREAD = 1 << 10  # words with a larger share of all tokens than 1 / SPREAD may have divided states
 
 
 def tokens(text: bytes | None) -> list[bytes]:
@@ -73,9 +83,11 @@ def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 class Words:
     """Ids of words: the place of those that are held, a negative hash of the others."""
 
-    def __init__(self, words: list[bytes], counts: np.ndarray, below: float, seed: int):
+    def __init__(self, words: list[bytes], counts: np.ndarray, total: int, distinct: int, seed: int):
         self.places = {word: i for i, word in enumerate(words)}
-        self.logs = np.log10((counts + ADDED) / below)
+        self.counts = counts
+        self.total = total
+        self.below = total + ADDED * (distinct + 1)
         self.seed = seed
 
     def hashed(self, word: bytes) -> int:
@@ -87,253 +99,294 @@ class Words:
             found[at] = self.hashed(words[at])
         return found
 
+    def held(self, ids: np.ndarray) -> np.ndarray:
+        """Counts of the held words among these, 0 for others."""
+        return np.where(ids >= 0, self.counts[np.maximum(ids, 0)], 0)
 
-def _sequence(texts: list, own: Words) -> tuple[np.ndarray, np.ndarray, list[list[bytes]]]:
-    """Ids of all tokens of a batch, the place of each text's first one, and the words."""
-    words = [tokens(text) for text in texts]
-    first = np.concatenate(([0], np.cumsum([len(w) for w in words])[:-1])).astype(np.int64)
-    return own.ids([w for of in words for w in of]), first, words
 
+def learn_words(training: DataFrame, text_col: str = "text"):
+    """Counts of all training words; the held ones and what sets ids, for all tasks."""
+    context = training.sparkSession.sparkContext
+    texts = training.select(F.col(text_col).cast("binary").alias("text"))
+    counts = stored(
+        texts.mapInArrow(_word_counts, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")), "words"
+    )
+    total, distinct = counts.agg(F.sum("n"), F.count(F.lit(1))).first()
+    total = total or 0
+    often = (F.col("n") * HEAD > total) | (F.col("word") == F.lit(bytearray(END)))
+    held = counts.where(often).toArrow().sort_by("word")  # at most HEAD rows and the end, by definition
+    names, numbers = held["word"].to_pylist(), held["n"].to_numpy()
+    if END not in names:
+        names, numbers = [*names, END], np.append(numbers, 0)
 
-def _triples(ids: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """The place of every token but a text's first, and it with the two before it."""
-    one = np.concatenate(([START], ids[:-1]))
-    two = np.concatenate(([START, START], ids[:-2]))[: len(ids)]
-    later = np.ones(len(ids), bool)
-    later[first] = False
-    second = first + 1
-    two[second[second < len(ids)]] = START
-    at = np.flatnonzero(later)
-    return at, two[at], one[at], ids[at]
+    def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(shared.value.ids(batch.column(0).to_pylist()))], names=["id"])
 
+    for seed in range(64):
+        shared = context.broadcast(Words(names, numbers.astype(np.int64), total, distinct, seed))
+        if counts.select("word").mapInArrow(hashes, "id long").distinct().count() == distinct:
+            return shared
+        shared.unpersist()
+    raise ValueError("no seed tells all words apart")
+
+
+def _pack(*arrays: np.ndarray) -> bytes:
+    """Arrays of whole numbers as one compressed value, byte by byte of their places."""
+    planes = [np.ascontiguousarray(a.astype("<i8").view(np.uint8).reshape(-1, 8).T).tobytes() for a in arrays]
+    head = np.array([len(arrays), *(len(a) for a in arrays)], "<i8").tobytes()
+    body = b"".join(planes)
+    return head + (pa.compress(body, codec="zstd", asbytes=True) if body else b"")
+
+
+def _unpack(blob: bytes) -> list[np.ndarray]:
+    many = int(np.frombuffer(blob, "<i8", 1)[0])
+    sizes = np.frombuffer(blob, "<i8", many, 8)
+    whole = 8 * int(sizes.sum())
+    body = pa.decompress(blob[8 * (many + 1) :], decompressed_size=whole, codec="zstd", asbytes=True) if whole else b""
+    found, at = [], 0
+    for size in sizes.tolist():
+        planes = np.frombuffer(body, np.uint8, 8 * size, at).reshape(8, size)
+        found.append(np.ascontiguousarray(planes.T).view("<i8").ravel())
+        at += 8 * size
+    return found
 
-def _counted(*columns: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
-    """Distinct rows of the columns and how often each occurs."""
-    order = np.lexsort(columns)
-    ordered = [c[order] for c in columns]
-    new = np.ones(len(order), bool)
-    if len(order):
-        new[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in ordered])
-    starts = np.flatnonzero(new)
-    return [c[starts] for c in ordered], np.diff(np.append(starts, len(order)))
 
+def _mix(x: np.ndarray) -> np.ndarray:
+    """Whole numbers spread over 64 bits, one to one."""
+    x = x.astype(np.int64).view(np.uint64) + np.uint64(0x9E3779B97F4A7C15)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return (x ^ (x >> np.uint64(31))).view(np.int64)
 
-def _slices(batches: Iterator[pa.RecordBatch], most: int = 256) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for at in range(0, batch.num_rows, most):
-            yield batch.slice(at, most)
 
+def _cut(texts: DataFrame, shared, kind) -> DataFrame:
+    """One row a chunk: its texts' rows (uid, doc_id, held_out) and tokens, as pieces of texts.
 
-def _text_hash(text: bytes | None) -> int:
-    return xxhash.xxh3_64_intdigest(text or b"") - (1 << 63)
+    A piece starts with the two tokens before it (skip) and ends with the one behind it
+    (ahead), which are read but not scored.
+    """
 
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task = TaskContext.get().partitionId() << 40
+        rows, chunks, waiting = 0, 0, 0
+        pieces: list[tuple] = []
 
-def _word_ids(counts: DataFrame, shared) -> DataFrame:
-    """The table (id, c) of all training words."""
+        def out() -> pa.RecordBatch:
+            nonlocal chunks, waiting
+            uid, ids, held, skip, ahead, tokens = zip(*pieces)
+            words, places = np.unique(np.concatenate(tokens), return_inverse=True)
+            sizes = np.array([len(t) for t in tokens])
+            blob = _pack(words, places, sizes, np.array(held), np.array(skip), np.array(ahead), np.array(uid))
+            row = [[task + chunks], [int(sizes.sum())], [list(ids)], [blob]]
+            chunks, waiting = chunks + 1, 0
+            pieces.clear()
+            return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(row, types)], names=["chunk", "size", "ids", "blob"])
 
-    def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = shared.value.ids(batch.column(0).to_pylist())
-            yield pa.RecordBatch.from_arrays([pa.array(ids), batch.column(1)], names=["id", "c"])
+            types = [pa.int64(), pa.int64(), pa.list_(batch.schema.field(0).type), pa.binary()]
+            for doc_id, held, text in zip(*(c.to_pylist() for c in batch.columns)):
+                ids = shared.value.ids(tokens(text))
+                for start in range(0, len(ids), SPAN):
+                    piece = ids[max(0, start - 2) : start + SPAN + 1]
+                    if pieces and waiting + len(piece) > SPAN:
+                        yield out()
+                    pieces.append((task + rows, doc_id, held, min(start, 2), int(start + SPAN < len(ids)), piece))
+                    waiting += len(piece)
+                rows += 1
+        if pieces:
+            yield out()
 
-    return counts.select("word", "n").mapInArrow(numbered, "id long, c long")
+    schema = StructType(
+        [StructField("chunk", LongType()), StructField("size", LongType()), StructField("ids", ArrayType(kind))]
+    ).add("blob", "binary")
+    return stored(texts.mapInArrow(cut, schema), "chunks")
+
+
+class Grams:
+    """The distinct pairs and triples of a chunk as arcs of states, and the buckets of their states."""
+
+    def __init__(self, blob: bytes, own: Words, buckets: int):
+        self.words, place, sizes, self.held, skip, ahead, self.uid = _unpack(blob)
+        self.place = place
+        self.piece = np.repeat(np.arange(len(sizes)), sizes)
+        first = np.cumsum(sizes) - sizes
+        at = np.arange(len(place)) - first[self.piece]
+        self.scored = (at >= skip[self.piece]) & (at < (sizes - ahead)[self.piece])
+        learnt = self.scored & (self.held[self.piece] == 0)
+        many = len(self.words)
+        self.two, self.three = np.flatnonzero(at >= 1), np.flatnonzero(at >= 2)
+        pairs, self.pair = np.unique(place[self.two - 1] * many + place[self.two], return_inverse=True)
+        self.pair_at = np.full(len(place), -1)
+        self.pair_at[self.two] = self.pair
+        triples, self.triple = np.unique(self.pair_at[self.three - 1] * many + place[self.three], return_inverse=True)
+        self.pairs = len(pairs)
+        # States: the words, then the pairs; an arc is a state and a next word.
+        first_word, last_word = pairs // many, pairs % many
+        ids = self.words
+        keys = np.concatenate([_mix(_mix(np.full(many, START)) + ids), _mix(_mix(ids[first_word]) + ids[last_word])])
+        self.state = np.concatenate([first_word, many + triples // many])
+        following = ids[np.concatenate([last_word, triples % many])]
+        times = np.concatenate(
+            [np.bincount(self.pair, learnt[self.two], len(pairs)), np.bincount(self.triple, learnt[self.three], len(triples))]
+        ).astype(np.int64)
+        # A state is at most as frequent as the words it consists of.
+        counts = own.held(ids)
+        most = np.concatenate([counts, np.minimum(counts[first_word], counts[last_word])])
+        parts = 1 + most * min(buckets, SPREAD) // max(own.total, 1)
+        salt = _mix(following).view(np.uint64) % parts[self.state].astype(np.uint64)
+        bucket = _mix(keys[self.state] + salt.view(np.int64)).view(np.uint64) % np.uint64(buckets)
+        self.keys, self.divided, self.following, self.times = keys, parts > 1, following, times
+        self.order = np.argsort(bucket, kind="stable")
+        names, starts = np.unique(bucket[self.order], return_index=True)
+        self.buckets = dict(zip(names.astype(int).tolist(), np.split(self.order, starts[1:]))) if len(names) else {}
+
+    @staticmethod
+    def states(state: np.ndarray) -> np.ndarray:
+        """Where runs of equal states begin; arcs are in the order of their states."""
+        return np.flatnonzero(np.append(True, state[1:] != state[:-1]))
+
+
+def _ask(chunks: DataFrame, shared, buckets: int) -> DataFrame:
+    def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for chunk, blob in zip(*(c.to_pylist() for c in batch.columns)):
+                grams = Grams(blob, shared.value, buckets)
+                rows = []
+                for arcs in grams.buckets.values():
+                    state = grams.state[arcs]
+                    new = grams.states(state)
+                    sizes = np.diff(np.append(new, len(arcs)))
+                    own = state[new]
+                    rows.append(_pack(grams.keys[own], sizes, grams.divided[own], grams.following[arcs], grams.times[arcs]))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(list(grams.buckets), pa.int64()), pa.array([chunk] * len(rows), pa.int64()), pa.array(rows, pa.binary())],
+                    names=["bucket", "chunk", "blob"],
+                )
 
+    return chunks.select("chunk", "blob").mapInArrow(asked, "bucket long, chunk long, blob binary")
 
-def _weight(kept: str, lower: str) -> Column:
-    """Log of the backoff weight of a state with these arcs."""
-    left, rest = (F.greatest(1 - F.sum(name), F.lit(1e-300)) for name in (kept, lower))
-    return F.log10(left / rest)
 
+_ANSWER = "bucket long, chunk long, blob binary, divided array<struct<state: long, c: long, arcs: long>>"
 
-def learn(training: DataFrame, text_col: str = "text"):
-    """The shared word ids, the table (word, n) of all words, the number of tokens and of words, and the arcs.
 
-    The arcs are four tables: pairs (b, w, gain) and triples (a, b, w, gain), where gain is
-    the log-probability of the arc less that of w alone, and the weights of their states,
-    (b, weight) and (a, b, weight).
-    """
-    context = training.sparkSession.sparkContext
-    light_batches(training.sparkSession)
-    texts = training.select(F.col(text_col).cast("binary").alias("text"))
-    counts = stored(
-        texts.mapInArrow(_word_counts, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")), "words"
-    )
-    total, distinct = counts.agg(F.sum("n"), F.count(F.lit(1))).first()
-    total = total or 0
-    below = total + ADDED * (distinct + 1)
-    held = counts.where(F.col("n") * HEAD > total).toArrow().sort_by("word")  # at most HEAD rows, by definition
-    names, numbers = held["word"].to_pylist(), held["n"].to_numpy().astype(np.float64)
-    for seed in range(64):
-        shared = context.broadcast(Words(names, numbers, below, seed))
-        words = stored(_word_ids(counts, shared), "word-ids")
-        if words.select("id").distinct().count() == distinct:
-            break
-        shared.unpersist()
-    else:
-        raise ValueError("no seed tells all words apart")
-
-    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pending, waiting = [], 0
-
-        def out() -> pa.RecordBatch:
-            (w, b, a), n = _counted(*(np.concatenate(c) for c in zip(*pending)))
-            return pa.RecordBatch.from_arrays([*map(pa.array, (a, b, w)), pa.array(n, pa.int64())], names=["a", "b", "w", "n"])
-
-        for batch in _slices(batches):
-            _, a, b, w = _triples(*_sequence(batch.column(0).to_pylist(), shared.value)[:2])
-            pending.append((w, b, a))
-            waiting += len(w)
-            if waiting > SPAN:
-                yield out()
-                pending, waiting = [], 0
-        if waiting:
-            yield out()
+def _answered(table: pa.Table) -> pa.Table:
+    """For every chunk that asked, the count of its arcs, and count and number of arcs of its states.
 
-    threes = stored(
-        texts.mapInArrow(counted, "a long, b long, w long, n long").groupBy("a", "b", "w").agg(F.sum("n").alias("n")),
-        "triples",
-    )
-    frequent = F.col("n") * F.lit(float(ARCS)) > total
-    pairs = threes.groupBy("b", "w").agg(F.sum("n").alias("n")).where(frequent)
-    pairs = stored(
-        pairs.join(words.select(F.col("id").alias("w"), F.col("c").alias("_last")), "w")
-        .join(words.select(F.col("id").alias("b"), F.col("c").alias("_state")), "b")
-        .select(
-            "b",
-            "w",
-            "n",
-            ((F.col("n") - DISCOUNT) / F.col("_state")).alias("p"),
-            ((F.col("_last") + ADDED) / below).alias("alone"),
-        ),
-        "pairs",
-    )
-    # A triple is at most as frequent as the pair it ends in, so that pair is an arc.
-    triples = stored(
-        threes.where((F.col("a") != START) & frequent)
-        .join(pairs.select("b", "w", F.col("p").alias("lower"), "alone"), ["b", "w"])
-        .join(pairs.select(F.col("b").alias("a"), F.col("w").alias("b"), F.col("n").alias("_state")), ["a", "b"])
-        .select("a", "b", "w", ((F.col("n") - DISCOUNT) / F.col("_state")).alias("p"), "lower", "alone"),
-        "arcs",
-    )
-    gain = (F.log10("p") - F.log10("alone")).alias("gain")
-    arcs = (
-        pairs.select("b", "w", gain),
-        triples.select("a", "b", "w", gain),
-        pairs.groupBy("b").agg(_weight("p", "alone").alias("weight")),
-        triples.groupBy("a", "b").agg(_weight("p", "lower").alias("weight")),
+    One row without a chunk gives out this bucket's part of divided states.
+    """
+    asked = [_unpack(blob) for blob in table["blob"].to_pylist()]
+    keys, sizes, divided, following, times = map(np.concatenate, zip(*asked))
+    _, state = np.unique(keys, return_inverse=True)
+    arcs = np.repeat(state, sizes)
+    order = np.lexsort((following, arcs))
+    new = np.ones(len(order), bool)
+    new[1:] = (arcs[order][1:] != arcs[order][:-1]) | (following[order][1:] != following[order][:-1])
+    starts = np.flatnonzero(new)
+    sums = np.add.reduceat(times[order], starts)
+    found = np.empty(len(order), np.int64)
+    found[order] = sums[np.cumsum(new) - 1]
+    of = arcs[order][starts]
+    count = np.bincount(of, sums).astype(np.int64)
+    number = np.bincount(of, sums > 0).astype(np.int64)
+    answers, at, arc = [], 0, 0
+    for own in asked:
+        mine = state[at : at + len(own[0])]
+        answers.append(_pack(found[arc : arc + len(own[3])], count[mine], number[mine]))
+        at, arc = at + len(own[0]), arc + len(own[3])
+    part = np.unique(state[divided > 0], return_index=True)
+    parts = [
+        {"state": k, "c": c, "arcs": n}
+        for k, c, n in zip(keys[divided > 0][part[1]].tolist(), count[part[0]].tolist(), number[part[0]].tolist())
+    ]
+    entry = pa.list_(pa.struct([("state", pa.int64()), ("c", pa.int64()), ("arcs", pa.int64())]))
+    bucket = table["bucket"][0].as_py()
+    return pa.table(
+        {
+            "bucket": pa.array([bucket] * (len(answers) + 1), pa.int64()),
+            "chunk": pa.array([*table["chunk"].to_pylist(), None], pa.int64()),
+            "blob": pa.array([*answers, None], pa.binary()),
+            "divided": pa.array([[]] * len(answers) + [parts], entry),
+        }
     )
-    return shared, counts, total, distinct, arcs
 
 
-def _gains(texts: DataFrame, shared, arcs: tuple, kind: str) -> DataFrame:
-    """By id and text hash, what the states add to the log-probability without context, over all copies.
-
-    A token takes the gain of its triple; without that arc the weight of the pair before it,
-    if that is a state, and the gain of the pair it ends, and without that the word's weight.
-    """
-    pairs, triples, of_word, of_pair = arcs
-
-    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _slices(batches):
-            texts = batch.column(1).to_pylist()
-            ids, first, _ = _sequence(texts, shared.value)
-            at, a, b, w = _triples(ids, first)
-            row = np.searchsorted(first, at, "right") - 1
-            (w, b, a, row), times = _counted(w, b, a, row)
-            hashes = np.array([_text_hash(t) for t in texts], np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(pa.array(row)), *map(pa.array, (hashes[row], a, b, w)), pa.array(times, pa.int64())],
-                names=["doc_id", "hash", "a", "b", "w", "times"],
-            )
-
-    found = texts.mapInArrow(spread, f"doc_id {kind}, hash long, a long, b long, w long, times long")
-    missed = (
-        found.join(triples.select("a", "b", "w"), ["a", "b", "w"], "left_anti")
-        .join(of_pair.withColumnRenamed("weight", "_pair"), ["a", "b"], "left")
-        .join(pairs, ["b", "w"], "left")
-        .join(of_word.withColumnRenamed("weight", "_word"), "b", "left")
-        .withColumn("gain", F.coalesce("_pair", F.lit(0.0)) + F.coalesce("gain", "_word", F.lit(0.0)))
-    )
-    each = ["doc_id", "hash", (F.col("times") * F.col("gain")).alias("gain")]
-    return (
-        found.join(triples, ["a", "b", "w"]).select(*each).unionByName(missed.select(*each))
-        .groupBy(F.col("doc_id").alias("_gain_id"), F.col("hash").alias("_gain_hash"))
-        .agg(F.sum("gain").alias("gain"))
-    )
+def _walk(grams: Grams, own: Words, answers: dict[int, bytes], divided: tuple[np.ndarray, ...]):
+    """Log-probability of every token of a chunk, without context and by the automaton, and if it is known."""
+    n = np.zeros(len(grams.state), np.int64)
+    count, number = (np.zeros(len(grams.keys), np.int64) for _ in range(2))
+    for bucket, arcs in grams.buckets.items():
+        mine, c, arcs_of = _unpack(answers[bucket])
+        n[arcs] = mine
+        state = grams.state[arcs]
+        state = state[grams.states(state)]
+        count[state], number[state] = c, arcs_of
+    keys, c, arcs_of = divided
+    if len(keys):
+        at = np.minimum(np.searchsorted(keys, grams.keys), len(keys) - 1)
+        whole = grams.divided & (keys[at] == grams.keys)
+        count[whole], number[whole] = c[at[whole]], arcs_of[at[whole]]
+    many = len(grams.words)
+    # A word that is not held begins a pair wherever it stands, so the count of its state is its own.
+    seen = np.where(grams.words >= 0, own.held(grams.words), count[:many])
+    alone = (seen + ADDED) / own.below
+
+    def smoothed(arcs: slice, lower: np.ndarray) -> np.ndarray:
+        state = grams.state[arcs]
+        c = np.maximum(count[state], 1)
+        weight = np.where(count[state] > 0, DISCOUNT * number[state] / c, 1.0)  # of the failure arc
+        return np.maximum(n[arcs] - DISCOUNT, 0) / c + weight * lower
+
+    p = alone[grams.place]
+    base = np.log10(p)
+    last = np.zeros(grams.pairs, np.int64)
+    last[grams.pair] = grams.place[grams.two]
+    of_pair = smoothed(slice(0, grams.pairs), alone[last])
+    p[grams.two] = of_pair[grams.pair]
+    ends = np.zeros(len(grams.state) - grams.pairs, np.int64)
+    ends[grams.triple] = grams.pair_at[grams.three]
+    p[grams.three] = smoothed(slice(grams.pairs, None), of_pair[ends])[grams.triple]
+    return base, np.log10(p), seen[grams.place] > 0
 
 
 def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row."""
+    spark = docs.sparkSession
+    light_batches(spark)
     held = crc_fold(F.col(id_col), FOLDS) == HELD_OUT
-    shared, counts, total, distinct, arcs = learn(docs.where(~held), text_col)
-    kind = dict(docs.select(F.col(id_col)).dtypes)[id_col]
-    rare_kind = pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int64())]))
-
-    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = shared.value
-        for batch in _slices(batches):
-            texts = batch.column(2).to_pylist()
-            ids, first, words = _sequence(texts, own)
-            alone = np.append(own.logs, 0.0)[np.maximum(ids, -1)]  # that of other words is missing
-            rare = [
-                [{"word": w, "n": n} for w, n in Counter(w for w in of if w not in own.places).items()] for of in words
-            ]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0),
-                    batch.column(1),
-                    pa.array([_text_hash(t) for t in texts], pa.int64()),
-                    pa.array([len(w) for w in words], pa.int64()),
-                    pa.array(np.add.reduceat((ids >= 0).astype(np.int64), first)),
-                    pa.array(np.add.reduceat(alone, first)),
-                    pa.array(rare, rare_kind),
-                ],
-                names=["doc_id", "held_out", "hash", "n_tokens", "held", "alone", "rare"],
-            )
-
+    shared = learn_words(docs.where(~held), text_col)
+    total = shared.value.total
     texts = docs.select(F.col(id_col).alias("doc_id"), held.alias("held_out"), F.col(text_col).cast("binary").alias("text"))
-    rows = stored(
-        texts.mapInArrow(
-            scored,
-            f"doc_id {kind}, held_out boolean, hash long, n_tokens long, held long, alone double, "
-            "rare array<struct<word: binary, n: long>>",
-        ),
-        "scored",
-    )
-    # Words that no task holds meet their counts by a join; equal rows give one sum.
-    each = rows.select("doc_id", "hash", F.posexplode("rare").alias("place", "item"))
-    below = total + ADDED * (distinct + 1)
-    log = F.log10((F.coalesce(F.col("n"), F.lit(0)) + ADDED) / below)
-    rest = (
-        each.select("doc_id", "hash", "place", F.col("item.word").alias("word"), F.col("item.n").alias("times"))
-        .join(counts, "word", "left")
-        .groupBy(F.col("doc_id").alias("_id"), F.col("hash").alias("_hash"))
-        .agg(
-            (F.sum(F.col("times") * log) / F.sum((F.col("place") == 0).cast("int"))).alias("rest"),
-            F.sum(F.when(F.col("n").isNotNull(), F.col("times"))).alias("seen"),
-            F.sum((F.col("place") == 0).cast("int")).alias("copies"),
-        )
-    )
-    # What the states add covers all copies of a row, of which each takes its part.
-    copies = rows.groupBy(F.col("doc_id").alias("_gain_id"), F.col("hash").alias("_gain_hash")).agg(
-        F.count(F.lit(1)).alias("_rows")
-    )
-    same = lambda ids, hashes: F.col("doc_id").eqNullSafe(F.col(ids)) & (F.col("hash") == F.col(hashes))
-    gains = _gains(texts.select("doc_id", "text"), shared, arcs, kind)
-    gains = gains.select(F.col("_gain_id").alias("_sum_id"), F.col("_gain_hash").alias("_sum_hash"), "gain")
-    both = (
-        rows.drop("rare")
-        .join(rest, same("_id", "_hash"), "left")
-        .join(copies, same("_gain_id", "_gain_hash"))
-        .join(gains, same("_sum_id", "_sum_hash"), "left")
+    kind = texts.schema["doc_id"].dataType
+    chunks = _cut(texts, shared, kind)
+    buckets = 1 + (chunks.agg(F.sum("size")).first()[0] or 0) // BUCKET
+    answers = stored(_ask(chunks, shared, buckets).groupBy("bucket").applyInArrow(_answered, _ANSWER), "answers")
+    parts = answers.where(F.col("chunk").isNull()).select(F.explode("divided").alias("part")).select("part.*")
+    # Divided states are words and pairs of words with a share above 1 / SPREAD: at most SPREAD + SPREAD ** 2.
+    table = parts.groupBy("state").agg(F.sum("c").alias("c"), F.sum("arcs").alias("arcs")).toArrow().sort_by("state")
+    divided = spark.sparkContext.broadcast(tuple(table[c].to_numpy() for c in ("state", "c", "arcs")))
+
+    def walked(asked: pa.Table, found: pa.Table) -> pa.Table:
+        own, blobs = shared.value, dict(zip(found["bucket"].to_pylist(), found["blob"].to_pylist()))
+        grams = Grams(asked["blob"][0].as_py(), own, buckets)
+        base, score, known = _walk(grams, own, blobs, divided.value)
+        pieces = len(grams.uid)
+        sums = [np.bincount(grams.piece[grams.scored], v[grams.scored], pieces) for v in (np.ones(len(base)), known, base, score)]
+        tokens, known = (pa.array(s.astype(np.int64)) for s in sums[:2])
+        held_out = pa.array(grams.held > 0)
+        columns = [pa.array(grams.uid), asked["ids"].combine_chunks().flatten(), held_out, tokens, known, *map(pa.array, sums[2:])]
+        return pa.table(columns, names=["uid", "doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"])
+
+    schema = StructType([StructField("uid", LongType()), StructField("doc_id", kind)])
+    for name, of in [("held_out", "boolean"), ("n_tokens", "long"), ("n_known", "long"), ("base_score", "double"), ("score", "double")]:
+        schema = schema.add(name, of)
+    found = answers.where(F.col("chunk").isNotNull()).select("bucket", "chunk", "blob")
+    pieces = chunks.select("chunk", "ids", "blob").groupBy("chunk").cogroup(found.groupBy("chunk")).applyInArrow(walked, schema)
+    rows = pieces.groupBy("uid").agg(
+        F.first("doc_id").alias("doc_id"),
+        F.first("held_out").alias("held_out"),
+        *(F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base_score", "score")),
     )
-    more = F.coalesce("rest", F.lit(0.0))
-    return both.select(
-        "doc_id",
-        "held_out",
-        "n_tokens",
-        (F.col("held") + F.coalesce((F.col("seen") / F.col("copies")).cast("long"), F.lit(0))).alias("n_known"),
-        F.lit(total).cast("long").alias("train_tokens"),
-        (F.col("alone") + more).alias("base_score"),
-        (F.col("alone") + more + F.coalesce(F.col("gain") / F.col("_rows"), F.lit(0.0))).alias("score"),
+    return rows.select(
+        "doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score"
     )
