@@ -22,7 +22,8 @@ such states (at most SPREAD ** 2 pairs of words) are added up by Spark and sent
 Every task also holds the words that make up more than 1 / HEAD of all tokens (at most HEAD).
 They go by their place, others by 63 bits of a hash whose seed is changed until no two
 training words share one; a word seen in no training text takes the hash of one that is with
-probability V / 2^63, and two of S states go by one key with probability S^2 / 2^65.
+probability V / 2^63, and two of M pairs and triples
+go by one key with probability M^2 / 2^65.
 
 Defined cases: a null text counts as empty and consists of the end token. Repeated rows are
 scored one by one. Without training texts every word has probability one half of one half,
@@ -53,7 +54,7 @@ START = -(1 << 63)  # stands before the first word of a text; no word has it
 FOLDS, HELD_OUT = 5, 1
 FLUSH = 500_000  # distinct words a task counts before it gives them out
 SPAN = 1 << 19  # tokens of a chunk
-BUCKET = 1 << 21  # tokens for each bucket of states, on average
+BUCKET = 1 << 20  # tokens for each bucket of states, on average
 SPREAD = 1 << 10  # words with a larger share of all tokens than 1 / SPREAD may have divided states
 
 
@@ -203,48 +204,106 @@ def _cut(texts: DataFrame, shared, kind) -> DataFrame:
     return stored(texts.mapInArrow(cut, schema), "chunks")
 
 
+def _distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """One place of every distinct key, and for every key the number of its distinct one."""
+    order = np.argsort(keys)
+    new = np.ones(len(keys), bool)
+    ordered = keys[order]
+    new[1:] = ordered[1:] != ordered[:-1]
+    number = np.empty(len(keys), np.int64)
+    number[order] = np.cumsum(new) - 1
+    return order[new], number
+
+
+def _summed(groups: np.ndarray, values: np.ndarray, many: int) -> np.ndarray:
+    return np.bincount(groups, values, many).astype(np.int64)
+
+
+def _pair_keys(first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    return _mix(_mix(first) + last)
+
+
+def _word_keys(words: np.ndarray) -> np.ndarray:
+    return _pair_keys(np.full(len(words), START), words)
+
+
 class Grams:
-    """The distinct pairs and triples of a chunk as arcs of states, and the buckets of their states."""
+    """The distinct pairs and triples of a chunk, and which bucket each belongs to.
+
+    What a bucket is asked is a tree: words, the pairs that begin with each, and the triples
+    that begin with each pair. Pairs go by their first word and triples by their first pair;
+    where such a state is divided, its arcs are dealt by their last word as well.
+    """
 
     def __init__(self, blob: bytes, own: Words, buckets: int):
-        self.words, place, sizes, self.held, skip, ahead, self.uid = _unpack(blob)
-        self.place = place
+        self.words, self.place, sizes, self.held, skip, ahead, self.uid = _unpack(blob)
+        place, ids, many = self.place, self.words, len(self.words)
         self.piece = np.repeat(np.arange(len(sizes)), sizes)
-        first = np.cumsum(sizes) - sizes
-        at = np.arange(len(place)) - first[self.piece]
+        at = np.arange(len(place)) - (np.cumsum(sizes) - sizes)[self.piece]
         self.scored = (at >= skip[self.piece]) & (at < (sizes - ahead)[self.piece])
         learnt = self.scored & (self.held[self.piece] == 0)
-        many = len(self.words)
         self.two, self.three = np.flatnonzero(at >= 1), np.flatnonzero(at >= 2)
         pairs, self.pair = np.unique(place[self.two - 1] * many + place[self.two], return_inverse=True)
-        self.pair_at = np.full(len(place), -1)
-        self.pair_at[self.two] = self.pair
-        triples, self.triple = np.unique(self.pair_at[self.three - 1] * many + place[self.three], return_inverse=True)
-        self.pairs = len(pairs)
-        # States: the words, then the pairs; an arc is a state and a next word.
-        first_word, last_word = pairs // many, pairs % many
-        ids = self.words
-        keys = np.concatenate([_mix(_mix(np.full(many, START)) + ids), _mix(_mix(ids[first_word]) + ids[last_word])])
-        self.state = np.concatenate([first_word, many + triples // many])
-        following = ids[np.concatenate([last_word, triples % many])]
-        times = np.concatenate(
-            [np.bincount(self.pair, learnt[self.two], len(pairs)), np.bincount(self.triple, learnt[self.three], len(triples))]
-        ).astype(np.int64)
+        pair_at = np.full(len(place), -1)
+        pair_at[self.two] = self.pair
+        size = max(len(pairs), 1)
+        triples, self.triple = np.unique(pair_at[self.three - 1] * many + place[self.three], return_inverse=True)
+        self.first, self.last = pairs // many, pairs % many
+        self.state, end = triples // many, triples % many
+        self.ends = np.zeros(len(triples), np.int64)  # the pair that a triple ends in
+        self.ends[self.triple] = pair_at[self.three]
+        self.word_keys = _word_keys(ids)
+        self.pair_keys = _pair_keys(ids[self.first], ids[self.last])
         # A state is at most as frequent as the words it consists of.
         counts = own.held(ids)
-        most = np.concatenate([counts, np.minimum(counts[first_word], counts[last_word])])
-        parts = 1 + most * min(buckets, SPREAD) // max(own.total, 1)
-        salt = _mix(following).view(np.uint64) % parts[self.state].astype(np.uint64)
-        bucket = _mix(keys[self.state] + salt.view(np.int64)).view(np.uint64) % np.uint64(buckets)
-        self.keys, self.divided, self.following, self.times = keys, parts > 1, following, times
-        self.order = np.argsort(bucket, kind="stable")
-        names, starts = np.unique(bucket[self.order], return_index=True)
-        self.buckets = dict(zip(names.astype(int).tolist(), np.split(self.order, starts[1:]))) if len(names) else {}
-
-    @staticmethod
-    def states(state: np.ndarray) -> np.ndarray:
-        """Where runs of equal states begin; arcs are in the order of their states."""
-        return np.flatnonzero(np.append(True, state[1:] != state[:-1]))
+        spread = min(buckets, SPREAD)
+        self.word_parts = 1 + counts * spread // max(own.total, 1)
+        self.pair_parts = np.minimum(self.word_parts[self.first], self.word_parts[self.last])
+        salts = _mix(ids).view(np.uint64)
+
+        def dealt(keys: np.ndarray, parts: np.ndarray, following: np.ndarray) -> np.ndarray:
+            part = salts[following] % parts.astype(np.uint64)
+            return (_mix(keys + part.view(np.int64)).view(np.uint64) % np.uint64(buckets)).astype(np.int64)
+
+        home = dealt(self.word_keys[self.first], self.word_parts[self.first], self.last)
+        bucket = home[self.state]
+        away = np.flatnonzero(self.pair_parts[self.state] > 1)
+        bucket[away] = dealt(self.pair_keys[self.state[away]], self.pair_parts[self.state[away]], end[away])
+        code = bucket * size + self.state
+        entries = np.unique(np.concatenate([home * size + np.arange(len(pairs)), code]))
+        self.entry = entries % size  # pairs by bucket, and where a divided one is away also by that
+        self.entry_bucket = entries // size
+        self.at_home = home[self.entry] == self.entry_bucket
+        self.order = np.argsort(code, kind="stable")  # triples by bucket and pair
+        starts = np.append(np.searchsorted(code[self.order], entries), len(code))
+        self.under = np.diff(starts)
+        self.names, cuts = np.unique(self.entry_bucket, return_index=True)
+        cuts = np.append(cuts, len(entries))
+        self.parts = [(slice(a, b), slice(starts[a], starts[b])) for a, b in zip(cuts[:-1], cuts[1:])]
+        self.end_ids = ids[end]
+        self.pair_times = _summed(self.pair, learnt[self.two], len(pairs))
+        self.triple_times = _summed(self.triple, learnt[self.three], len(triples))
+
+    def runs(self, entries: slice) -> np.ndarray:
+        """Where the pairs of a bucket turn to another first word."""
+        first = self.first[self.entry[entries]]
+        return np.flatnonzero(np.append(True, first[1:] != first[:-1]))
+
+    def question(self, entries: slice, arcs: slice) -> bytes:
+        pairs, triples = self.entry[entries], self.order[arcs]
+        runs = self.runs(entries)
+        heads = self.first[pairs[runs]]
+        return _pack(
+            self.words[heads],
+            np.diff(np.append(runs, len(pairs))),
+            self.word_parts[heads] > 1,
+            self.words[self.last[pairs]],
+            np.where(self.at_home[entries], self.pair_times[pairs], 0),
+            self.under[entries],
+            self.pair_parts[pairs] > 1,
+            self.end_ids[triples],
+            self.triple_times[triples],
+        )
 
 
 def _ask(chunks: DataFrame, shared, buckets: int) -> DataFrame:
@@ -252,15 +311,9 @@ def _ask(chunks: DataFrame, shared, buckets: int) -> DataFrame:
         for batch in batches:
             for chunk, blob in zip(*(c.to_pylist() for c in batch.columns)):
                 grams = Grams(blob, shared.value, buckets)
-                rows = []
-                for arcs in grams.buckets.values():
-                    state = grams.state[arcs]
-                    new = grams.states(state)
-                    sizes = np.diff(np.append(new, len(arcs)))
-                    own = state[new]
-                    rows.append(_pack(grams.keys[own], sizes, grams.divided[own], grams.following[arcs], grams.times[arcs]))
+                rows = [grams.question(*part) for part in grams.parts]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(list(grams.buckets), pa.int64()), pa.array([chunk] * len(rows), pa.int64()), pa.array(rows, pa.binary())],
+                    [pa.array(grams.names), pa.array([chunk] * len(rows), pa.int64()), pa.array(rows, pa.binary())],
                     names=["bucket", "chunk", "blob"],
                 )
 
@@ -271,34 +324,42 @@ _ANSWER = "bucket long, chunk long, blob binary, divided array<struct<state: lon
 
 
 def _answered(table: pa.Table) -> pa.Table:
-    """For every chunk that asked, the count of its arcs, and count and number of arcs of its states.
+    """For every chunk that asked, the counts of its arcs, and count and number of arcs of its states.
 
     One row without a chunk gives out this bucket's part of divided states.
     """
     asked = [_unpack(blob) for blob in table["blob"].to_pylist()]
-    keys, sizes, divided, following, times = map(np.concatenate, zip(*asked))
-    _, state = np.unique(keys, return_inverse=True)
-    arcs = np.repeat(state, sizes)
-    order = np.lexsort((following, arcs))
-    new = np.ones(len(order), bool)
-    new[1:] = (arcs[order][1:] != arcs[order][:-1]) | (following[order][1:] != following[order][:-1])
-    starts = np.flatnonzero(new)
-    sums = np.add.reduceat(times[order], starts)
-    found = np.empty(len(order), np.int64)
-    found[order] = sums[np.cumsum(new) - 1]
-    of = arcs[order][starts]
-    count = np.bincount(of, sums).astype(np.int64)
-    number = np.bincount(of, sums > 0).astype(np.int64)
-    answers, at, arc = [], 0, 0
+    words, pairs_under, words_divided, lasts, pair_times, triples_under, pairs_divided, ends, triple_times = map(
+        np.concatenate, zip(*asked)
+    )
+    word_keys = _word_keys(words)
+    _, word = _distinct(word_keys)
+    of_pair = np.repeat(word, pairs_under)
+    pair_keys = _pair_keys(np.repeat(words, pairs_under), lasts)
+    one_pair, pair = _distinct(pair_keys)
+    one_triple, triple = _distinct(_mix(np.repeat(pair_keys, triples_under) + ends))
+    of_triple = np.repeat(pair, triples_under)
+    pair_sums = _summed(pair, pair_times, len(one_pair))
+    triple_sums = _summed(triple, triple_times, len(one_triple))
+    many = int(word.max()) + 1
+    word_counts = _summed(of_pair, pair_times, many)[word]
+    word_arcs = _summed(of_pair[one_pair], pair_sums > 0, many)[word]
+    pair_counts = _summed(of_triple, triple_times, len(one_pair))[pair]
+    pair_arcs = _summed(of_triple[one_triple], triple_sums > 0, len(one_pair))[pair]
+    pair_sums, triple_sums = pair_sums[pair], triple_sums[triple]
+    answers, at = [], [0, 0, 0]
     for own in asked:
-        mine = state[at : at + len(own[0])]
-        answers.append(_pack(found[arc : arc + len(own[3])], count[mine], number[mine]))
-        at, arc = at + len(own[0]), arc + len(own[3])
-    part = np.unique(state[divided > 0], return_index=True)
-    parts = [
-        {"state": k, "c": c, "arcs": n}
-        for k, c, n in zip(keys[divided > 0][part[1]].tolist(), count[part[0]].tolist(), number[part[0]].tolist())
-    ]
+        a, b, c = (slice(start, start + len(own[of])) for start, of in zip(at, (0, 3, 7)))
+        answers.append(_pack(word_counts[a], word_arcs[a], pair_sums[b], pair_counts[b], pair_arcs[b], triple_sums[c]))
+        at = [a.stop, b.stop, c.stop]
+    parts = []
+    for keys, divided, counts, arcs in (
+        (word_keys, words_divided, word_counts, word_arcs),
+        (pair_keys, pairs_divided, pair_counts, pair_arcs),
+    ):
+        some = np.flatnonzero(divided)
+        some = some[_distinct(keys[some])[0]]
+        parts += [{"state": k, "c": c, "arcs": n} for k, c, n in zip(keys[some].tolist(), counts[some].tolist(), arcs[some].tolist())]
     entry = pa.list_(pa.struct([("state", pa.int64()), ("c", pa.int64()), ("arcs", pa.int64())]))
     bucket = table["bucket"][0].as_py()
     return pa.table(
@@ -313,39 +374,41 @@ def _answered(table: pa.Table) -> pa.Table:
 
 def _walk(grams: Grams, own: Words, answers: dict[int, bytes], divided: tuple[np.ndarray, ...]):
     """Log-probability of every token of a chunk, without context and by the automaton, and if it is known."""
-    n = np.zeros(len(grams.state), np.int64)
-    count, number = (np.zeros(len(grams.keys), np.int64) for _ in range(2))
-    for bucket, arcs in grams.buckets.items():
-        mine, c, arcs_of = _unpack(answers[bucket])
-        n[arcs] = mine
-        state = grams.state[arcs]
-        state = state[grams.states(state)]
-        count[state], number[state] = c, arcs_of
+    words, pairs, triples = len(grams.words), len(grams.first), len(grams.state)
+    word_counts, word_arcs = np.zeros(words, np.int64), np.zeros(words, np.int64)
+    pair_sums, pair_counts, pair_arcs = (np.zeros(pairs, np.int64) for _ in range(3))
+    triple_sums = np.zeros(triples, np.int64)
+    for bucket, (entries, arcs) in zip(grams.names.tolist(), grams.parts):
+        c1, n1, sums, c2, n2, triple_sums[grams.order[arcs]] = _unpack(answers[bucket])
+        mine, home = grams.entry[entries], grams.at_home[entries]
+        heads = grams.first[mine[grams.runs(entries)]]
+        word_counts[heads], word_arcs[heads] = c1, n1
+        pair_sums[mine[home]] = sums[home]
+        pair_counts[mine], pair_arcs[mine] = c2, n2
     keys, c, arcs_of = divided
-    if len(keys):
-        at = np.minimum(np.searchsorted(keys, grams.keys), len(keys) - 1)
-        whole = grams.divided & (keys[at] == grams.keys)
-        count[whole], number[whole] = c[at[whole]], arcs_of[at[whole]]
-    many = len(grams.words)
+    for own_keys, parts, counts, arcs in (
+        (grams.word_keys, grams.word_parts, word_counts, word_arcs),
+        (grams.pair_keys, grams.pair_parts, pair_counts, pair_arcs),
+    ):
+        if len(keys):
+            at = np.minimum(np.searchsorted(keys, own_keys), len(keys) - 1)
+            whole = (parts > 1) & (keys[at] == own_keys)
+            counts[whole], arcs[whole] = c[at[whole]], arcs_of[at[whole]]
     # A word that is not held begins a pair wherever it stands, so the count of its state is its own.
-    seen = np.where(grams.words >= 0, own.held(grams.words), count[:many])
+    seen = np.where(grams.words >= 0, own.held(grams.words), word_counts)
     alone = (seen + ADDED) / own.below
 
-    def smoothed(arcs: slice, lower: np.ndarray) -> np.ndarray:
-        state = grams.state[arcs]
-        c = np.maximum(count[state], 1)
-        weight = np.where(count[state] > 0, DISCOUNT * number[state] / c, 1.0)  # of the failure arc
-        return np.maximum(n[arcs] - DISCOUNT, 0) / c + weight * lower
+    def smoothed(sums: np.ndarray, count: np.ndarray, arcs: np.ndarray, lower: np.ndarray) -> np.ndarray:
+        some = np.maximum(count, 1)
+        weight = np.where(count > 0, DISCOUNT * arcs / some, 1.0)  # of the failure arc
+        return np.maximum(sums - DISCOUNT, 0) / some + weight * lower
 
     p = alone[grams.place]
     base = np.log10(p)
-    last = np.zeros(grams.pairs, np.int64)
-    last[grams.pair] = grams.place[grams.two]
-    of_pair = smoothed(slice(0, grams.pairs), alone[last])
-    p[grams.two] = of_pair[grams.pair]
-    ends = np.zeros(len(grams.state) - grams.pairs, np.int64)
-    ends[grams.triple] = grams.pair_at[grams.three]
-    p[grams.three] = smoothed(slice(grams.pairs, None), of_pair[ends])[grams.triple]
+    by_pair = smoothed(pair_sums, word_counts[grams.first], word_arcs[grams.first], alone[grams.last])
+    p[grams.two] = by_pair[grams.pair]
+    by_triple = smoothed(triple_sums, pair_counts[grams.state], pair_arcs[grams.state], by_pair[grams.ends])
+    p[grams.three] = by_triple[grams.triple]
     return base, np.log10(p), seen[grams.place] > 0
 
 
