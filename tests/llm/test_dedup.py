@@ -52,6 +52,14 @@ def test_directory_splits(spark):
     assert len({r["depth"] for r in held}) > 1
 
 
+def test_directory_names_the_bucket_of_a_link(odd):
+    index, table, bits = extendible.build_index(odd, capacity=2)
+    found = extendible.routed(index.select("key", F.col("bucket").alias("own")), table, bits).collect()
+    assert len(found) == index.count() and all(r["bucket"] == r["own"] for r in found)
+    assert len({r["bucket"] for r in found}) > 1
+    assert extendible.routed(index.select("key"), table.where("false"), bits).count() == 0
+
+
 def test_components(spark):
     rng = random.Random(3)
     pairs = [(rng.randrange(300), rng.randrange(300)) for _ in range(200)] + [(i, i + 1) for i in range(400, 440)]

@@ -5,8 +5,9 @@ normal form after the map side has merged equal ones, so bytes decide and texts
 collide become separate links of one chain. A directory maps the leading bits of a key to a
 bucket: a bucket that holds more than ``capacity`` links is split at its next bit, and the
 directory doubles while a split needs one more bit than it has. Every owner task then writes
-one contiguous range of buckets, in key order, to the shared folder. Looking texts up is a
-join with these files in which heavy keys are dealt to several tasks.
+one contiguous range of buckets, in key order, to the shared folder. A text is looked up by
+way of the directory, which names its bucket, and by its key and digest in the chains of that
+bucket; heavy keys are dealt to several tasks.
 
 Defined cases: a null text counts as empty and equals other empty texts; a text of white
 space only equals a single space. ``kept`` marks the rows of the smallest ``doc_id`` of a
@@ -87,36 +88,39 @@ def cell(key: Column, bits: int) -> Column:
     return F.shiftrightunsigned(key, 64 - bits).cast("int") if bits else F.lit(0)
 
 
-def build_index(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, key=text_key
-) -> DataFrame:
-    """The index on shared files: bucket, depth, key, keep_id, group_size, digest.
+def routed(rows: DataFrame, table: DataFrame, bits: int) -> DataFrame:
+    """Rows with a key and the bucket that the directory names for it.
 
     The directory has at most 65 536 rows by definition, which bounds its broadcast.
     """
+    placed = rows.withColumn("cell", cell(F.col("key"), bits))
+    return placed.join(F.broadcast(table.drop("bits")), "cell").drop("cell")
+
+
+def build_index(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, key=text_key
+) -> tuple[DataFrame, DataFrame, int]:
+    """The index on shared files (bucket, depth, key, keep_id, group_size, digest), its directory and its bits."""
     links = stored(chains(docs, id_col, text_col, key), "links")
     table = stored(directory(links, capacity).coalesce(1), "directory")
     bits = (table.agg(F.max("bits")).first()[0]) or 0
-    placed = links.withColumn("cell", cell(F.col("key"), bits)).join(
-        F.broadcast(table.drop("bits")), "cell"
-    )
-    owned = placed.drop("cell").repartitionByRange("bucket", "key").sortWithinPartitions("bucket", "key", "keep_id")
-    return stored(owned, "index")
+    owned = routed(links, table, bits).repartitionByRange("bucket", "key")
+    return stored(owned.sortWithinPartitions("bucket", "key", "keep_id"), "index"), table, bits
 
 
 def exact_dedup(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, key=text_key
 ) -> DataFrame:
     """doc_id, keep_id, group_size, kept and text_sha256 of every row."""
-    index = build_index(docs, id_col, text_col, capacity, key)
+    index, table, bits = build_index(docs, id_col, text_col, capacity, key)
     normal = normal_form(F.col(text_col))
     rows = docs.select(
         F.col(id_col).alias("doc_id"), key(normal).alias("key"), F.sha2(normal, 256).alias("digest")
     )
     found = salted_join(
-        rows,
-        index.select("key", "digest", "keep_id", "group_size", F.col("group_size").alias("weight")),
-        ["key", "digest"],
+        routed(rows, table, bits).drop("depth"),
+        index.select("bucket", "key", "digest", "keep_id", "group_size", F.col("group_size").alias("weight")),
+        ["bucket", "key", "digest"],
         "weight",
         ["doc_id"],
     )
