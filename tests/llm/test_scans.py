@@ -197,6 +197,16 @@ def test_packing_odd_rows(spark, odd, none, odd_rows):
     assert best_two_fit.pack(none).count() == 0
 
 
+def test_equal_rows_are_packed_apart(spark, monkeypatch):
+    monkeypatch.setattr(best_two_fit, "EQUAL_BLOCK", 64)
+    for doc_id in (7, None):
+        rows = [(doc_id, "the same words")] * 2000
+        df = best_two_fit.pack(spark.createDataFrame(rows, "doc_id long, text string"), group_pieces=100)
+        packed(df, rows)
+        groups = Counter(r["sequence_id"] >> 32 for r in df.collect())
+        assert sum(groups.values()) == 2000 and len(groups) == 20 and max(groups.values()) < 200
+
+
 def test_two_fit_replaces_the_smallest():
     """7 + 2 leave a gap of 1; 2 gives way to 2 + 1 only if that fills more."""
     bins, offsets = best_two_fit.fill(np.array([7, 4, 3, 3]), 10)

@@ -12,7 +12,8 @@ ids of a text are those of its words in a row. A worker encodes a word once whil
 remembers it.
 
 Defined cases: a null or empty text is the end id alone. Rows repeated under one id are
-packed like others. Empty tables give an empty result. A word of any length is encoded whole.
+packed like others: equal pieces are counted and then dealt by their number, so that they
+do not meet in one group. Empty tables give an empty result. A word of any length is encoded whole.
 """
 
 from __future__ import annotations
@@ -37,6 +38,7 @@ CAPACITY = 4096
 END = struct.pack("<I", 1)
 WIDTH = len(END)  # bytes of an id
 GROUP_PIECES = 65_536  # pieces a task packs, on average
+EQUAL_BLOCK = 4_096  # equal pieces numbered at once
 KNOWN_WORDS = 500_000  # words of a generation, about 100 MB
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 PIECES = "piece int, start long, length long, ids_crc32 long"
@@ -188,9 +190,14 @@ def pack(
     """The pieces of all rows with their sequence_id and the offset in it."""
     pieces = stored(cut(docs, id_col, text_col, tokenizer), "pieces")
     groups = max(1, -(-pieces.count() // group_pieces))
-    dealt = pieces.withColumn(
-        "dealt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(groups)).cast("long")
-    )
+    block = F.explode(F.sequence(F.lit(0), F.expr(f"(_n - 1) div {EQUAL_BLOCK}"))).alias("_block")
+    first = F.col("_block") * EQUAL_BLOCK
+    number = F.explode(F.sequence(first, F.least("_n", first + EQUAL_BLOCK) - 1)).alias("_number")
+    equal = pieces.groupBy(*pieces.columns).agg(F.count(F.lit(1)).alias("_n"))
+    numbered = equal.select("*", block).select(*pieces.columns, number)
+    dealt = numbered.withColumn(
+        "dealt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", "_number"), F.lit(groups)).cast("long")
+    ).drop("_number")
 
     def packed(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values(["doc_id", "piece", "ids_crc32"], kind="stable")
