@@ -10,11 +10,15 @@ schedule reaches y, and the mix is range-sorted by that time.
 Inside a source documents stand in the order of the MD5 of their id. The words before a
 document are summed in two steps, over slices of the order and inside a slice, so no task
 sees a whole source. Whole documents are taken: every one as often as the target holds the
-source, the first ones once more, and one further document whose size best closes the gap.
+source, the first ones once more. The gap that is left, smaller than the document that did
+not fit, is filled by falling size, each time with the largest documents that fit, until it
+is smaller than any document left out; the smallest of those is added if that comes nearer.
 
-Defined cases: a null text has size 0 and is never taken. Rows repeated under one id stand
-side by side and are taken one by one. Null ids count as empty text in the order. Without any
-words all targets are 0. Only the named columns are read. Reruns give the same rows.
+Defined cases: a null text has size 0 and is never taken. Rows repeated under one id are
+taken one by one; where they fill a slice, the slice is cut by text and number of the copy,
+and equal rows are counted before they are dealt. Null ids count as empty text in the order.
+Without any words all targets are 0. Only the named columns are read. Reruns give the same
+rows.
 """
 
 from __future__ import annotations
@@ -75,35 +79,109 @@ def targets(sources: DataFrame) -> DataFrame:
 
 def _ordered(docs: DataFrame, id_col: str, text_col: str, source_col: str, more: dict[str, Column]) -> DataFrame:
     """Narrow rows with their source and the words before them in it, stored."""
-    rows = stored(
-        docs.select(
-            F.col(id_col).alias("doc_id"),
-            F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("src"),
-            F.col(source_col).isNull().alias("missing"),
-            word_count(F.col(text_col)).alias("size"),
-            F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")).alias("mark"),
-            *[c.alias(name) for name, c in more.items()],
-        ),
-        "sizes",
+    names = ["doc_id", "src", "missing", "size", "content", *more]
+    narrow = docs.select(
+        F.col(id_col).alias("doc_id"),
+        F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("src"),
+        F.col(source_col).isNull().alias("missing"),
+        word_count(F.col(text_col)).alias("size"),
+        F.xxhash64(text_col).alias("content"),
+        *[c.alias(name) for name, c in more.items()],
     )
-    sources = rows.groupBy("src", "missing").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("docs"))
+    equal = stored(narrow.groupBy(*names).agg(F.count(F.lit(1)).alias("n")), "sizes")
+    own = ["src", "missing"]
+    sources = equal.groupBy(*own).agg(F.sum(F.col("size") * F.col("n")).alias("source_size"), F.sum("n").alias("docs"))
     sources = stored(targets(sources).withColumn("slices", F.ceil(F.col("docs") / SLICE_ROWS)).coalesce(1), "sources")
-    leading = F.conv(F.substring("mark", 1, 8), 16, 10).cast("long")
-    sliced = salted_join(rows, sources, ["src", "missing"], "docs", ["mark"]).withColumn(
-        "slice", F.shiftright(leading * F.col("slices"), 32).cast("int")
+    mark = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
+    rows = salted_join(equal.withColumn("mark", mark), sources, own, "docs", ["mark", "content"]).withColumn(
+        "slice", F.shiftright(_leading("mark") * F.col("slices"), 32).cast("int")
     )
-    sliced = stored(sliced, "sliced")
-    own = ["src", "missing"]
-    earlier = Window.partitionBy(*own).orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
+    rows = stored(rows, "sliced")
+    # Only a slice that repeats an id many times is cut further.
+    fill = rows.groupBy(*own, "slice").agg(F.sum("n").alias("in_slice"), F.count(F.lit(1)).alias("rows_of"))
+    parts = fill.withColumn("parts", F.ceil(F.col("in_slice") / (4 * SLICE_ROWS))).drop("in_slice")
+    block = F.explode(F.sequence(F.lit(0), F.expr(f"(n - 1) div {SLICE_ROWS}"))).alias("_block")
+    first = F.col("_block") * SLICE_ROWS
+    number = F.explode(F.sequence(first, F.least("n", first + SLICE_ROWS) - 1)).alias("_number")
+    cut = salted_join(rows, parts, [*own, "slice"], "rows_of", ["mark", "content"]).select("*", block).select("*", number)
+    tie = F.md5(F.concat_ws(" ", "content", "_number").cast("binary"))
+    cut = cut.withColumn("tie", tie).withColumn("part", F.shiftright(_leading("tie") * F.col("parts"), 32).cast("int"))
+    cut = stored(cut.drop("content", "n", "parts", "slices", "_block", "_number"), "parts")
+    earlier = Window.partitionBy(*own).orderBy("slice", "part").rowsBetween(Window.unboundedPreceding, -1)
     bases = (
-        sliced.groupBy(*own, "slice")
+        cut.groupBy(*own, "slice", "part")
         .agg(F.sum("size").alias("words"))
-        .select(*own, "slice", F.coalesce(F.sum("words").over(earlier), F.lit(0)).alias("base"))
+        .select(*own, "slice", "part", F.coalesce(F.sum("words").over(earlier), F.lit(0)).alias("base"))
     )
-    inside = Window.partitionBy(*own, "slice").orderBy("mark", "doc_id", "size", *more)
+    inside = Window.partitionBy(*own, "slice", "part").orderBy("mark", "doc_id", "size", "tie", *more)
     running = F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, Window.currentRow))
     return stored(
-        sliced.join(bases, [*own, "slice"]).withColumn("start", F.col("base") + running - F.col("size")), "ordered"
+        cut.join(bases, [*own, "slice", "part"]).withColumn("start", F.col("base") + running - F.col("size")), "ordered"
+    )
+
+
+def _leading(digest: str) -> Column:
+    """The first 32 bits of a digest in hex."""
+    return F.conv(F.substring(digest, 1, 8), 16, 10).cast("long")
+
+
+def _fills(rows: DataFrame) -> DataFrame:
+    """src, missing, size, take, n: how many of the n documents of a size close the gap of a source.
+
+    One fold over the sizes below twice the gap, from the largest. The gap is smaller than the
+    document it was cut at, so a source has no more of these sizes than twice its longest text
+    has words. Every size taken at least halves what is left of the gap or runs out of documents.
+    """
+    own = ["src", "missing"]
+    sizes = (
+        rows.where(~F.col("first") & (F.col("size") > 0) & (F.col("size") < F.col("gap") * 2))
+        .groupBy(*own, "size")
+        .agg(F.count(F.lit(1)).alias("n"), F.max("gap").alias("gap"))
+    )
+    held = sizes.groupBy(*own).agg(
+        F.sort_array(F.collect_list(F.struct("size", "n")), asc=False).alias("sizes"), F.max("gap").alias("gap")
+    )
+    filled = F.expr(
+        """aggregate(sizes, named_struct('room', gap, 'takes', cast(array() AS array<struct<size: bigint, take: bigint>>)),
+             (acc, s) -> named_struct(
+               'room', acc.room - s.size * least(s.n, floor(acc.room / s.size)),
+               'takes', CASE WHEN s.size > acc.room THEN acc.takes
+                 ELSE concat(acc.takes, array(named_struct('size', s.size, 'take', least(s.n, floor(acc.room / s.size))))) END))"""
+    )
+    nearest = F.expr(
+        """array_min(transform(filter(sizes, s -> s.size > filled.room AND s.size < filled.room * 2
+             AND NOT exists(filled.takes, t -> t.size = s.size AND t.take = s.n)), s -> s.size))"""
+    )
+    last = F.when(
+        F.col("nearest").isNotNull(), F.array(F.struct(F.col("nearest").alias("size"), F.lit(1).cast("long").alias("take")))
+    ).otherwise(F.array().cast("array<struct<size: bigint, take: bigint>>"))
+    takes = (
+        held.withColumn("filled", filled)
+        .withColumn("nearest", nearest)
+        .select(*own, F.explode(F.concat("filled.takes", last)).alias("t"))
+        .groupBy(*own, F.col("t.size").alias("size"))
+        .agg(F.sum("t.take").alias("take"))
+    )
+    return stored(takes.join(sizes.drop("gap"), [*own, "size"]).coalesce(1), "fills")
+
+
+def _chosen(rows: DataFrame, fills: DataFrame) -> DataFrame:
+    """src_of, missing_of, start_of of the first ``take`` documents of each size, counted over slices."""
+    key = ["src", "missing", "size"]
+    there = rows.where(~F.col("first") & (F.col("size") > 0)).select(*key, "slice", "part", "start", "mark")
+    fitting = stored(salted_join(there, fills, key, "n", ["mark"]), "fitting")
+    earlier = Window.partitionBy(*key).orderBy("slice", "part").rowsBetween(Window.unboundedPreceding, -1)
+    bases = (
+        fitting.groupBy(*key, "slice", "part", "take")
+        .agg(F.count(F.lit(1)).alias("held"))
+        .withColumn("before", F.coalesce(F.sum("held").over(earlier), F.lit(0)))
+        .where("before < take")
+        .select(*key, "slice", "part", "before")
+    )
+    nth = F.row_number().over(Window.partitionBy(*key, "slice", "part").orderBy("start"))
+    ranked = fitting.join(bases, [*key, "slice", "part"]).withColumn("nth", F.col("before") + nth)
+    return ranked.where("nth <= take").select(
+        F.col("src").alias("src_of"), F.col("missing").alias("missing_of"), F.col("start").alias("start_of")
     )
 
 
@@ -128,17 +206,10 @@ def plan(
     )
     rows = stored(salted_join(rows, gaps, own, "docs_of", ["mark"]), "gaps")
     # Starts differ between documents that have words, so a start names its document.
-    miss = F.abs(F.col("gap") - F.col("size"))
-    fillers = (
-        rows.where(~F.col("first") & (F.col("size") > 0) & (miss < F.col("gap")))
-        .groupBy(*own)
-        .agg(F.min(F.struct(miss.alias("miss"), "start")).alias("filler"))
-        .select(F.col("src").alias("src_of"), F.col("missing").alias("missing_of"), F.col("filler.start").alias("filler"))
-    )
+    chosen = _chosen(rows, _fills(rows))
     same = (F.col("src") == F.col("src_of")) & (F.col("missing") == F.col("missing_of"))
-    # The start is part of the key: at most one row of a source meets its filler.
-    rows = rows.join(fillers, same & (F.col("start") == F.col("filler")) & (F.col("size") > 0), "left")
-    extra = F.col("filler").isNotNull()
+    rows = rows.join(chosen, same & (F.col("start") == F.col("start_of")) & (F.col("size") > 0), "left")
+    extra = F.col("start_of").isNotNull()
     copies = F.when(F.col("size") > 0, F.col("whole") + (F.col("first") | extra).cast("int")).otherwise(0)
     middle = F.col("start") + F.col("size") / 2
     share = lambda k: F.least(
@@ -195,7 +266,7 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
 
     Texts meet their plan by a digest of id and text, which is never null, so that the choice of
     one row and the join share one shuffle of the texts; the sort is the other one. Equal rows
-    are interchangeable: their copies are gathered and one of the rows is repeated for all.
+    are interchangeable: one of them is repeated for the copies of all.
     """
     digest = F.md5(
         F.concat(
@@ -205,7 +276,7 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
         ).cast("binary")
     )
     planned = plan(docs, more={"_hash": digest}).where("taken > 0")
-    times = planned.groupBy(F.col("_hash").alias("_own")).agg(F.flatten(F.collect_list("positions")).alias("_times"))
+    times = planned.select(F.col("_hash").alias("_own"), F.col("positions").alias("_times"))
     one = Window.partitionBy("_own").orderBy("source")
     once = docs.withColumn("_own", digest).withColumn("_copy", F.row_number().over(one)).where("_copy = 1")
     return (

@@ -182,7 +182,7 @@ FROM documents d LEFT JOIN joined j ON d.doc_id = j.doc_id
 
 
 MIX_SQL = r"""
-WITH rows AS (
+WITH RECURSIVE rows AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
          md5(CAST(doc_id AS VARCHAR)) AS mark FROM documents),
 sources AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM rows GROUP BY source),
@@ -211,14 +211,30 @@ firsts AS (
          size > 0 AND start + size <= target - whole * source_size AS first FROM placed),
 gaps AS (
   SELECT source, max(rest) - coalesce(max(start + size) FILTER (first), 0) AS gap FROM firsts GROUP BY source),
-fillers AS (
-  SELECT f.source, arg_min(start, (abs(gap - size), start)) AS filler
+sizes AS (
+  SELECT f.source, f.size, count(*) AS n, row_number() OVER (PARTITION BY f.source ORDER BY f.size DESC) AS k
   FROM firsts f JOIN gaps g ON f.source IS NOT DISTINCT FROM g.source
-  WHERE NOT first AND size > 0 AND abs(gap - size) < gap GROUP BY f.source),
+  WHERE NOT first AND f.size > 0 AND f.size < g.gap * 2 GROUP BY f.source, f.size),
+walk AS (
+  SELECT source, 0::BIGINT AS k, gap AS room, 0::BIGINT AS size, 0::BIGINT AS take, 0::BIGINT AS n FROM gaps
+  UNION ALL
+  SELECT w.source, s.k, w.room - s.size * CAST(least(s.n, floor(w.room / s.size)) AS BIGINT), s.size,
+         CAST(least(s.n, floor(w.room / s.size)) AS BIGINT), s.n
+  FROM walk w JOIN sizes s ON w.source IS NOT DISTINCT FROM s.source AND s.k = w.k + 1),
+rooms AS (SELECT source, arg_max(room, k) AS room FROM walk GROUP BY source),
+nearest AS (
+  SELECT w.source, min(w.size) AS size FROM walk w JOIN rooms r ON w.source IS NOT DISTINCT FROM r.source
+  WHERE w.take < w.n AND w.size > r.room AND w.size < r.room * 2 GROUP BY w.source),
+fills AS (
+  SELECT w.source, w.size, w.take + CAST(n.size IS NOT NULL AS BIGINT) AS take
+  FROM walk w LEFT JOIN nearest n ON w.source IS NOT DISTINCT FROM n.source AND w.size = n.size WHERE w.k > 0),
+nths AS (
+  SELECT *, row_number() OVER (PARTITION BY source, size, first ORDER BY start) AS nth FROM firsts),
+extras AS (
+  SELECT f.*, coalesce(NOT first AND f.size > 0 AND nth <= l.take, false) AS extra
+  FROM nths f LEFT JOIN fills l ON f.source IS NOT DISTINCT FROM l.source AND f.size = l.size),
 taken AS (
-  SELECT f.*, coalesce(f.start = l.filler AND f.size > 0, false) AS extra,
-         CASE WHEN f.size > 0 THEN whole + CAST(first OR coalesce(f.start = l.filler, false) AS INTEGER) ELSE 0 END AS copies
-  FROM firsts f LEFT JOIN fillers l ON f.source IS NOT DISTINCT FROM l.source),
+  SELECT *, CASE WHEN size > 0 THEN whole + CAST(first OR extra AS INTEGER) ELSE 0 END AS copies FROM extras),
 timed AS (
   SELECT *, least(1.0::DOUBLE, greatest(0.0::DOUBLE,
            CASE WHEN extra AND whole = 0 THEN target - size / 2.0::DOUBLE ELSE start + size / 2.0::DOUBLE END / target)) AS y
