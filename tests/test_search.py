@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -93,6 +94,41 @@ def test_sparse_vectors(spark, monkeypatch, block):
     assert shown(got) == brute([(f"q{i:02d}", v) for i, v in enumerate(dense[:30])], [(f"i{i:02d}", v) for i, v in enumerate(dense)], 6)
 
 
+@pytest.mark.parametrize("grouped", [False, True])
+def test_parts_follow_the_size_of_vectors(spark, monkeypatch, grouped):
+    """Tickets go through the shuffle once for each chunk of questions: short questions make one, not one for every 512."""
+    side = lambda rows, name, n: spark.range(rows).selectExpr(
+        f"id AS {name}_id",
+        f"transform(sequence(0, {n - 1}), i -> named_struct('slot', cast(id + i AS int), 'weight', 0.5D)) AS {name}_vector",
+        *([f"array('a') AS {name}_groups"] if grouped else []),
+    )
+    asked, offered = side(1200, "query", 3), side(600, "item", 30)
+
+    def tasks():
+        pairs = nearest._block_pairs(asked, offered, grouped, nearest.BLOCK_ROWS, nearest.CHUNK_ROWS)
+        held = lambda q, i: pa.table({"q": pa.array([q.num_rows]), "i": pa.array([i.num_rows])})
+        return pairs.applyInArrow(held, "q long, i long").collect()
+
+    assert [(r["q"], r["i"]) for r in tasks()] == [(1200, 600)]
+    monkeypatch.setattr(nearest, "BLOCK_ENTRIES", 6000)
+    assert len(tasks()) == 3  # 18,000 numbers of the tickets in blocks of 6,000, the questions in one chunk
+
+
+def test_floor_keeps_the_best_above_it(sides):
+    queries, items, q, i, _ = sides
+    got = nearest.top_matches(q, i, 9, floor=0.5)
+    want = [r for r in brute(queries, items, 9) if r[2] >= 0.5]
+    assert [r for r in shown(got) if r[2] >= 0.5] == want
+    assert min(r[2] for r in shown(got)) >= 0.49
+
+
+def test_queries_search_in_parts(sides, monkeypatch):
+    queries, items, q, i, _ = sides
+    monkeypatch.setattr(nearest, "TURN_QUERIES", 5)
+    monkeypatch.setattr(nearest, "CELL_ROWS", 8)
+    assert shown(nearest.top_matches(q, i, 7)) == brute(queries, items, 7)
+
+
 def test_fewer_items_than_k_and_missing_vectors(spark, sides):
     _, _, q, i, _ = sides
     few = i.where("item_id < 'i002'").unionByName(
