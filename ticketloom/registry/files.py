@@ -33,27 +33,35 @@ def _written_tickets(spark, sf, copies=False):
         "doc_id",
     )
     folder = shared_folder(spark)
-    # One file on purpose: what is shown is that its splits are read apart.
-    writers.write_csv(raw.orderBy("doc_id").drop(*([] if copies else ["doc_id"])).coalesce(1), folder)
+    # Files follow each other by doc_id; each is large enough for many splits, which are read apart.
+    writers.write_csv(raw.orderBy("doc_id").drop(*([] if copies else ["doc_id"])), folder)
     return folder
 
 
+MOST_TASKS = 400
+
+
 def _in_splits(spark, size, read):
-    """A read of files in splits of a given size; the session's own size comes back."""
-    setting = "spark.sql.files.maxPartitionBytes"
-    before = spark.conf.get(setting)
-    spark.conf.set(setting, str(size))
+    """A read of files in splits of a given size; the session's own settings come back.
+
+    However many splits there are, about ``MOST_TASKS`` tasks read them, each several splits.
+    """
+    settings = {"spark.sql.files.maxPartitionBytes": str(size), "spark.sql.files.maxPartitionNum": str(MOST_TASKS)}
+    before = {name: spark.conf.get(name, None) for name in settings}
+    for name, value in settings.items():
+        spark.conf.set(name, value)
     try:
         return stored(read())
     finally:
-        spark.conf.set(setting, before)
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
 
 
 @query(f"""
 SELECT CAST(doc_id AS VARCHAR) AS "Id", {_TRICKY} AS "Descrição do chamado", lang AS sistema,
   CAST(n_chars AS VARCHAR) AS n_chars FROM documents""")
 def csv_roundtrip(spark, sf):
-    """One file in splits of 64 kB, most of which begin inside a record."""
+    """Files in splits of 64 kB, most of which begin inside a record."""
     folder = _written_tickets(spark, sf)
     return _in_splits(spark, 65_536, lambda: readers.read_tickets(spark, folder))
 

@@ -18,6 +18,8 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ticketloom.operators.scale import stored
+
 # The task functions travel with the job: executors need not have this package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -94,9 +96,9 @@ def records(spark: SparkSession, path: str) -> DataFrame:
     """``file, split, place, record`` of all records but empty ones; a record counts where it begins.
 
     The number of fragments is at most two for each split, so putting them together moves
-    little of the text.
+    little of the text. The parts are stored: splits are cut once, whatever reads the records.
     """
-    parts = _cut(lines(spark, path))
+    parts = stored(_cut(lines(spark, path)))
     whole = parts.where(F.col("kind") == WHOLE)
     fragments = parts.where(F.col("kind") != WHOLE)
     order = Window.partitionBy("file").orderBy("split", "place")
