@@ -2,15 +2,22 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterable
 
+import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ticketloom.functions import text, wordlists
 from ticketloom.operators.columns import quoted
 from ticketloom.operators.scale import one_row_each, salted_join, stored
 
+# The task functions travel with the job: executors need not have this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 # Names that fit into one in-memory set per task.
 MAX_IN_SET = 50_000
 
@@ -90,6 +97,19 @@ def clean_columns(
     return df
 
 
+@F.pandas_udf(T.StringType())
+def _without(tokens: pd.Series, found: pd.Series) -> pd.Series:
+    """Tokens that are not in a second list, joined by spaces; a set, since long texts hold many names."""
+
+    def kept(own, names):
+        if own is None:
+            return None
+        names = () if names is None else frozenset(names)
+        return " ".join(t for t in own if t is not None and t not in names)
+
+    return pd.Series([kept(*row) for row in zip(tokens, found)], dtype=object)
+
+
 def _anti_join(
     df: DataFrame, tokens: Column, name_table: DataFrame, id_col: str, output: str
 ) -> DataFrame:
@@ -99,27 +119,26 @@ def _anti_join(
     the text as an array and is taken out in place, so order and repeats of the kept
     tokens never leave the row. Tokens that occur in very many texts are sliced. Rows
     meet what was found by a digest of id and tokens, which no missing or repeated id
-    can make null or ambiguous: what is found depends on the tokens alone.
+    can make null or ambiguous: what is found depends on the tokens alone. Tokens and names
+    are stored, since the words, their counts and the texts are read from them in turn.
     """
     key = F.sha2(F.concat_ws("\n", F.col(id_col).cast("string"), F.array_join("_tokens", " ")), 256)
-    rows = df.withColumn("_tokens", tokens).withColumn("_row", key)
+    rows = stored(df.withColumn("_tokens", tokens).withColumn("_row", F.unhex(key)))
     pairs = one_row_each(
         rows.select(F.col("_row").alias("_id"), F.array_distinct("_tokens").alias("_words")),
         "_words",
         "name",
-    ).distinct()
-    listed = (
+    )
+    listed = stored(
         pairs.groupBy("name")
         .agg(F.count(F.lit(1)).alias("_texts"))
         .join(name_table.select("name"), "name", "left_semi")
     )
+    # Rows that are alike in id and tokens share a digest; their names are gathered once.
     found = (
         salted_join(pairs, listed, ["name"], "_texts", ["_id"])
         .groupBy("_id")
-        .agg(F.collect_list("name").alias("_found"))
+        .agg(F.collect_set("name").alias("_found"))
     )
     joined = rows.join(found, F.col("_row") == F.col("_id"), "left")
-    kept = F.when(F.col("_found").isNull(), F.col("_tokens")).otherwise(
-        F.filter("_tokens", lambda t: ~F.array_contains("_found", t))
-    )
-    return joined.withColumn(output, F.array_join(kept, " ")).drop("_id", "_row", "_tokens", "_found")
+    return joined.withColumn(output, _without("_tokens", "_found")).drop("_id", "_row", "_tokens", "_found")
