@@ -8,7 +8,7 @@ from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
-from ticketloom.operators import clusters, distribution, modeling, terms
+from ticketloom.operators import clusters, distribution, lloyd, modeling, terms
 from ticketloom.plans import topic_run
 from ticketloom.sources import readers, writers
 
@@ -274,3 +274,21 @@ def test_registered_models_take_the_defaults(spark, monkeypatch):
     assert [options for _, options in calls[:4]] == [{}] * 4 and set(calls[4][1]) <= {"minimum"}
     systems = {r["system"] for r in bindings.assigned(spark, folder).select("system").distinct().collect()}
     assert set(calls[3][0][1]) == set(calls[4][0][2]) == systems
+
+
+def test_distances_of_many_fits_are_held_fit_by_fit():
+    """No table of all centres of all fits at once, and each fit's distances are right."""
+    import tracemalloc
+
+    rng = np.random.default_rng(2)
+    rows = rng.normal(size=(2048, 5))
+    centres = [rng.normal(size=(k, 3 + k % 3)) for k in range(2, 26) for _ in range(10)]
+    tracemalloc.start()
+    for i, gaps in lloyd._rated(rows, centres):
+        if i % 40 == 0:
+            own = centres[i]
+            want = ((rows[:, None, : own.shape[1]] - own[None]) ** 2).sum(-1)
+            assert np.allclose(gaps, want)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 12e6  # all 3240 centres would take 53 MB
