@@ -3,6 +3,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.functions import array_to_vector
@@ -163,6 +164,31 @@ def test_distribution_equals_definition(spark):
     assert wide.where("id = '5'").first()[1:3] == (0.0, 0.0)
 
 
+def test_distribution_by_common_and_other_words(spark, monkeypatch):
+    """Whatever words are common, the result is the same; a text that comes twice counts as once."""
+    documents = spark.createDataFrame([("s", *t) for t in TEXTS], "system string, id string, topic int, text string")
+    weights = terms.term_weights(documents)
+    rest = [("t", "8", "rede caiu"), (None, "9", "rede caiu"), ("s", None, "!!")]
+    more = documents.select("system", "id", "text").union(spark.createDataFrame(rest, "system string, id string, text string"))
+    expected = brute_distribution()
+    for shares in (1, 6, 1_000_000):
+        monkeypatch.setattr(distribution, "COMMON_SHARES", shares)
+        for given in (more, more.union(more)):
+            rows = distribution.topic_distribution(given, weights).collect()
+            assert len(rows) == len(expected) and {(r.id, r.topic): r.prob for r in rows} == expected
+
+
+def test_common_words_do_not_travel():
+    """A ticket sends the directory only its words that are not common, each once."""
+    word = distribution._Common(pa.array(["b", "a"]), np.ones(2), np.arange(3), np.zeros(2, np.int32), np.ones(2))
+    columns = [["s", "t", "s"], ["1", "2", "3"], [7, 8, 9], [["a", "x", "b", "x", "y"], ["a"], ["b"]]]
+    batch = pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["system", "id", "key", "tokens"])
+    got = distribution._coded(batch, {"s": word})
+    assert got.column("codes").to_pylist()[1:] == [[-1], [0]] and got.column("rest").to_pylist()[1:] == [["a"], []]
+    codes, rest = got.column("codes")[0].as_py(), got.column("rest")[0].as_py()
+    assert sorted(rest) == ["x", "y"] and [rest[-1 - c] if c < 0 else "ba"[c] for c in codes] == ["a", "x", "b", "x", "y"]
+
+
 def test_topic_run_writes_and_reuses(spark, tmp_path, monkeypatch):
     fitted = topic_run.fitted
     rng = np.random.default_rng(0)

@@ -238,7 +238,8 @@ dist AS (
 
 
 def _distribution(spark, sf):
-    documents = _documents(spark, sf)
+    # Counts and windows read the texts: they meet their topics once.
+    documents = spread(stored(_documents(spark, sf)), "id")
     return distribution.topic_distribution(
         documents.select("system", "id", "text"), stored(terms.term_weights(documents))
     )
