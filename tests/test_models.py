@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import math
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -112,6 +113,26 @@ def test_far_topics_are_not_measured(spark):
     assert clusters.silhouette_euclidean(labelled, block_rows=16).first()["silhouette"] == pytest.approx(np.mean(scores))
 
 
+def test_distances_are_held_in_small_parts():
+    """A block of any size meets another with a few MB of distances at a time."""
+    n, width = 6_000, 4
+    values = np.random.default_rng(3).normal(size=(n, width))
+    names = pa.array([str(i) for i in range(n)])
+    same = lambda kind, value: pa.array([value] * n, kind)
+    block = pa.table({
+        "system": same(pa.string(), "s"), "id": names, "topic": same(pa.int32(), 0), "other": same(pa.int32(), 0),
+        "vector": pa.ListArray.from_arrays(pa.array(range(0, n * width + 1, width), pa.int32()), pa.array(values.ravel())),
+    })
+    tracemalloc.start()
+    got = clusters._gap_sums(block, block)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 20_000_000
+    assert set(got.column("n").to_pylist()) == {n - 1}
+    for at in (0, 41, 42, n - 1):
+        assert got.column("total")[at].as_py() == pytest.approx(np.linalg.norm(values - values[at], axis=1).sum())
+
+
 def test_too_few_topics_have_no_map(spark):
     centroids = spark.createDataFrame(
         [("s", -1, [1.0, 0.0], 5), ("s", 0, [0.0, 1.0], 5), ("s", 1, [1.0, 1.0], 5)],
