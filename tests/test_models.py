@@ -10,8 +10,9 @@ from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
-from ticketloom.operators import clusters, distribution, lloyd, modeling, terms
+from ticketloom.operators import clusters, distribution, lloyd, modeling, scale, terms
 from ticketloom.plans import topic_run
+from ticketloom.registry import bindings
 from ticketloom.sources import readers, writers
 
 
@@ -210,6 +211,51 @@ def test_common_words_do_not_travel():
     assert sorted(rest) == ["x", "y"] and [rest[-1 - c] if c < 0 else "ba"[c] for c in codes] == ["a", "x", "b", "x", "y"]
 
 
+def test_the_most_frequent_words_are_common(spark, monkeypatch):
+    """As many as fit are common, not only those above a share of all words; equal counts stay together."""
+
+    def least(words, counts, topics=1):
+        monkeypatch.setattr(distribution, "COMMON_SHARES", words)
+        rows = [(f, [0] * topics) for f in counts]
+        return distribution._least_count(spark.createDataFrame(rows, "f long, topics array<int>"))
+
+    assert least(4, [9, 9, 1, 1]) == 1  # by share only the nines would be
+    assert least(4, [9, 9, 1, 1, 1]) == 9
+    assert least(2, [1, 1, 1]) is None and least(2, []) is None
+    assert least(4, [9, 2, 2], topics=20) == 9  # two thirds of all words, though its topics are many
+
+
+def test_place_of_a_word_brings_its_shares_back():
+    """Entries come by place in any order, some twice; a word without one counts as nothing."""
+    fields = {"place": [2, 0, 2], "idf": [3.0, 1.0, 3.0], "topics": [[1], [0, 1], [1]], "shares": [[0.5], [0.1, 0.2], [0.5]]}
+    found = pa.StructArray.from_arrays(
+        [pa.array(fields["place"], pa.int32()), pa.array(fields["idf"]), pa.array(fields["topics"], pa.list_(pa.int32())), pa.array(fields["shares"])],
+        names=list(fields),
+    )
+    tokens, idf, table = distribution._entries(np.array([-1, -3, -2, -1], np.int32), found, None)
+    assert idf[tokens].tolist() == [1.0, 3.0, 0.0, 1.0]
+    assert table[tokens].tolist() == [[0.1, 0.2], [0.0, 0.5], [0.0, 0.0], [0.1, 0.2]]
+
+
+def test_rows_without_partner_stay_where_they_are(spark):
+    """A filter ahead of the join: every partner passes, hardly any other row does."""
+    rows = spark.range(2000).selectExpr("CAST(id AS STRING) AS id", "repeat('x', 9) AS text")
+    rows = rows.union(rows.where("id = '1'")).union(spark.createDataFrame([(None, "y")], "id string, text string"))
+    lookup = spark.createDataFrame([("1",), ("1",), ("7",), (None,), ("none",)], "id string")
+    got = scale.likely_matches(rows, lookup, "id")
+    assert got.columns == ["id", "text"] and got.where("id IN ('1', '7')").count() == 3
+    assert got.where("id IS NOT NULL").count() <= 5
+
+
+def test_texts_without_a_vector_are_not_moved(spark, tmp_path):
+    documents = spark.range(5000).selectExpr("id AS doc_id", "repeat('word ', 50) AS text", "'en' AS lang", "'a' AS source")
+    documents.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.range(20).selectExpr("id AS vec_id", "array(1f) AS embedding", "0 AS label").write.parquet(f"{tmp_path}/embeddings.parquet")
+    assigned = bindings.assigned(spark, str(tmp_path), text_work=True)
+    assert assigned.count() == 20
+    assert "LeftSemi" in assigned._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_topic_run_writes_and_reuses(spark, tmp_path, monkeypatch):
     fitted = topic_run.fitted
     rng = np.random.default_rng(0)
