@@ -150,3 +150,16 @@ def test_odd_vectors(spark):
         + [(str(i), 0, i) for i in (3, 4, 5, 6, 7, 8, 9, 10, 11)]
     )
     assert metric_join.near_vectors(vectors(spark, [])).count() == 0
+
+
+def test_exploded_keys_are_not_broadcast(odd, monkeypatch):
+    """Spark takes the keys of the classes for 64 times fewer than they are."""
+    plans, real = {}, tensor_minhash.stored
+
+    def stored(df, name):
+        plans[name] = df._jdf.queryExecution().executedPlan().toString()
+        return real(df, name)
+
+    monkeypatch.setattr(tensor_minhash, "stored", stored)
+    tensor_minhash.near_dedup(odd)
+    assert "Generate" in plans["members"] and "Broadcast" not in plans["members"]

@@ -132,6 +132,17 @@ def _keys() -> Column:
     )
 
 
+def _members(classes: DataFrame) -> DataFrame:
+    """key, node, table and held of every class in the entries that several classes share.
+
+    Spark sizes the exploded keys as if a class had one, and so would take either side for one
+    to broadcast while there are 64 times as many rows: the join is told to sort both.
+    """
+    keyed = classes.select("node", F.posexplode(_keys()).alias("table", "key"))
+    entries = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("held")).where("held > 1")
+    return keyed.join(entries.hint("merge"), "key")
+
+
 def _groups() -> Column:
     """All minhash groups, folded to 31 bits."""
     return F.array(
@@ -258,9 +269,7 @@ def near_dedup(docs: DataFrame, words: int = 5, id_col: str = "doc_id", text_col
         .withColumn("node", F.conv(F.substring(F.hex("digest"), 1, 16), 16, -10).cast("long")),
         "classes",
     )
-    keyed = classes.select("node", F.posexplode(_keys()).alias("table", "key"))
-    entries = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("held")).where("held > 1")
-    members = stored(keyed.join(entries, "key"), "members")
+    members = stored(_members(classes), "members")
     sizes = classes.select("node", "n")
 
     # First round: every class and the heads it shares most keys with.
