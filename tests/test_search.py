@@ -94,6 +94,50 @@ def test_sparse_vectors(spark, monkeypatch, block):
     assert shown(got) == brute([(f"q{i:02d}", v) for i, v in enumerate(dense[:30])], [(f"i{i:02d}", v) for i, v in enumerate(dense)], 6)
 
 
+def lists(dense):
+    """Rows of a matrix as sparse vectors, as a task gets them."""
+    entries = [[{"slot": int(s), "weight": float(v[s])} for s in np.flatnonzero(v)] for v in dense]
+    return pa.array(entries, pa.list_(pa.struct([("slot", pa.int32()), ("weight", pa.float64())])))
+
+
+@pytest.mark.parametrize("cost", [0, 4, 10**6])
+@pytest.mark.parametrize("floor", [float("-inf"), 0.6])
+def test_postings_find_the_best(monkeypatch, cost, floor):
+    """With no frequent slot, some or all; with items that share an id, and queries that fit nothing."""
+    monkeypatch.setattr(nearest, "ENTRY_COST", cost)
+    monkeypatch.setattr(nearest, "TILE_QUERIES", 7)
+    monkeypatch.setattr(nearest, "CROWD", 2)
+    rng = np.random.default_rng(11)
+    dense = np.where(rng.random((400, 50)) < np.linspace(0.01, 0.5, 50), rng.random((400, 50)), 0)
+    asked = np.where(rng.random((40, 50)) < 0.1, rng.random((40, 50)), 0)
+    asked[5] = 0
+    ids = np.array([f"i{i % 390:03d}" for i in range(400)], object)
+    parts = [nearest.Sparse(lists(asked[:30])), nearest.Sparse(lists(asked[30:]))]
+    (row, item, score), _, _ = nearest._block_best(parts, nearest.Sparse(lists(dense)), ids, 6, floor)
+    found = {q: sorted((-round(s, 6), i) for r, i, s in zip(row, item, score) if r == q and s >= floor) for q in range(40)}
+    for q in range(40):
+        best = {}
+        for i, s in zip(ids, dense @ asked[q]):
+            best[i] = max(best.get(i, -1), s)
+        want = sorted((-round(s, 6), i) for i, s in best.items())[:6]
+        assert found[q] == [w for w in want if -w[0] >= floor]
+
+
+def test_a_block_of_texts_is_opened_once(monkeypatch):
+    """Not once for each of its cells and turns: a hundred times as many queries open it no more often."""
+    opened, real = [], np.unique
+    monkeypatch.setattr(nearest.np, "unique", lambda *a, **b: opened.append(1) or real(*a, **b))
+    rng = np.random.default_rng(12)
+    items = lists(np.where(rng.random((1000, 300)) < 0.1, rng.random((1000, 300)), 0))
+    calls = []
+    for n in (10, 1000):
+        opened.clear()
+        asked = nearest.Sparse(lists(np.where(rng.random((n, 300)) < 0.05, rng.random((n, 300)), 0)))
+        nearest._block_best([asked], nearest.Sparse(items), np.arange(1000), 5)
+        calls.append(len(opened))
+    assert calls[1] <= calls[0]
+
+
 @pytest.mark.parametrize("grouped", [False, True])
 def test_parts_follow_the_size_of_vectors(spark, monkeypatch, grouped):
     """Tickets go through the shuffle once for each chunk of questions: short questions make one, not one for every 512."""
