@@ -158,6 +158,29 @@ def test_parts_follow_the_size_of_vectors(spark, monkeypatch, grouped):
     assert len(tasks()) == 3  # 18,000 numbers of the tickets in blocks of 6,000, the questions in one chunk
 
 
+def test_small_tables_use_all_cores(spark):
+    """Chunks that a task could hold at once are cut until every core has two tasks."""
+    side = lambda rows, name: spark.range(rows).selectExpr(f"id AS {name}_id", f"array(0.5D, 0.5D) AS {name}_vector")
+    held = lambda q, i: pa.table({"q": pa.array([q.num_rows]), "i": pa.array([i.num_rows])})
+    pairs = nearest._block_pairs(side(20_480, "query"), side(3000, "item"), False, nearest.BLOCK_ROWS, nearest.CHUNK_ROWS)
+    tasks = pairs.applyInArrow(held, "q long, i long").collect()
+    assert len(tasks) == min(10, 2 * spark.sparkContext.defaultParallelism)
+    assert sum(r["q"] for r in tasks) == 20_480 and all(r["i"] == 3000 for r in tasks)
+
+
+def test_repeated_rows_of_a_query_and_an_item():
+    """Cells are read for whole parts of queries; an item listed twice counts with its better row, however many queries ask."""
+    rng = np.random.default_rng(5)
+    dense = rng.normal(size=(1500, 8))
+    both, ids = np.concatenate([dense, dense * 0.5]), np.array([f"i{i:04d}" for i in range(1500)] * 2, object)
+    column = lambda v: pa.array(v.tolist(), pa.list_(pa.float64()))
+    (row, item, score), _, _ = nearest._block_best([nearest.Plain(column(dense[:300]))], nearest.Plain(column(both)), ids, 4)
+    best = np.maximum(dense[:300] @ dense.T, dense[:300] @ dense.T * 0.5)
+    for q in range(300):
+        want = sorted((-round(s, 6), f"i{i:04d}") for i, s in enumerate(best[q]))[:4]
+        assert sorted((-round(s, 6), i) for r, i, s in zip(row, item, score) if r == q) == want
+
+
 def test_floor_keeps_the_best_above_it(sides):
     queries, items, q, i, _ = sides
     got = nearest.top_matches(q, i, 9, floor=0.5)
